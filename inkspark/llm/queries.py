@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, rp_forest, sharding, simhash, token_counts, warc
+from . import byte_bpe, exact_dedup, licences, mixing, quality, rp_forest, sharding, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,18 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.fit(docs))
+    sure = F.filter("findings", lambda f: f.confirmed)
+    best = F.get(F.array_sort(sure, lambda a, b: F.when(a.probability > b.probability, -1).when(a.probability < b.probability, 1).otherwise(a.paragraph - b.paragraph)), F.lit(0))
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("findings").cast("long").alias("n_found"), F.size(sure).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda f: f.family))), ",").alias("families"),
+        best.probability.alias("probability"), best.similarity.alias("similarity"),
+    )
+
+
 #: Rank file and pattern of op9 and of the pipeline's last stage.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -56,7 +68,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_token_counts, op4_warc, op5_shard, op6_simhash, op7_embedding_dedup, op9_byte_bpe)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")), 0.7)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_token_counts, op4_warc, op5_shard, op6_simhash, op7_embedding_dedup, op8_licence_scan, op9_byte_bpe, op10_quality)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """

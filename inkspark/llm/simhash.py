@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import has_rows, materialize
+from .shared import has_rows, join_checked, materialize
 
 SEED = 42
 #: Fingerprints under one key that one task compares; keys with more are split.
@@ -49,16 +49,24 @@ def fingerprint(text: str | None, words_in_shingle: int = 3) -> int:
     return int(np.packbits(votes * 2 > len(starts), bitorder="little").view("<u8")[0])
 
 
+def shingle_set(text: str | None, words_in_shingle: int) -> np.ndarray:
+    """The XXH64 values of a text's distinct word shingles, as sorted signed integers."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = min(words_in_shingle, len(words))
+    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), SEED) for i in range(len(words) - n + 1)} if n else set()
+    return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words_in_shingle: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint as a signed 64-bit integer."""
+    """(id, version, fp): the fingerprint as a signed 64-bit integer; version tells texts with one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, words_in_shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "fp"])
+            found = [fingerprint(t, words_in_shingle) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "version", "fp"])
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, version long, fp long")
 
 
 def _segments(width: int, parts: int) -> list[tuple[int, int]]:
@@ -167,9 +175,8 @@ def near_links(distinct: DataFrame, bits: int = 3, run: int = RUN) -> DataFrame:
             return links
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words_in_shingle: int = 3, bits: int = 3) -> DataFrame:
-    """One row for each document: id, fingerprint (16 hex digits), component_id (smallest id that links reach).
-    A null id takes part in links; its component is named by the others' ids, or null where there are none."""
+def _components(docs: DataFrame, text_col: str, id_col: str, words_in_shingle: int, bits: int) -> DataFrame:
+    """(id, version, fp, component_id) of each document."""
     rows = materialize(fingerprints(docs, text_col, id_col, words_in_shingle))
     classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(near_links(classes.select("fp"), bits))
@@ -177,12 +184,53 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialize(classes.join(names, "root").select("fp", "component_id"))
     # few distinct fingerprints may hold most rows: AQE splits such a partition of the larger side
-    named = rows.join(classes, "fp")
+    return rows.join(classes, "fp")
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words_in_shingle: int = 3, bits: int = 3) -> DataFrame:
+    """One row for each document: id, fingerprint (16 hex digits), component_id (smallest id that links reach).
+    A null id takes part in links; its component is named by the others' ids, or null where there are none."""
+    named = _components(docs, text_col, id_col, words_in_shingle, bits)
     return named.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words_in_shingle: int = 3, bits: int = 3) -> DataFrame:
-    """``docs`` without the documents whose component has one with a smaller id. A null id always stays."""
-    found = near_duplicates(docs.select(id_col, text_col), text_col, id_col, words_in_shingle, bits)
-    others = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__id"))
-    return docs.join(others, docs[id_col] == others["__id"], "left_anti")
+def verified_duplicates(docs: DataFrame, text_col: str, id_col: str, bits: int, shingle: int, least: float) -> DataFrame:
+    """(id, version, keep_id) of the documents that have a near copy with a smaller id which stays.
+
+    Components of fingerprints within ``bits`` are candidates. In each, the smallest id left is the leader, and all
+    others are compared with it: those whose sets of ``shingle``-word shingles have a Jaccard similarity of ``least``
+    or more go. This repeats with those left until no component has two. So no pairs are made within a group, nothing
+    goes unless a document that stays is that similar, and of two that stay in a component none is."""
+    found = materialize(_components(docs, text_col, id_col, 3, bits).where("id IS NOT NULL").select("id", "version", "component_id"))
+    several = found.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = materialize(found.join(several, "component_id").withColumn("key", F.xxhash64("id", "version")).dropDuplicates(["key"]))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([shingle_set(t, shingle) for t in batch.column(3).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], made], names=["id", "version", "component_id", "grams"])
+
+    texts = docs.select(F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("key"), F.col(text_col).alias("text"))
+    kind = dict(docs.dtypes)[id_col]
+    left = join_checked(texts, members, "key", "inner", F.col("key")).select("id", "version", "component_id", "text")
+    left = materialize(left.mapInArrow(sets, f"id {kind}, version long, component_id {kind}, grams array<long>"))
+    gone = left.limit(0).select("id", "version", F.col("id").alias("keep_id"))
+    while has_rows(several := left.groupBy("component_id").count().where("count > 1")):
+        first = left.groupBy("component_id").agg(F.min(F.struct("id", "version")).alias("lead"), F.min_by("grams", F.struct("id", "version")).alias("lead_grams"))
+        first = first.join(several.select("component_id"), "component_id", "left_semi")
+        others = left.join(first, "component_id").where(F.struct("id", "version") != F.col("lead"))
+        shared = F.size(F.array_intersect("grams", "lead_grams"))
+        either = F.size("grams") + F.size("lead_grams") - shared
+        judged = others.select("id", "version", "component_id", "grams", F.col("lead.id").alias("keep_id"), (shared >= F.lit(least) * either).alias("same"))
+        judged = materialize(judged)
+        gone = gone.unionByName(judged.where("same").select("id", "version", "keep_id"))
+        left = judged.where("NOT same").select("id", "version", "component_id", "grams")
+    return materialize(gone)
+
+
+def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", bits: int = 7, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` without those that verified_duplicates() finds; rows with a null id always stay."""
+    gone = verified_duplicates(docs, text_col, id_col, bits, shingle, least)
+    gone = gone.select(F.xxhash64("id", "version").alias("__key"), F.lit(True).alias("__gone")).dropDuplicates(["__key"])
+    keyed = docs.withColumn("__key", F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col), F.xxhash64(text_col))).otherwise(F.lit(0)))
+    return join_checked(keyed, gone, "__key", "left", F.col("__key")).where("__gone IS NULL").select(*docs.columns)
