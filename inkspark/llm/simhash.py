@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -28,6 +28,8 @@ from .shared import has_rows, join_checked, materialize
 SEED = 42
 #: Fingerprints under one key that one task compares; keys with more are split.
 RUN = 512
+#: Documents of each component that the first round of verification settles.
+LEADERS = 8
 _BLOCK = 100_000
 
 
@@ -197,10 +199,12 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def verified_duplicates(docs: DataFrame, text_col: str, id_col: str, bits: int, shingle: int, least: float) -> DataFrame:
     """(id, version, keep_id) of the documents that have a near copy with a smaller id which stays.
 
-    Components of fingerprints within ``bits`` are candidates. In each, the smallest id left is the leader, and all
-    others are compared with it: those whose sets of ``shingle``-word shingles have a Jaccard similarity of ``least``
-    or more go. This repeats with those left until no component has two. So no pairs are made within a group, nothing
-    goes unless a document that stays is that similar, and of two that stay in a component none is."""
+    Components of fingerprints within ``bits`` are candidates. In each, documents are judged in the order of their ids:
+    one goes if an earlier one that stays has a Jaccard similarity of ``least`` or more to its set of ``shingle``-word
+    shingles. A round settles the first LEADERS documents of each component among themselves and compares the others
+    with those of them that stay; rounds go on, with more leaders each, until no component has two left. So no pairs
+    are made within a group, and nothing goes unless a document that stays is that similar."""
+    kind = dict(docs.dtypes)[id_col]
     found = materialize(_components(docs, text_col, id_col, 3, bits).where("id IS NOT NULL").select("id", "version", "component_id"))
     several = found.groupBy("component_id").count().where("count > 1").select("component_id")
     members = materialize(found.join(several, "component_id").withColumn("key", F.xxhash64("id", "version")).dropDuplicates(["key"]))
@@ -210,21 +214,38 @@ def verified_duplicates(docs: DataFrame, text_col: str, id_col: str, bits: int,
             made = pa.array([shingle_set(t, shingle) for t in batch.column(3).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], made], names=["id", "version", "component_id", "grams"])
 
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            staying, going = [], []
+            for leaders in batch.column(1).to_pylist():
+                stay, gone = [], []
+                for x in leaders:
+                    x["set"] = frozenset(x["grams"])
+                    like = next((y for y in stay if (n := len(x["set"] & y["set"])) >= least * (len(x["set"]) + len(y["set"]) - n)), None)
+                    stay.append(x) if like is None else gone.append({"id": x["id"], "version": x["version"], "keep_id": like["id"]})
+                staying.append([{k: x[k] for k in ("id", "version", "grams")} for x in stay])
+                going.append(gone)
+            kinds = [batch.schema.field(1).type, pa.list_(pa.struct([("id", batch.schema.field(0).type), ("version", pa.int64()), ("keep_id", batch.schema.field(0).type)]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(staying, kinds[0]), pa.array(going, kinds[1]), batch.column(2)], names=["component_id", "staying", "going", "last"])
+
     texts = docs.select(F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("key"), F.col(text_col).alias("text"))
-    kind = dict(docs.dtypes)[id_col]
     left = join_checked(texts, members, "key", "inner", F.col("key")).select("id", "version", "component_id", "text")
     left = materialize(left.mapInArrow(sets, f"id {kind}, version long, component_id {kind}, grams array<long>"))
-    gone = left.limit(0).select("id", "version", F.col("id").alias("keep_id"))
+    gone, leaders = left.limit(0).select("id", "version", F.col("id").alias("keep_id")), LEADERS
+    order = Window.partitionBy("component_id").orderBy("id", "version")
+    one = f"struct<id:{kind},version:bigint,grams:array<bigint>>"
     while has_rows(several := left.groupBy("component_id").count().where("count > 1")):
-        first = left.groupBy("component_id").agg(F.min(F.struct("id", "version")).alias("lead"), F.min_by("grams", F.struct("id", "version")).alias("lead_grams"))
-        first = first.join(several.select("component_id"), "component_id", "left_semi")
-        others = left.join(first, "component_id").where(F.struct("id", "version") != F.col("lead"))
-        shared = F.size(F.array_intersect("grams", "lead_grams"))
-        either = F.size("grams") + F.size("lead_grams") - shared
-        judged = others.select("id", "version", "component_id", "grams", F.col("lead.id").alias("keep_id"), (shared >= F.lit(least) * either).alias("same"))
-        judged = materialize(judged)
-        gone = gone.unionByName(judged.where("same").select("id", "version", "keep_id"))
-        left = judged.where("NOT same").select("id", "version", "component_id", "grams")
+        first = left.join(several.select("component_id"), "component_id", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leaders)
+        heads = first.groupBy("component_id").agg(F.sort_array(F.collect_list(F.struct("id", "version", "grams"))).alias("leaders"), F.max(F.struct("id", "version")).alias("last"))
+        schema = f"component_id {kind}, staying array<{one}>, going array<struct<id:{kind},version:bigint,keep_id:{kind}>>, last struct<id:{kind},version:bigint>"
+        heads = materialize(heads.select("component_id", "leaders", "last").mapInArrow(settle, schema))
+        gone = gone.unionByName(heads.select(F.explode("going").alias("g")).select("g.*"))
+        others = left.join(heads.drop("going"), "component_id").where(F.struct("id", "version") > F.col("last"))
+        shared = lambda y: F.size(F.array_intersect("grams", y.grams))
+        like = F.filter("staying", lambda y: shared(y) >= F.lit(least) * (F.size("grams") + F.size(y.grams) - shared(y)))
+        judged = materialize(others.select("id", "version", "component_id", "grams", F.get(like, F.lit(0)).id.alias("keep_id")))
+        gone = gone.unionByName(judged.where("keep_id IS NOT NULL").select("id", "version", "keep_id"))
+        left, leaders = judged.where("keep_id IS NULL").drop("keep_id"), min(256, 2 * leaders)
     return materialize(gone)
 
 
