@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once for each row, though ``then`` uses it for each element of an array."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
@@ -44,10 +49,13 @@ def correlation(a: Column, b: Column) -> Column:
     """Pearson's, 0 where either has no variance."""
     n = F.least(F.size(a), F.size(b))
     a, b = F.slice(a, 1, n), F.slice(b, 1, n)
-    ma, mb = total(a) / n, total(b) / n
-    product = F.zip_with(a, b, lambda x, y: F.struct(((x - ma) * (y - mb)).alias("p"), ((x - ma) * (x - ma)).alias("q"), ((y - mb) * (y - mb)).alias("r")))
-    p, q, r = (total(F.transform(product, lambda s, k=k: s[k])) for k in ("p", "q", "r"))
-    return F.when((q == 0) | (r == 0), F.lit(0.0)).otherwise(p / F.sqrt(q * r))
+
+    def of_means(m: Column) -> Column:
+        covariance = total(F.zip_with(a, b, lambda x, y: (x - m.a) * (y - m.b)))
+        one, two = total(F.transform(a, lambda x: (x - m.a) * (x - m.a))), total(F.transform(b, lambda y: (y - m.b) * (y - m.b)))
+        return F.when((one == 0) | (two == 0), F.lit(0.0)).otherwise(covariance / F.sqrt(one * two))
+
+    return let(F.struct((total(a) / n).alias("a"), (total(b) / n).alias("b")), of_means)
 
 
 def finite(x: Column) -> Column:
@@ -56,29 +64,33 @@ def finite(x: Column) -> Column:
 
 def quantile(x: Column, q: float) -> Column:
     """With linear interpolation between the two nearest values."""
-    s = F.array_sort(x)
     at = (F.size(x) - 1) * F.lit(q)
     low = F.floor(at).cast("int")
-    a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(x) - 1))
-    return a + (b - a) * (at - low)
+    return let(F.array_sort(x), lambda s: F.get(s, low) + (F.get(s, F.least(low + 1, F.size(s) - 1)) - F.get(s, low)) * (at - low))
+
+
+def peak(x: Column) -> Column:
+    return F.array_max(F.transform(x, F.abs))
 
 
 def declicked(x: Column) -> Column:
-    """Non-finite samples to 0, clipped at 1.5 times the 99.9th percentile of the magnitude, peak scaled to 0.92.
-    Needs ``x`` to be finite (see finite()); silence and emptiness stay as they are."""
-    most = 1.5 * quantile(F.transform(x, F.abs), 0.999)
-    clipped = F.transform(x, lambda v: F.greatest(-most, F.least(most, v)))
-    peak = F.array_max(F.transform(clipped, F.abs))
-    return F.when((F.size(x) == 0) | (most == 0), x).otherwise(F.transform(clipped, lambda v: v * (0.92 / peak)))
+    """Clipped at 1.5 times the 99.9th percentile of the magnitude, then the peak scaled to 0.92. Needs ``x`` to be finite
+    (see finite()); silence and emptiness stay as they are."""
+    clipped = let(1.5 * quantile(F.transform(x, F.abs), 0.999), lambda most: F.transform(x, lambda v: F.greatest(-most, F.least(most, v))))
+    scaled = let(clipped, lambda c: let(0.92 / F.nullif(peak(c), F.lit(0.0)), lambda gain: F.transform(c, lambda v: v * gain)))
+    return F.when(F.coalesce(peak(x), F.lit(0.0)) == 0, x).otherwise(F.when(F.exists(scaled, lambda v: v.isNull()), x).otherwise(scaled))
 
 
 def trimmed(x: Column, rate: Column, below_peak_db: float = -42.0, pad_ms: int = 25) -> Column:
     """From ``pad_ms`` before the first loud sample to as much after the last one (exclusive)."""
-    least = F.array_max(F.transform(x, F.abs)) * (10 ** (below_peak_db / 20))
-    loud = F.filter(F.transform(x, lambda v, i: F.when(F.abs(v) > least, i)), lambda i: i.isNotNull())
     pad = F.floor(rate * pad_ms / 1000).cast("int")
-    first, last = F.greatest(F.lit(0), F.array_min(loud) - pad), F.least(F.size(x), F.array_max(loud) + pad)
-    return F.when(F.coalesce(F.size(loud), F.lit(0)) == 0, x).otherwise(F.slice(x, first + 1, F.greatest(F.lit(0), last - first)))
+    loud = let(peak(x) * (10 ** (below_peak_db / 20)), lambda least: F.filter(F.transform(x, lambda v, i: F.when(F.abs(v) > least, i)), lambda i: i.isNotNull()))
+
+    def cut(at: Column) -> Column:
+        first, last = F.greatest(F.lit(0), F.array_min(at) - pad), F.least(F.size(x), F.array_max(at) + pad)
+        return F.when(F.coalesce(F.size(at), F.lit(0)) == 0, x).otherwise(F.slice(x, first + 1, F.greatest(F.lit(0), last - first)))
+
+    return let(loud, cut)
 
 
 def silence_span(x: Column, rate: Column, floor: float = 0.004, window_ms: int = 10) -> Column:
@@ -86,22 +98,28 @@ def silence_span(x: Column, rate: Column, floor: float = 0.004, window_ms: int =
     win = F.greatest(F.lit(1), F.round(rate * window_ms / 1000)).cast("int")
     n = F.size(x)
     quiet = lambda i: rms(F.slice(x, i + 1, F.least(win, n - i))) < floor
-    heads = F.transform(F.sequence(F.lit(0), F.floor(n / win).cast("int")), lambda k: k * win)
-    start = F.coalesce(F.array_min(F.filter(heads, lambda i: (i + win >= n) | ((i < n) & ~quiet(i)))), F.lit(0))
-    tails = F.transform(F.sequence(F.lit(0), F.floor(n / win).cast("int")), lambda k: n - k * win)
-    end = F.array_max(F.filter(tails, lambda e: (e - win <= start) | ~quiet(F.greatest(e - win, F.lit(0)))))
-    return F.struct(start.alias("start"), F.coalesce(end, n).alias("end"))
+    windows = F.sequence(F.lit(0), F.floor(n / win).cast("int"))
+    first = F.array_min(F.filter(F.transform(windows, lambda k: k * win), lambda i: (i + win >= n) | ((i < n) & ~quiet(i))))
+
+    def span(start: Column) -> Column:
+        end = F.array_max(F.filter(F.transform(windows, lambda k: n - k * win), lambda e: (e - win <= start) | ~quiet(F.greatest(e - win, F.lit(0)))))
+        return F.struct(start.alias("start"), F.coalesce(end, n).alias("end"))
+
+    return let(F.coalesce(first, F.lit(0)), span)
 
 
 def trimmed_with_ramps(x: Column, span: Column, rate: Column, tail_ms: Column) -> Column:
     """The samples of a span with 20 ms before and ``tail_ms`` after, and 3 ms ramps at both ends; silence as it is."""
     first = F.greatest(F.lit(0), span.start - F.round(rate * 0.02).cast("int"))
     last = F.least(F.size(x), span.end + F.round(rate * tail_ms / 1000).cast("int"))
-    cut = F.slice(x, first + 1, F.greatest(F.lit(0), last - first))
-    ramp = F.least(F.round(rate * 0.003).cast("int"), F.floor(F.size(cut) / 2).cast("int"))
-    n = F.size(cut)
-    gain = lambda i: F.when(i < ramp, i / ramp).otherwise(1.0) * F.when(n - 1 - i < ramp, (n - 1 - i) / ramp).otherwise(1.0)
-    return F.when(span.end <= span.start, x).otherwise(F.transform(cut, lambda v, i: v * gain(i)))
+
+    def ramped(cut: Column) -> Column:
+        n = F.size(cut)
+        ramp = F.least(F.round(rate * 0.003).cast("int"), F.floor(n / 2).cast("int"))
+        gain = lambda i: F.when(i < ramp, i / ramp).otherwise(1.0) * F.when(n - 1 - i < ramp, (n - 1 - i) / ramp).otherwise(1.0)
+        return F.transform(cut, lambda v, i: v * gain(i))
+
+    return F.when(span.end <= span.start, x).otherwise(let(F.slice(x, first + 1, F.greatest(F.lit(0), last - first)), ramped))
 
 
 def pcm16(x: Column) -> Column:
@@ -113,8 +131,8 @@ def blended(weighted: list[tuple[float, Column]]) -> Column:
     """Sum of vectors times weights."""
     weight, first = weighted[0]
     out = F.transform(first, lambda v: v * weight)
-    for w, x in weighted[1:]:
-        out = F.zip_with(out, x, lambda a, b, w=w: a + b * w)
+    for weight, x in weighted[1:]:
+        out = F.zip_with(out, F.transform(x, lambda v: v * weight), lambda a, b: a + b)  # noqa: B023
     return out
 
 

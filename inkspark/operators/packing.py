@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkspark.functions import text as T
+
 LOOKAHEAD, LIMIT = 15, 480
 #: A sentence: id, kind, text.
 ITEM = "struct<id:bigint,kind:string,text:string>"
@@ -34,6 +36,23 @@ def packs_from_every_start(sentences: DataFrame, limit: int = LIMIT) -> DataFram
     )
 
 
+def packs_with_split(sentences: DataFrame, limit: int, allow_split: bool = True) -> DataFrame:
+    """As packs_from_every_start(), with a first sentence longer than the limit cut where breath is drawn:
+    ids, text, n_words, through (last sentence) and thru_word (where to go on in it; 0 means that it is finished)."""
+    ahead = Window.partitionBy("doc_id").orderBy("sent_id").rowsBetween(0, LOOKAHEAD)
+    rows = sentences.withColumn("items", F.collect_list(F.struct(F.col("sent_id").cast("long").alias("id"), "kind", "text")).over(ahead))
+    rows = rows.withColumn("words", T.tokenize(F.col("text")))
+    rows = rows.withColumn("stop", T.cut_at(F.col("words"), F.length("text"), F.lit(0), F.lit(limit)) if allow_split else F.size("words"))
+    rows = rows.withColumn("part", F.col("stop") < F.size("words")).withColumn("taken", F.slice("items", 1, packed(F.col("items"), limit)))
+    from_word, to_word = F.get("words", F.lit(0)).start, F.get("words", F.col("stop") - 1).end
+    return rows.select(
+        "doc_id", "sent_id", F.when(F.col("part"), F.array(F.col("sent_id").cast("long"))).otherwise(F.transform("taken", lambda x: x.id)).alias("ids"),
+        F.when(F.col("part"), F.substr("text", from_word + 1, to_word - from_word)).otherwise(F.array_join(F.transform("taken", lambda x: x.text), " ")).alias("text"),
+        F.when(F.col("part"), F.col("sent_id").cast("long")).otherwise(F.element_at(F.transform("taken", lambda x: x.id), -1)).alias("through"),
+        F.when(F.col("part"), F.col("stop")).otherwise(0).alias("thru_word"),
+    )
+
+
 def greedy_clip_numbers(items: Column, limit: int = LIMIT) -> Column:
     """For each of a document's sentences in order, the number of its clip: clips follow each other, each as packed().
     Look-ahead is bounded, so a clip has 1 + LOOKAHEAD sentences at most."""

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library_queries, speech_queries, text_queries  # noqa: F401
+from . import audio_queries, job_queries, layout_queries, library_queries, reading_queries, speech_queries, stream_queries, text_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["library_listing"](spark, sf_dir)
+    return QUERIES["document_clips"](spark, sf_dir)
