@@ -79,12 +79,12 @@ def _split(least: float):
         for batch in batches:
             cell, rows, cid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "rows", "cid"))
             thresholds = batch.column("thresholds").to_pylist()
-            vectors = np.stack(batch.column("vec").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, 1))
+            vectors = batch.column("vec").to_numpy(zero_copy_only=False)
             for name in np.unique(cell):
                 here = np.flatnonzero(cell == name)
-                cut = np.array(thresholds[here[0]])
-                projected = vectors[here] @ _directions(int(name), int(np.log2(len(cut) + 1)), vectors.shape[1]).T
-                for inside, leaf in _descend(projected, cut, _spill(least, vectors.shape[1])):
+                cut, x = np.array(thresholds[here[0]]), np.stack(vectors[here])  # a cell has vectors of one length
+                projected = x @ _directions(int(name), int(np.log2(len(cut) + 1)), x.shape[1]).T
+                for inside, leaf in _descend(projected, cut, _spill(least, x.shape[1])):
                     at = here[inside]
                     child = np.random.default_rng([int(name) & ((1 << 63) - 1), leaf]).integers(1 << 62)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), child)), pa.array(rows[at]), pa.array(cid[at]), batch.column("vec").take(pa.array(at))], names=names)
@@ -95,7 +95,8 @@ def _split(least: float):
 def _compare(least: float):
     """Rows sorted by key: the pairs of each key whose cosine is ``least`` or more; with two sides, pairs across them."""
 
-    def pairs(side: np.ndarray, cid: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    def pairs(side: np.ndarray, cid: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+        x = np.stack(vectors)
         a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(x)),) * 2
         near = x[a] @ x[b].T / np.outer(norm := np.sqrt((x * x).sum(1))[a], norm if b is a else np.sqrt((x * x).sum(1))[b]) >= least
         i, j = np.nonzero(near if side.any() else np.triu(near, 1))
@@ -105,9 +106,9 @@ def _compare(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            new = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "side", "cid")), np.stack(batch.column("vec").to_numpy(zero_copy_only=False)) if batch.num_rows else None]
-            if new[3] is None:
+            if not batch.num_rows:
                 continue
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "side", "cid", "vec")]
             held = [np.concatenate(x) for x in zip(held, new)] if held else new
             edges = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
             for part in zip(*(np.split(x, edges)[:-1] for x in held)):
