@@ -7,8 +7,8 @@ that plus the normalised sum of the index vectors of its neighbours within WINDO
 the mean of its words' vectors, over its whole text. A network (one tanh layer, one logistic unit) in numpy gives the
 score; a temperature fitted on a fold of its own calibrates it. Texts alone are inputs.
 
-Fitting uses a bounded sample of labelled documents: PER_CLASS of each label at most, picked by a hash of the id and
-weighted to the labels' true shares. Rows whose crc32(id as text) mod 4 is 2 are held out, and those with 3 calibrate.
+Fitting uses a bounded sample of labelled documents: PER_CLASS of each label at most, of LONGEST characters at most, picked
+by a hash of the id and weighted to the labels' true shares. Scoring has no such bound. Rows whose crc32(id as text) mod 4 is 2 are held out, and those with 3 calibrate.
 Labels that are null or not 0 or 1 are left out; of several labels of an id the least counts. With no or one label
 value in the sample, every score is that label's share (0.5 with none). A null or empty text has one word with an empty name.
 """
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 PER_CLASS, VOCABULARY, SHAPES, DIM, NONZERO, WINDOW, HIDDEN = 3000, 4096, 1024, 64, 6, 2, 24
 CACHE = 200_000
+#: Longer documents are not in the sample for fitting, so that it is bounded in bytes too.
+LONGEST = 100_000
 _TAIL = string.punctuation
 
 
@@ -161,7 +163,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text_col: str, id_col: s
     known = known.withColumn("fold", _fold(F.col("id"))).where("fold <> 2")
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(per_class) for y in (0, 1)]
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= LONGEST)
     return texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id").select("text", "y", "fold").limit(2 * per_class), counts
 
 
