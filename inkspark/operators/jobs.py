@@ -78,3 +78,12 @@ def debounced(updates: DataFrame, key: str, gap: str = "600 milliseconds") -> Da
     """The last update (key, ts, seq, value) of each burst: updates less than ``gap`` apart are one burst."""
     burst = updates.groupBy(key, F.session_window("ts", gap).alias("w"))
     return burst.agg(F.max_by("value", F.struct("ts", "seq")).alias("value"), F.count(F.lit(1)).alias("updates")).select(key, F.col("w.start").alias("burst_start"), "value", "updates")
+
+
+EVENT_FIELDS = ("file", "name", "status", "loaded", "total", "progress", "why")
+
+
+def plain_event(payload: Column) -> Column:
+    """A progress event's JSON as a struct of its seven fields; others are left out, missing ones null."""
+    kinds = {"loaded": "bigint", "total": "bigint", "progress": "double"}
+    return F.from_json(payload, ", ".join(f"{f} {kinds.get(f, 'string')}" for f in EVENT_FIELDS))

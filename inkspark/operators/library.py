@@ -81,3 +81,23 @@ def put(table: DataFrame, row: DataFrame, key: str, defaults: dict[str, Column])
     for name, value in defaults.items():
         row = row.withColumn(name, F.coalesce(F.col(name), value) if name in row.columns else value)
     return table.join(row.select(key), key, "left_anti").unionByName(row.select(*table.columns))
+
+
+def has_pages(pages: Column, original: Column) -> Column:
+    """A document can be shown as it was if its pages and its file are there."""
+    return F.coalesce((F.size(pages) > 0) & original.isNotNull(), F.lit(False))
+
+
+def position_key(sent_id: Column, word: Column) -> Column:
+    """'sentence+word'"""
+    return F.concat_ws("+", sent_id.cast("string"), word.cast("string"))
+
+
+def parse_position(key: Column) -> Column:
+    parts = F.split(key, r"\+")
+    return F.struct(parts[0].cast("long").alias("sent_id"), parts[1].cast("long").alias("word"))
+
+
+def text_after_word(text: Column, words: Column, first: Column) -> Column:
+    """The rest of a sentence from a word on."""
+    return F.substr(text, F.coalesce(F.get(words, first).start, F.lit(0)) + 1)

@@ -183,3 +183,31 @@ def clip_cache(spark, d):
     jobs = keys.groupBy("key").agg(F.min("doc_id").alias("doc_id"))  # one request for each key
     missing = jobs.join(cache, "key", "left_anti").withColumn("hit", F.lit(False))
     return missing.unionByName(jobs.join(cache, "key", "left_semi").withColumn("hit", F.lit(True)))
+
+
+@query("""
+    SELECT conv_id AS doc_id, turn AS sent_id, turn || '+' || (turn % 3) AS key, turn AS back_sent, (turn % 3)::BIGINT AS back_word, turn % 2 = 1 AS shown,
+           array_to_string((string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '))[(turn % 3) + 1:], ' ') AS rest
+    FROM conversations WHERE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) > 3""")
+def positions(spark, d):
+    """Position keys there and back, the rest of a sentence from a word, and which documents can be shown as they were."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", T.collapse(F.col("text")).alias("text")).withColumn("words", T.tokenize(F.col("text"))).where(F.size("words") > 3)
+    c = c.withColumn("word", F.col("turn") % 3).withColumn("key", L.position_key(F.col("turn"), F.col("word"))).withColumn("back", L.parse_position(F.col("key")))
+    shown = L.has_pages(F.when(F.col("turn") % 2 == 1, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")), F.lit("file"))
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("sent_id"), "key", F.col("back.sent_id").alias("back_sent"), F.col("back.word").alias("back_word"), shown.alias("shown"), L.text_after_word(F.col("text"), F.col("words"), F.col("word").cast("int")).alias("rest"))
+
+
+@query("""
+    SELECT conv_id AS doc_id, list_sort(list_distinct(list_concat(list(DISTINCT role), ['body'])))::VARCHAR[] AS kinds, count(DISTINCT role) AS n FROM conversations GROUP BY 1""")
+def kinds_of_documents(spark, d):
+    found = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.collect_set("role").alias("k"))
+    return found.select("doc_id", F.array_sort(F.array_union("k", F.array(F.lit("body")))).alias("kinds"), F.size("k").cast("long").alias("n"))
+
+
+@query("""
+    SELECT event_id, event_type AS file, (props->>'k')::BIGINT AS loaded, NULL::BIGINT AS total FROM events""")
+def plain_events(spark, d):
+    from inkspark.operators.jobs import plain_event
+
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit('{"extra": 1, "file": "'), "event_type", F.lit('", "loaded": '), F.get_json_object("props", "$.k"), F.lit("}")).alias("payload"))
+    return e.select("event_id", plain_event(F.col("payload")).alias("p")).select("event_id", "p.file", "p.loaded", "p.total")

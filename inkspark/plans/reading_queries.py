@@ -10,6 +10,7 @@ from inkspark.operators import navigation as N
 from inkspark.operators import packing as P
 
 from .registry import micros, query, table
+from .text_queries import CHUNKS
 
 #: DuckDB: the words of documents' first 200 characters with their weights.
 _WEIGHTS = r"""
@@ -221,10 +222,23 @@ def document_times(spark, d):
     return joined.select("doc_id", "lang", F.coalesce("quality", F.lit(-1)).cast("long").alias("quality"), T.clock(F.length("text") / 14.0).alias("clock"))
 
 
-@query()
+@query(rf"""
+    WITH RECURSIVE {CHUNKS},
+    c AS (SELECT doc_id, generate_subscripts(chunks, 1) AS n, unnest(chunks) AS text FROM merged WHERE doc_id >= 0),
+    walk(doc_id, n, clip, size, k) AS (
+        SELECT doc_id, n, 0, length(text), 1 FROM c WHERE n = 1
+        UNION ALL
+        SELECT c.doc_id, c.n, CASE WHEN w.size + 1 + length(c.text) <= 480 AND w.k <= 15 THEN w.clip ELSE w.clip + 1 END,
+               CASE WHEN w.size + 1 + length(c.text) <= 480 AND w.k <= 15 THEN w.size + 1 + length(c.text) ELSE length(c.text) END,
+               CASE WHEN w.size + 1 + length(c.text) <= 480 AND w.k <= 15 THEN w.k + 1 ELSE 1 END
+        FROM walk w JOIN c ON c.doc_id = w.doc_id AND c.n = w.n + 1),
+    clips AS (SELECT doc_id, max(clip) + 1 AS n_clips FROM walk GROUP BY 1),
+    sums AS (SELECT doc_id, count(*) AS n_chunks, sum(len(string_split(text, ' ')))::BIGINT AS n_words, floor(sum(length(text)) / 14.0::DOUBLE)::BIGINT AS seconds,
+        sum(2 * len(string_split(text, ' ')) + length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) + 3 * (length(text) - length(replace(text, ',', '')))
+            + 4 * (length(text) - length(translate(text, ';:—', ''))) + 6 * (length(text) - length(translate(text, '.!?', ''))))::BIGINT AS weight FROM c GROUP BY 1)
+    SELECT doc_id, n_chunks, n_clips::BIGINT AS n_clips, n_words, weight, seconds FROM sums JOIN clips USING (doc_id)""")
 def document_clips(spark, d):
-    """Documents to clips, end to end: chunks, clips, words, weight and estimated seconds of each document. SQL for the parts
-    is with the queries chunks, greedy_clips and word_weights."""
+    """Documents to clips, end to end: chunks, clips, words, weight and estimated seconds of each document."""
     cut = table(spark, d, "documents").select("doc_id", T.chunks(F.col("text")).alias("chunks"))
     items = F.transform("chunks", lambda t, i: F.struct(i.cast("long").alias("id"), F.lit("body").alias("kind"), t.alias("text")))
     clips = P.greedy_clip_numbers(items)

@@ -23,6 +23,28 @@ _SENTENCES = _BLOCKS + r""",
     sentences AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord, k) - 1 AS sent_id, s AS text FROM flat WHERE s <> '')"""
 
 
+#: DuckDB: (doc_id, chunks) of each text.
+CHUNKS = rf"""{_SENTENCES},
+    pieces AS (SELECT doc_id, sent_id, text, CASE WHEN length(text) <= 480 THEN [text] ELSE CASE WHEN f.cur = '' THEN f.parts ELSE list_append(f.parts, f.cur) END END AS ps FROM (
+        SELECT doc_id, sent_id, text, list_reduce(list_transform(string_split_regex(text, '[,;:—–]\s+'), lambda p: {{'cur': p, 'parts': []::VARCHAR[]}}),
+            lambda a, x: CASE WHEN length(CASE WHEN a.cur = '' THEN x.cur ELSE trim(a.cur || ', ' || x.cur, ', ') END) > 480 AND a.cur <> ''
+                THEN {{'cur': x.cur, 'parts': list_append(a.parts, a.cur)}}
+                ELSE {{'cur': CASE WHEN a.cur = '' THEN x.cur ELSE trim(a.cur || ', ' || x.cur, ', ') END, 'parts': a.parts}} END) AS f FROM sentences)),
+    numbered AS (SELECT doc_id, sent_id, generate_subscripts(ps, 1) AS k, unnest(ps) AS rest FROM pieces),
+    hard(doc_id, sent_id, k, step, rest, got) AS (
+        SELECT doc_id, sent_id, k, 0, rest, NULL::VARCHAR FROM numbered
+        UNION ALL
+        SELECT doc_id, sent_id, k, step + 1,
+               CASE WHEN length(rest) > 480 THEN trim(substr(rest, 1 + CASE WHEN instr(reverse(substr(rest, 1, 480)), ' ') IN (0, 480) THEN 480 ELSE 480 - instr(reverse(substr(rest, 1, 480)), ' ') END)) END,
+               CASE WHEN length(rest) > 480 THEN substr(rest, 1, CASE WHEN instr(reverse(substr(rest, 1, 480)), ' ') IN (0, 480) THEN 480 ELSE 480 - instr(reverse(substr(rest, 1, 480)), ' ') END) ELSE rest END
+        FROM hard WHERE rest IS NOT NULL),
+    cutup AS (SELECT doc_id, sent_id, k, step, got FROM hard WHERE got IS NOT NULL AND got <> ''),
+    items AS (SELECT doc_id, list({{'done': []::VARCHAR[], 'cur': got}} ORDER BY sent_id, k, step) AS l FROM cutup GROUP BY 1),
+    folded AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN (length(x.cur) < 40 OR length(a.cur) < 40) AND length(a.cur) + 1 + length(x.cur) <= 480
+        THEN {{'done': a.done, 'cur': a.cur || ' ' || x.cur}} ELSE {{'done': list_append(a.done, a.cur), 'cur': x.cur}} END) AS f FROM items),
+    merged AS (SELECT doc_id, list_append(f.done, f.cur) AS chunks FROM folded)"""
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     own = [(-1, "One two.\n \nThree  four\nfive.\n\n   "), (-2, ""), (-3, 'He said "Hi." Then left. (See p. 4.) 5 more! no split. Étage. A.B. C?')]
     return table(spark, d, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(own, "doc_id long, text string"))
@@ -52,27 +74,7 @@ def merged_sentences(spark, d):
     return _texts(spark, d).select("doc_id", F.posexplode(merged).alias("chunk_id", "text")).withColumn("chunk_id", F.col("chunk_id").cast("long"))
 
 
-@query(rf"""
-    WITH RECURSIVE {_SENTENCES},
-    pieces AS (SELECT doc_id, sent_id, text, CASE WHEN length(text) <= 480 THEN [text] ELSE CASE WHEN f.cur = '' THEN f.parts ELSE list_append(f.parts, f.cur) END END AS ps FROM (
-        SELECT doc_id, sent_id, text, list_reduce(list_transform(string_split_regex(text, '[,;:—–]\s+'), lambda p: {{'cur': p, 'parts': []::VARCHAR[]}}),
-            lambda a, x: CASE WHEN length(CASE WHEN a.cur = '' THEN x.cur ELSE trim(a.cur || ', ' || x.cur, ', ') END) > 480 AND a.cur <> ''
-                THEN {{'cur': x.cur, 'parts': list_append(a.parts, a.cur)}}
-                ELSE {{'cur': CASE WHEN a.cur = '' THEN x.cur ELSE trim(a.cur || ', ' || x.cur, ', ') END, 'parts': a.parts}} END) AS f FROM sentences)),
-    numbered AS (SELECT doc_id, sent_id, generate_subscripts(ps, 1) AS k, unnest(ps) AS rest FROM pieces),
-    hard(doc_id, sent_id, k, step, rest, got) AS (
-        SELECT doc_id, sent_id, k, 0, rest, NULL::VARCHAR FROM numbered
-        UNION ALL
-        SELECT doc_id, sent_id, k, step + 1,
-               CASE WHEN length(rest) > 480 THEN trim(substr(rest, 1 + CASE WHEN instr(reverse(substr(rest, 1, 480)), ' ') IN (0, 480) THEN 480 ELSE 480 - instr(reverse(substr(rest, 1, 480)), ' ') END)) END,
-               CASE WHEN length(rest) > 480 THEN substr(rest, 1, CASE WHEN instr(reverse(substr(rest, 1, 480)), ' ') IN (0, 480) THEN 480 ELSE 480 - instr(reverse(substr(rest, 1, 480)), ' ') END) ELSE rest END
-        FROM hard WHERE rest IS NOT NULL),
-    cutup AS (SELECT doc_id, sent_id, k, step, got FROM hard WHERE got IS NOT NULL AND got <> ''),
-    items AS (SELECT doc_id, list({{'done': []::VARCHAR[], 'cur': got}} ORDER BY sent_id, k, step) AS l FROM cutup GROUP BY 1),
-    folded AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN (length(x.cur) < 40 OR length(a.cur) < 40) AND length(a.cur) + 1 + length(x.cur) <= 480
-        THEN {{'done': a.done, 'cur': a.cur || ' ' || x.cur}} ELSE {{'done': list_append(a.done, a.cur), 'cur': x.cur}} END) AS f FROM items),
-    merged AS (SELECT doc_id, list_append(f.done, f.cur) AS chunks FROM folded)
-    SELECT doc_id, generate_subscripts(chunks, 1) - 1 AS chunk_id, unnest(chunks) AS text FROM merged""")
+@query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, generate_subscripts(chunks, 1) - 1 AS chunk_id, unnest(chunks) AS text FROM merged")
 def chunks(spark, d):
     return _texts(spark, d).select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk_id", "text")).withColumn("chunk_id", F.col("chunk_id").cast("long"))
 
