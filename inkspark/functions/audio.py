@@ -7,10 +7,7 @@ import struct
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def let(value: Column, then) -> Column:
-    """``then`` of a value that is computed once for each row, though ``then`` uses it for each element of an array."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+from .core import let
 
 
 def total(x: Column) -> Column:

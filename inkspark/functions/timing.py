@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .core import let
+
 # Pause weight of punctuation.
 PAUSES = {",": 3, ";": 4, ":": 4, ".": 6, "!": 6, "?": 6, "—": 4}
 WORD_FLOOR = 2
@@ -20,17 +22,19 @@ def word_weight(word: Column) -> Column:
 
 def word_timings(words: Column, duration: Column) -> Column:
     """Start and end of each word: the duration dealt out by weight, in order; the last end is the duration itself."""
-    weights = F.transform(words, word_weight)
-    total = F.aggregate(weights, F.lit(0).cast("long"), lambda s, w: s + w)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:double,end:double>>").alias("out"))
-    at = lambda x: duration * x / total
+    kind = "array<struct<start:double,end:double>>"
+
+    def deal(weights: Column, total: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
+
+        def add(acc: Column, w: Column) -> Column:
+            upto = acc["at"] + w
+            end = F.when(upto == total, duration).otherwise(duration * upto / total)
+            return F.struct(upto.alias("at"), F.array_append(acc.out, F.struct((duration * acc["at"] / total).alias("start"), end.alias("end"))).alias("out"))
 
-    def add(acc: Column, w: Column) -> Column:
-        upto = acc["at"] + w
-        end = F.when(upto == total, duration).otherwise(at(upto))
-        return F.struct(upto.alias("at"), F.array_append(acc.out, F.struct(at(acc["at"]).alias("start"), end.alias("end"))).alias("out"))
+        return F.aggregate(weights, start, add, lambda acc: acc.out)
 
-    return F.aggregate(weights, start, add, lambda acc: acc.out)
+    return let(F.transform(words, word_weight), lambda ws: let(F.aggregate(ws, F.lit(0).cast("long"), lambda s, w: s + w), lambda total: deal(ws, total)))
 
 
 def content_key(preset: Column, spoken: Column, prefix: str = "kokoro") -> Column:

@@ -240,12 +240,11 @@ def document_times(spark, d):
 def document_clips(spark, d):
     """Documents to clips, end to end: chunks, clips, words, weight and estimated seconds of each document."""
     cut = table(spark, d, "documents").select("doc_id", T.chunks(F.col("text")).alias("chunks"))
+    cut = cut.withColumn("words", F.flatten(F.transform("chunks", T.words)))
     items = F.transform("chunks", lambda t, i: F.struct(i.cast("long").alias("id"), F.lit("body").alias("kind"), t.alias("text")))
-    clips = P.greedy_clip_numbers(items)
-    words = F.flatten(F.transform("chunks", T.words))
-    weight = F.aggregate(F.transform(words, M.word_weight), F.lit(0).cast("long"), lambda a, w: a + w)
+    weight = F.aggregate(F.transform("words", M.word_weight), F.lit(0).cast("long"), lambda a, w: a + w)
     chars = F.aggregate("chunks", F.lit(0), lambda a, t: a + F.length(t))
     return cut.select(
-        "doc_id", F.size("chunks").cast("long").alias("n_chunks"), F.coalesce(F.array_max(clips) + 1, F.lit(0)).cast("long").alias("n_clips"), F.size(words).cast("long").alias("n_words"), weight.alias("weight"),
-        F.floor(chars / 14.0).cast("long").alias("seconds"),
+        "doc_id", F.size("chunks").cast("long").alias("n_chunks"), F.coalesce(F.array_max(P.greedy_clip_numbers(items)) + 1, F.lit(0)).cast("long").alias("n_clips"),
+        F.size("words").cast("long").alias("n_words"), weight.alias("weight"), F.floor(chars / 14.0).cast("long").alias("seconds"),
     )

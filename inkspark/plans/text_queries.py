@@ -125,5 +125,5 @@ def labels_and_titles(spark, d):
     FROM f LEFT JOIN c USING (conv_id, turn)""")
 def clause_cut(spark, d):
     """Where to stop in each turn of a conversation to stay within 90 characters."""
-    turns = table(spark, d, "conversations").select("conv_id", "turn", T.collapse(F.col("text")).alias("text")).where("text <> ''")
-    return turns.select("conv_id", "turn", T.cut_at(T.tokenize(F.col("text")), F.length("text"), F.lit(0), F.lit(90)).cast("long").alias("cut"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", T.collapse(F.col("text")).alias("text")).where("text <> ''").withColumn("words", T.tokenize(F.col("text")))
+    return turns.select("conv_id", "turn", T.cut_at(F.col("words"), F.length("text"), F.lit(0), F.lit(90)).cast("long").alias("cut"))
