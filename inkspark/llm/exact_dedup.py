@@ -25,7 +25,8 @@ SUPPORT = 1 / 1024
 
 
 def heavy_hitters(rows: DataFrame, key: str, best: F.Column, support: float = SUPPORT) -> DataFrame:
-    """(key, group_size, best) of each key with more than ``support`` of the rows: at most 1 / support rows."""
+    """(key, group_size, best) of each key with more than ``support`` of the rows: at most 1 / support rows. ``rows`` should be
+    a narrow table, since it is read three times and each of its partitions gives a summary of 1 / support counters."""
     found = rows.freqItems([key], support)
     candidates = found.select(F.explode(found.columns[0]).alias(key))
     counted = rows.join(F.broadcast(candidates), key, "left_semi").groupBy(key)
@@ -67,7 +68,7 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
 def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", support: float = SUPPORT) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns. Copies of heavy texts go before the shuffle."""
     keyed = docs.withColumn("__key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    winners = heavy_hitters(keyed.select("__key", F.col(id_col).alias("id")), "__key", F.struct("id"), support)
+    winners = heavy_hitters(materialize(keyed.select("__key", F.col(id_col).alias("id"))), "__key", F.struct("id"), support)
     winners = winners.select("__key", F.lit(True).alias("__heavy"), F.col("best.id").alias("__best"))
     left = keyed.join(F.broadcast(winners), "__key", "left")
     left = left.where(F.col("__heavy").isNull() | F.col(id_col).eqNullSafe(F.col("__best")))

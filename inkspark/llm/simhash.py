@@ -26,8 +26,11 @@ from .components import connected_components
 from .shared import has_rows, join_checked, materialize
 
 SEED = 42
-#: Fingerprints under one key that one task compares; keys with more are split.
-RUN = 512
+#: Fingerprints under one key that one task compares; keys with more are split. Splitting makes some 50 rows of each
+#: fingerprint, so up to this size comparing costs less, even where no two are near.
+RUN = 16_384
+#: Runs up to this size are compared many at a time.
+SHORT = 64
 #: Documents of each component that the first round of verification settles.
 LEADERS = 8
 _BLOCK = 100_000
@@ -85,8 +88,8 @@ def _variants(rows: DataFrame, segments: list[tuple[int, int]]) -> DataFrame:
     return made.select(F.xxhash64("key", "x.bit", F.col("rest").bitwiseAND(F.col("x.mask"))).alias("key"), "fp", "rest", "x.bit")
 
 
-def _forest(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the fingerprints that share a key and differ in at most ``bits``."""
+def _short_runs(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the fingerprints that share a key and differ in at most ``bits``, for many short runs."""
     one, two, d, at = [], [], 1, np.arange(len(fp))
     while True:
         at = at[at + d < len(fp)]
@@ -111,6 +114,26 @@ def _forest(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.
     return fp[label[moved]], fp[moved]
 
 
+def _long_run(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one run, breadth first: what is reached is not compared again, so a group of near copies costs little
+    more than its size."""
+    left, roots, reached = np.arange(len(fp)), [], []
+    while len(left):
+        root, left = left[0], left[1:]
+        front = np.array([root])
+        while len(front) and len(left):
+            near = np.zeros(len(left), bool)
+            for i in range(0, len(front), 256):
+                rest = np.flatnonzero(~near)
+                near[rest] = (np.bitwise_count(fp[front[i : i + 256], None] ^ fp[left[rest]]) <= bits).any(0)
+            front, left = left[near], left[~near]
+            roots.append(np.full(len(front), root))
+            reached.append(front)
+    if not roots:
+        return fp[:0], fp[:0]
+    return fp[np.concatenate(roots)], fp[np.concatenate(reached)]
+
+
 def _runs(bits: int, limit: int | None, segments: list[tuple[int, int]]):
     """Of rows sorted by key: links (a, b) that connect each run. Of runs over the limit: key, fp and what the key leaves open."""
     first, width = (np.array([s[i] for s in segments for _ in range(s[1])], np.uint64) for i in (0, 1))
@@ -134,9 +157,12 @@ def _runs(bits: int, limit: int | None, segments: list[tuple[int, int]]):
         size = np.repeat(size, size)
         if limit is not None and (size > limit).any():
             yield overfull([x[size > limit] for x in rows])
-        kept = (size > 1) & (size <= (limit or len(key)))
-        a, b = _forest(rows[0][kept], rows[1][kept], bits)
+        short = (size > 1) & (size <= SHORT)
+        a, b = _short_runs(rows[0][short], rows[1][short], bits)
         yield out(a, a, b, b, False)
+        for i in edge[(size[edge] > SHORT) & (size[edge] <= (limit or len(key)))]:
+            a, b = _long_run(rows[1][i : i + size[i]], bits)
+            yield out(a, a, b, b, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, flowing = [none, none, none, np.zeros(0, np.int64)], None

@@ -57,7 +57,7 @@ def decide(pages: DataFrame, min_bytes: int = 0, html_col: str = "html", id_col:
     keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     small = keyed.where(F.octet_length("payload") < min_bytes).withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast(keyed.schema["page_id"].dataType))
     keyed = keyed.where(F.octet_length("payload") >= min_bytes).withColumn("key", F.sha2("payload", 256))
-    winners = heavy_hitters(keyed.select("key", F.col("page_id").alias("id")), "key", F.struct("id"))
+    winners = heavy_hitters(materialize(keyed.select("key", F.col("page_id").alias("id"))), "key", F.struct("id"))
     winners = winners.select("key", F.lit(True).alias("heavy"), F.col("best.id").alias("best"))
     keyed = keyed.join(F.broadcast(winners), "key", "left")
     copies = F.col("heavy") & ~F.col("page_id").eqNullSafe(F.col("best"))

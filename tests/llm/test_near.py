@@ -38,8 +38,9 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == fingerprint(text)
 
 
-@pytest.mark.parametrize("bits, run", [(3, 512), (3, 4), (5, 512), (7, 8)])
-def test_links_connect_what_brute_force_links(spark, bits, run):
+@pytest.mark.parametrize("bits, run, short", [(3, 512, 64), (3, 4, 64), (5, 512, 2), (7, 8, 3), (3, 16384, 1)])
+def test_links_connect_what_brute_force_links(spark, monkeypatch, bits, run, short):
+    monkeypatch.setattr(simhash, "SHORT", short)
     rng = np.random.default_rng(bits * 1000 + run)
     centres = rng.integers(0, 2**64, 40, dtype=np.uint64)
     fps = {0, 2**64 - 1}
