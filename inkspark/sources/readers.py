@@ -44,7 +44,7 @@ def supported() -> str:
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """One row for each text or Markdown file: path, title, text. Bytes that are not UTF-8 become U+FFFD."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return files.select("path", T.title_of(F.col("path")).alias("title"), "text")
 
 
