@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import let
@@ -37,6 +37,17 @@ def word_timings(words: Column, duration: Column) -> Column:
     return let(F.transform(words, word_weight), lambda ws: let(F.aggregate(ws, F.lit(0).cast("long"), lambda s, w: s + w), lambda total: deal(ws, total)))
 
 
+def exploded_timings(rows: DataFrame, key: str, duration: Column) -> DataFrame:
+    """As word_timings(), of rows (key, weights): a row (key, idx, start, end) for each word. Prefix sums are a window,
+    so that work is in proportion to the words of a long text."""
+    totals = rows.select(key, "weights", F.aggregate("weights", F.lit(0).cast("long"), lambda s, w: s + w).alias("total"))
+    each = totals.select(key, "total", F.posexplode("weights").alias("idx", "w"))
+    upto = F.sum("w").over(Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    placed = each.withColumn("upto", upto)
+    end = F.when(F.col("upto") == F.col("total"), duration).otherwise(duration * F.col("upto") / F.col("total"))
+    return placed.select(key, F.col("idx").cast("long").alias("idx"), (duration * (F.col("upto") - F.col("w")) / F.col("total")).alias("start"), end.alias("end"))
+
+
 def content_key(preset: Column, spoken: Column, prefix: str = "kokoro") -> Column:
     """24 hex digits that name a clip: of its voice and spoken text."""
     return F.substring(F.sha2(F.concat_ws("|", F.lit(prefix), preset, spoken), 256), 1, 24)

@@ -21,10 +21,24 @@ _WEIGHTS = r"""
     times AS (SELECT doc_id, idx, word, weight, sum(weight) OVER (PARTITION BY doc_id ORDER BY idx) AS upto, sum(weight) OVER (PARTITION BY doc_id) AS total FROM weights)"""
 
 
+#: The same of whole texts.
+_WHOLE = _WEIGHTS.replace("substr(text, 1, 200)", "text")
+
+
 def _words(spark, d):
     return table(spark, d, "documents").select("doc_id", T.words(T.collapse(F.substring("text", 1, 200))).alias("words"))
 
 
+def _whole_words(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.words(T.collapse(F.col("text"))).alias("words"))
+
+
+def _whole_times(spark, d):
+    """(doc_id, idx, start, end) of the words of whole texts, 10 seconds each."""
+    weights = _whole_words(spark, d).select("doc_id", F.transform("words", M.word_weight).alias("weights"))
+    return M.exploded_timings(weights, "doc_id", F.lit(10.0))
+
+
 def _sentences(spark, d):
     c = table(spark, d, "conversations")
     return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("sent_id"), F.when(F.col("role") == "system", "header").otherwise("body").alias("kind"), "text", "role")
@@ -56,6 +70,32 @@ def word_at_time(spark, d):
     return N.word_at(times, words).select(F.col("clip").alias("doc_id"), F.floor(F.col("t") * 1000 + 0.5).cast("long").alias("t_ms"), "word")
 
 
+@query(f"WITH {_WHOLE} SELECT doc_id, idx, word, weight FROM weights WHERE word <> ''")
+def word_weights_whole(spark, d):
+    """word_weights of every word; that query's SQL reads 200 characters."""
+    rows = _whole_words(spark, d).select("doc_id", F.posexplode("words").alias("idx", "word"))
+    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "word", M.word_weight(F.col("word")).alias("weight"))
+
+
+@query(f"""WITH {_WHOLE} SELECT doc_id, idx, floor(10.0::DOUBLE * (upto - weight) / total * 1000 + 0.5)::BIGINT AS start_ms, floor(10.0::DOUBLE * upto / total * 1000 + 0.5)::BIGINT AS end_ms
+    FROM times WHERE word <> ''""")
+def word_timings_whole(spark, d):
+    """word_timings of every word."""
+    ms = lambda c: F.floor(c * 1000 + 0.5).cast("long")
+    return _whole_times(spark, d).select("doc_id", "idx", ms(F.col("start")).alias("start_ms"), ms(F.col("end")).alias("end_ms"))
+
+
+@query(f"""WITH {_WHOLE}, asked AS (SELECT doc_id, unnest([-1.0, 0.0, 2.5, 4.123, 9.99, 30.0])::DOUBLE AS t FROM documents)
+    SELECT a.doc_id, floor(t * 1000 + 0.5)::BIGINT AS t_ms, coalesce(max(idx) FILTER (10.0::DOUBLE * (upto - weight) / total <= t), 0)::BIGINT AS word
+    FROM asked a JOIN times USING (doc_id) WHERE times.word <> '' GROUP BY a.doc_id, t""")
+def word_at_time_whole(spark, d):
+    """word_at_time over every word."""
+    words = _whole_times(spark, d).select(F.col("doc_id").alias("clip"), "idx", "start")
+    clips = _whole_words(spark, d).where(F.size("words") > 0).select(F.col("doc_id").alias("clip"))
+    times = clips.select("clip", F.explode(F.array(*map(F.lit, [-1.0, 0.0, 2.5, 4.123, 9.99, 30.0]))).alias("t"))
+    return N.word_at(times, words).select(F.col("clip").alias("doc_id"), F.floor(F.col("t") * 1000 + 0.5).cast("long").alias("t_ms"), "word")
+
+
 @query(f"""
     WITH {_SENTS}, s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) AS n, length(text) AS len FROM sents),
     pairs AS (SELECT a.doc_id, a.sent_id, b.sent_id AS id, b.n - a.n AS k, b.kind = a.kind AS same, b.text,
