@@ -5,8 +5,9 @@ tree with more than LEAF vectors is split at random directions (up to DEPTH leve
 come from the cell's name, thresholds are medians of a sample of SAMPLE vectors at most from each cell; every vector
 is indexed). A vector within the spill of a threshold goes to both sides: a pair at the least similarity is parted only
 if its projections differ by more than twice the spill, on opposite sides. Cells of LEAF vectors or less are
-compared in whole, in double precision; a cell that splitting does not make smaller (very many vectors within the spill
-of each other) is compared in blocks of BLOCK, exactly. Pairs from all trees are united, so a link that one tree
+compared in whole, in double precision. A cell of which splitting would make more copies than comparing it in blocks of
+BLOCK (very many vectors within the spill of each other) is compared in blocks, exactly; how splitting would grow is
+carried on from what the sample's split holds. Pairs from all trees are united, so a link that one tree
 parts is found by another; found links are all true.
 
 Vectors that are null, zero, or have null or non-finite components link with nothing; nor do vectors of different lengths.
@@ -55,9 +56,15 @@ def _descend(projected: np.ndarray, thresholds: np.ndarray, spill: float) -> lis
     return cells
 
 
-def _fit(least: float):
+def _copies(rows: int, growth: float, depth: int, leaf: int) -> float:
+    """Copies of each row when a cell of ``rows`` rows is down to ``leaf``, if ``depth`` levels hold ``growth`` times the rows and others do alike."""
+    level = max(1.0, growth) ** (1 / depth)
+    return np.inf if level >= 1.99 else level ** (np.log(rows / leaf) / np.log(2 / level))
+
+
+def _fit(least: float, leaf: int):
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        cell, depth = key
+        cell, depth, size = key
         x = np.stack(rows["vec"].to_numpy())
         projected = x @ _directions(cell, depth, x.shape[1]).T
         thresholds = np.zeros((1 << depth) - 1)
@@ -67,7 +74,9 @@ def _fit(least: float):
             values = projected[here if len(here) else cells[0], node]
             thresholds[node] = np.median(values)
             cells[2 * node + 1], cells[2 * node + 2] = here[projected[here, node] <= thresholds[node]], here[projected[here, node] > thresholds[node]]
-        return pd.DataFrame({"cell": [cell], "thresholds": [thresholds]})
+        growth = sum(len(inside) for inside, _ in _descend(projected, thresholds, _spill(least, x.shape[1]))) / len(x)
+        dense = _copies(size, growth, depth, leaf) > np.ceil(size / min(BLOCK, leaf))
+        return pd.DataFrame({"cell": [cell], "thresholds": [thresholds], "grows": [bool(dense)]})
 
     return fit
 
@@ -137,23 +146,26 @@ def near_pairs(vectors: DataFrame, least: float, trees: int = TREES, leaf: int =
         sized = join_checked(cells.drop("parent_rows"), counts.drop("parent_rows"), "cell", "inner", F.col("cid"))
         found.append(_links_within(sized.where(F.col("rows") <= leaf).select(F.col("cell").alias("key"), F.lit(0).alias("side"), "cid", "vec"), least))
         if has_rows(counts.where(F.col("dense") & (F.col("rows") > leaf))):
-            found.append(_links_within(_blocks(sized.where(F.col("dense") & (F.col("rows") > leaf))), least))
+            found.append(_links_within(_blocks(sized.where(F.col("dense") & (F.col("rows") > leaf)), min(BLOCK, leaf)), least))
         large = sized.where(~F.col("dense") & (F.col("rows") > leaf))
         if not has_rows(counts.where(~F.col("dense") & (F.col("rows") > leaf))):
             break
         depth = F.least(F.lit(DEPTH), F.ceil(F.log2(F.col("rows") / leaf))).cast("int")
-        picked = large.where(F.rand(11) < 0.9 * SAMPLE / F.col("rows")).select("cell", depth.alias("depth"), "vec")
-        fits = materialize(picked.groupBy("cell", "depth").applyInPandas(_fit(least), "cell long, thresholds array<double>"))
-        cells = join_checked(large, fits, "cell", "inner", F.col("cid")).mapInArrow(_split(least), "cell long, parent_rows long, cid long, vec array<double>")
+        picked = large.where(F.rand(11) < 0.9 * SAMPLE / F.col("rows")).select("cell", depth.alias("depth"), "rows", "vec")
+        fits = materialize(picked.groupBy("cell", "depth", "rows").applyInPandas(_fit(least, leaf), "cell long, thresholds array<double>, grows boolean"))
+        fitted = join_checked(large, fits, "cell", "inner", F.col("cid"))
+        if has_rows(fits.where("grows")):
+            found.append(_links_within(_blocks(fitted.where("grows"), min(BLOCK, leaf)), least))
+        cells = fitted.where("NOT grows").drop("grows").mapInArrow(_split(least), "cell long, parent_rows long, cid long, vec array<double>")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
     return materialize(pairs.distinct())
 
 
-def _blocks(dense: DataFrame) -> DataFrame:
+def _blocks(dense: DataFrame, block: int = BLOCK) -> DataFrame:
     """Each row once for each block of its cell: (key, side, cid, vec) of all pairs of blocks."""
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("rows") / block).cast("int")
     own = dense.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return paired.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "vec")

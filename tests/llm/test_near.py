@@ -136,3 +136,18 @@ def test_dense_cells_are_compared_in_blocks(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     rows = rp_forest.near_duplicates(df, 0.95, leaf=32).collect()
     assert {(r.n_links, r.component_id) for r in rows} == {(299, 0)}
+
+
+def test_cells_that_splitting_would_copy_many_times_go_to_blocks(spark, monkeypatch):
+    """One cluster of mean cosine 0.986: in 64 dimensions most rows are within the spill, but each child has under 95 % of its parent."""
+    rng = np.random.default_rng(11)
+    centre = rng.standard_normal(64)
+    x = centre / np.linalg.norm(centre) + 0.0149 * rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    split = []
+    blocks = rp_forest._blocks
+    monkeypatch.setattr(rp_forest, "_blocks", lambda rows, *more: split.append(rows.count()) or blocks(rows, *more))
+    df = spark.createDataFrame([(i, 64, v.tolist()) for i, v in enumerate(x)], "cid long, dim int, vec array<double>")
+    pairs = rp_forest.near_pairs(df, 0.95, trees=2, leaf=128)
+    assert split == [2 * len(x)]  # both trees' whole cells, before any split
+    assert pairs.count() == np.triu(x @ x.T >= 0.95, 1).sum()
