@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.functions import text as T
@@ -192,12 +195,17 @@ def item_boxes(spark, d):
     return rows.select("id", box.x.cast("long").alias("x"), thousandths(box.y).alias("y_thousandths"), thousandths(box["size"]).alias("size_thousandths"), thousandths(Y.place(box.x, box.y, box.w, box.h, F.lit(612.0), F.lit(792.0)).left).alias("left_thousandths"))
 
 
+#: Patterns broadcast at once.
+PATTERNS = 10_000
+
+
 @query("""
     SELECT d.doc_id, b.item_id FROM documents d JOIN (SELECT item_id, substr(text, 1, 40) AS p FROM benchmark) b ON contains(d.text, b.p)""")
 def pattern_hits(spark, d):
-    """Documents that hold the beginning of a benchmark item: a theta join. The pattern table is small by definition; its size is checked."""
-    patterns = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("p"))
-    if patterns.limit(10_001).count() > 10_000:
-        raise ValueError("a pattern table has 10,000 rows at most")
+    """Documents that hold a whole benchmark item: a theta join. Patterns beyond PATTERNS go in blocks of about so many, each compared with all documents."""
+    patterns = table(spark, d, "benchmark").select("item_id", F.col("text").alias("p"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(patterns), F.contains("text", "p")).select("doc_id", "item_id")
+    blocks = max(1, -(-patterns.count() // PATTERNS))
+    parts = [patterns.where(F.pmod(F.xxhash64("item_id", "p"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [patterns]
+    hits = [docs.join(F.broadcast(part), F.contains("text", "p")).select("doc_id", "item_id") for part in parts]
+    return functools.reduce(DataFrame.unionAll, hits)
