@@ -5,14 +5,11 @@ Event times are cast to timestamps with a zone, which watermarks need. State is
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspark.sources.scratch import scratch
+
 
 def events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
     """A stream of the rows of an events file of ``folder``."""
@@ -37,24 +34,10 @@ def file_progress(stream: DataFrame, key: str) -> DataFrame:
     return stream.groupBy(key, "file").agg(F.max_by(F.struct("loaded", "total"), F.struct("ts", "seq")).alias("x"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder named by spark.checkpoint.dir (a temporary one where that is unset), removed at exit."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkspark-")
-    path = f"{root.rstrip('/')}/inkspark-streams/{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended first
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def run_to_end(stream: DataFrame, mode: str, name: str, checkpoint: str | None = None) -> DataFrame:
     """All rows that are there, through a streaming query into Parquet files in the shared folder: the executors write each
     micro-batch to a folder of its own (again, if it is run again). In mode complete the last batch is the result."""
-    spark, top, batches = stream.sparkSession, _scratch(stream.sparkSession), []
+    spark, top, batches = stream.sparkSession, scratch(stream.sparkSession), []
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{top}/rows/{number}")
