@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import drop, join_counted, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) of each node with a link; root is the smallest node of its component.
 
     ``links`` has columns a and b of one ordered type. Each round is two grouped minima, which combine on the map
-    side, and two joins that AQE can split; its result goes to the shared folder. Nothing is collected but a
-    count and a checksum."""
+    side, and two joins in which a node with very many links is broadcast instead of shuffled; its result goes to the shared
+    folder and that of the round before is dropped. Nothing is collected but a count and a checksum."""
     ends = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     edges = materialize(links.where("a <> b").select(*ends).distinct())
     state = None
@@ -23,10 +23,12 @@ def connected_components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-
+        larger = F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n")
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), larger).where("n > 0").select("u", F.least("u", "m").alias("m"), "n"))
+        large = join_counted(both.where("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, least)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = join_counted(large, least, "u", "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        made = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), edges)
+        drop(large, least)
+        edges = made

@@ -1,59 +1,87 @@
-"""Tables and files that every executor can read, and joins with a checked broadcast side."""
+"""Tables and files that every executor can read, and joins whose broadcast side is bounded.
+
+Intermediate tables are Parquet in the folder that spark.checkpoint.dir names: every executor can read them again after
+another one was lost. A loop drops a table once what was made of it is written; what a returned DataFrame still reads
+goes when the JVM ends, whether the session was stopped before or not.
+"""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
-import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkspark.sources.scratch import hadoop_path, scratch
+
 #: A side of a join is broadcast only when a count has shown that it has no more rows.
 BROADCAST_ROWS = 50_000
 #: Copies of the small side where it is too large to broadcast and the other side may be skewed.
 SALTS = 32
+#: A key with more than this share of a join's rows is heavy; there are fewer than 1 / HEAVY of them.
+HEAVY = 1 / 1024
 
-_own: dict[str, str] = {}
-
+_tables: dict[int, tuple[DataFrame, str]] = {}
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder named by spark.checkpoint.dir (a temporary one where that is unset)."""
-    app = spark.sparkContext.applicationId
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(app, tempfile.mkdtemp(prefix="inkspark-"))
-    top = f"{root.rstrip('/')}/inkspark-{app}"
-    if top not in _own:
-        _own[top] = app
-        atexit.register(_remove, spark, top)
-    return f"{top}/{uuid.uuid4().hex}"
 
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended first
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def materialize(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts lineage, and survives lost executors. The tables ``spent``,
+    which came from here and are not read any more, are dropped then."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _tables[id(made)] = (made, path)
+    drop(*spent)
+    return made
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def drop(*tables: DataFrame) -> None:
+    """Remove the files of tables that materialize() gave."""
+    for t in tables:
+        if id(t) in _tables:
+            path, where = hadoop_path(t.sparkSession, _tables.pop(id(t))[1])
+            with contextlib.suppress(Exception):  # a store that refuses keeps the files till the end
+                where.delete(path, True)
 
 
 def has_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: str, how: str, spread: Column) -> DataFrame:
-    """Join on one non-null column. ``small`` has a row for each key; it is broadcast if its row count is
+def join_checked(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str, spread: Column) -> DataFrame:
+    """Join on non-null columns. ``small`` has a row for each key; it is broadcast if its row count is
     proven small, else each of its rows is copied to SALTS salts and ``big`` is salted by ``spread``, so a
     hot key does not meet in one task."""
+    on = [on] if isinstance(on, str) else list(on)
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [on, "__salt"], how).drop("__salt")
+    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+
+
+def join_counted(big: DataFrame, small: DataFrame, on: str | Sequence[str], rows: str) -> DataFrame:
+    """Inner join on non-null columns. ``small``, a written table of narrow rows, has a row for each key and in ``rows`` how many
+    of ``big`` have it. Keys with more than HEAVY of all rows are fewer than 1 / HEAVY: they are broadcast, and their rows of
+    ``big`` are not shuffled. The rest is joined as usual, or by broadcast if ``small`` is proven small as a whole."""
+    on = [on] if isinstance(on, str) else list(on)
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), on)
+    least = (small.agg(F.sum(rows)).first()[0] or 0) * HEAVY
+    heavy, light = small.where(F.col(rows) > least), small.where(F.col(rows) <= least)
+    if not has_rows(heavy):
+        return big.join(light, on)
+    rest = big.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on)
+    return big.join(F.broadcast(heavy), on).unionByName(rest)
+
+
+def join_wide(big: DataFrame, small: DataFrame, on: str, rows: str, spread: Column) -> DataFrame:
+    """As join_counted() on one column, for a written table ``small`` of wide rows: only the names of heavy keys are broadcast;
+    their rows of ``small`` are copied to SALTS salts, over which ``spread`` deals those of ``big``."""
+    least = (small.agg(F.sum(rows)).first()[0] or 0) * HEAVY
+    heavy = F.col(rows) > least
+    salted = big.join(F.broadcast(small.where(heavy).select(on, F.lit(SALTS).alias("__salts"))), on, "left")
+    salted = salted.withColumn("__salt", F.pmod(F.xxhash64(spread), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(heavy, SALTS - 1).otherwise(0))))
+    return salted.join(copies, [on, "__salt"]).drop("__salt")

@@ -130,24 +130,64 @@ def test_embeddings(spark, leaf):
     assert rp_forest.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_dense_cells_are_compared_in_blocks(spark):
+def brute(x, least):
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = y @ y.T >= least
+    np.fill_diagonal(near, False)
+    return near
+
+
+@pytest.mark.parametrize("block", [4096, 64])
+def test_dense_cells_are_compared_in_blocks(spark, block):
     rng = np.random.default_rng(9)
     x = 1 + 0.001 * rng.standard_normal((300, 16))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    rows = rp_forest.near_duplicates(df, 0.95, leaf=32).collect()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = rp_forest.near_duplicates(df, 0.95, leaf=32, block=block).collect()
     assert {(r.n_links, r.component_id) for r in rows} == {(299, 0)}
 
 
-def test_cells_that_splitting_would_copy_many_times_go_to_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("trees", [0, 3])
+def test_cells_that_splitting_would_copy_many_times_go_to_blocks(spark, trees):
     """One cluster of mean cosine 0.986: in 64 dimensions most rows are within the spill, but each child has under 95 % of its parent."""
     rng = np.random.default_rng(11)
     centre = rng.standard_normal(64)
     x = centre / np.linalg.norm(centre) + 0.0149 * rng.standard_normal((1500, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = rp_forest.near_duplicates(df, 0.95, trees=trees, leaf=128, block=200).collect()
+    near = brute(x, 0.95)
+    assert {r.vec_id: r.n_links for r in rows} == dict(enumerate(near.sum(1).tolist()))
+
+
+@pytest.fixture(scope="module")
+def close_pairs():
+    """12,000 vectors: 5,000 pairs planted at a cosine of 0.95 to 0.96, the hardest to find, and some groups that link in chains."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((7000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    split = []
-    blocks = rp_forest._blocks
-    monkeypatch.setattr(rp_forest, "_blocks", lambda rows, *more: split.append(rows.count()) or blocks(rows, *more))
-    df = spark.createDataFrame([(i, 64, v.tolist()) for i, v in enumerate(x)], "cid long, dim int, vec array<double>")
-    pairs = rp_forest.near_pairs(df, 0.95, trees=2, leaf=128)
-    assert split == [2 * len(x)]  # both trees' whole cells, before any split
-    assert pairs.count() == np.triu(x @ x.T >= 0.95, 1).sum()
+    other = rng.standard_normal((5000, 64))
+    other -= (other * x[:5000]).sum(1, keepdims=True) * x[:5000]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9501, 0.96, (5000, 1))
+    return np.concatenate([x, cosine * x[:5000] + np.sqrt(1 - cosine**2) * other]).astype(np.float32)
+
+
+@pytest.mark.parametrize("trees, floor", [(rp_forest.TREES, 0.98), (0, 1.0)])
+def test_recall_near_the_threshold(spark, close_pairs, trees, floor):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(close_pairs)], "vec_id long, embedding array<float>").repartition(4)
+    near = brute(close_pairs, 0.95)
+    got = {r.vec_id: r for r in rp_forest.near_duplicates(df, 0.95, trees=trees, leaf=512).collect()}
+    assert all(got[i].n_links <= d for i, d in enumerate(near.sum(1)))
+    assert near.sum() >= 10_000 and sum(r.n_links for r in got.values()) >= floor * near.sum()
+    if trees == 0:
+        want = roots(len(near), [(int(i), int(j)) for i, j in zip(*np.nonzero(near)) if i < j])
+        assert [got[i].component_id for i in range(len(near))] == want
+
+
+def test_thresholds_in_several_rounds(spark, close_pairs, monkeypatch):
+    monkeypatch.setattr(rp_forest, "THRESHOLDS", 64)
+    x = close_pairs[:2000]
+    x[1000:] = x[:1000] + 0.02
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    near, rows = brute(x, 0.95), rp_forest.near_duplicates(df, 0.95, leaf=100).collect()
+    assert all(r.n_links <= near[r.vec_id].sum() for r in rows) and sum(r.n_links for r in rows) >= 0.98 * near.sum()
