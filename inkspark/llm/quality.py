@@ -7,29 +7,35 @@ that plus the normalised sum of the index vectors of its neighbours within WINDO
 the mean of its words' vectors, over its whole text. A network (one tanh layer, one logistic unit) in numpy gives the
 score; a temperature fitted on a fold of its own calibrates it. Texts alone are inputs.
 
-Fitting uses a bounded sample of labelled documents: PER_CLASS of each label at most, of LONGEST characters at most, picked
-by a hash of the id and weighted to the labels' true shares. Scoring has no such bound. Rows whose crc32(id as text) mod 4 is 2 are held out, and those with 3 calibrate.
-Labels that are null or not 0 or 1 are left out; of several labels of an id the least counts. With no or one label
-value in the sample, every score is that label's share (0.5 with none). A null or empty text has one word with an empty name.
+Fitting uses a bounded sample of labelled documents: PER_CLASS of each label at most, picked by a hash of the id and weighted to
+the labels' true shares; each of them is read whole, however long. Their texts stay on the executors, in a table: tasks
+count names, then add up neighbours, then pool documents, and the driver gets the VOCABULARY and SHAPES most frequent names, a
+matrix of at most that many rows from each of PARTS tasks, and a vector of each document. Scoring has no such bound. Rows
+whose crc32(id as text) mod 4 is 2 are held out, and those with 3 calibrate. Labels that are null or not 0 or 1 are left
+out; of several labels of an id the least counts, and of several texts the one with the largest hash. With one label value in the
+sample, every score is that label's share, and with none 0.5. A null or empty text has one word with an empty name.
 """
 
 from __future__ import annotations
 
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import drop, materialize
+
 PER_CLASS, VOCABULARY, SHAPES, DIM, NONZERO, WINDOW, HIDDEN = 3000, 4096, 1024, 64, 6, 2, 24
-CACHE = 200_000
-#: Longer documents are not in the sample for fitting, so that it is bounded in bytes too.
-LONGEST = 100_000
+CACHE, PARTS = 200_000, 16
+#: Longer words are known by their shape alone.
+LONG = 64
 _TAIL = string.punctuation
 
 
@@ -80,6 +86,7 @@ class Model:
     net: dict[str, np.ndarray] | None = None
     temperature: float = 1.0
     share: float = 0.5
+    labelled: bool = True
 
     def rows(self) -> _Rows:
         return _Rows(self.words, self.shapes)
@@ -104,30 +111,46 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
 
 
-def _vectors(texts: list[str]) -> Model:
+def name_counts(texts: Iterable[str]) -> tuple[Counter, Counter]:
+    """How often each word and each shape occurs."""
     words, shapes = Counter(), Counter()
     for t in texts:
         split = t.split()
-        words.update(split)
+        words.update(w for w in split if len(w) <= LONG)
         shapes.update(map(shape, split))
-    shape_rows = {s: i + 1 for i, (s, _) in enumerate(shapes.most_common(SHAPES))}
-    top = [w for w, _ in words.most_common(VOCABULARY)]
-    model = Model({w: len(shape_rows) + 1 + i for i, w in enumerate(top)}, shape_rows)
-    of_shape = np.stack([index_vector("shape ?"), *(index_vector(f"shape {s}") for s in shape_rows)])
-    own = np.concatenate([of_shape, np.stack([of_shape[shape_rows.get(shape(w), 0)] + index_vector(f"word {w}") for w in top])]) if top else of_shape
+    return words, shapes
+
+
+def index(words: list[str], shapes: list[str]) -> tuple[Model, np.ndarray]:
+    """A model of these names, its table still empty, and the index vector of each row."""
+    shape_rows = {s: i + 1 for i, s in enumerate(shapes)}
+    model = Model({w: len(shape_rows) + 1 + i for i, w in enumerate(words)}, shape_rows)
+    of_shape = np.stack([index_vector("shape ?"), *(index_vector(f"shape {s}") for s in shapes)])
+    own = [of_shape[shape_rows.get(shape(w), 0)] + index_vector(f"word {w}") for w in words]
+    return model, np.concatenate([of_shape, np.stack(own)]) if own else of_shape
+
+
+def neighbours(texts: Iterable[str], model: Model, own: np.ndarray) -> np.ndarray:
+    """For each row, the sum of the index vectors of what stands within WINDOW words of it."""
     around, rows = np.zeros_like(own, dtype=np.float64), model.rows()
     for t in texts:
         at = np.fromiter(map(rows.__getitem__, t.split()), np.int32)
         for i in range(0, len(at), 1 << 15):
-            part = at[i : i + (1 << 15)]
+            part = at[max(0, i - WINDOW) : i + (1 << 15) + WINDOW]
             near = np.zeros((len(part), DIM), np.float32)
-            for d in range(1, WINDOW + 1):
-                near[d:] += own[part[:-d]] if d < len(part) else 0
-                near[:-d] += own[part[d:]] if d < len(part) else 0
+            for d in range(1, min(WINDOW, len(part) - 1) + 1):
+                near[d:] += own[part[:-d]]
+                near[:-d] += own[part[d:]]
+            inside = slice(min(i, WINDOW), min(i, WINDOW) + len(at[i : i + (1 << 15)]))
+            part, near = part[inside], near[inside]
             order = np.argsort(part, kind="stable")
             first = np.flatnonzero(np.diff(part[order], prepend=-1))
             around[part[order][first]] += np.add.reduceat(near[order], first, axis=0)
         rows.trim()
+    return around
+
+
+def finish(model: Model, own: np.ndarray, around: np.ndarray) -> Model:
     norm = np.linalg.norm(around, axis=1, keepdims=True)
     model.table = (own + np.divide(around, norm, out=np.zeros_like(around), where=norm > 0)).astype(np.float32)
     model.repeated = 4 * index_vector("repetition")
@@ -158,26 +181,55 @@ def _fold(id_col: F.Column) -> F.Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(text, y, fold) of the sample, and how many labels of each value there are to learn from."""
+    """(part, id, text, y, fold) of the sample, and how many labels of each value there are to learn from."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     known = known.withColumn("fold", _fold(F.col("id"))).where("fold <> 2")
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(per_class) for y in (0, 1)]
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= LONGEST)
-    return texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id").select("text", "y", "fold").limit(2 * per_class), counts
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id").groupBy("id").agg(F.max(F.struct(F.xxhash64("text"), "text", "y", "fold")).alias("x"))
+    return sample.select(F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"), "id", "x.text", "x.y", "x.fold"), counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
-    """Fit on a bounded sample (see above), on the driver."""
+    """Fit on a bounded sample (see above); the network is trained on the driver."""
     sample, counts = labelled_sample(docs, labels, text_col, id_col, label_col, per_class)
-    rows = sorted(map(tuple, sample.collect()))  # 2 * per_class rows at most; sorted, so fitting does not depend on their order
+    sample = materialize(sample.repartition(PARTS, "part").sortWithinPartitions("part", "id"))
+    spark = docs.sparkSession
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+        return (t for b in batches for t in b.column("text").to_pylist())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for of_words, names in zip((True, False), name_counts(texts(batches))):
+            yield pa.RecordBatch.from_pydict({"is_word": [of_words] * len(names), "name": list(names), "n": list(names.values())}, pa.schema([("is_word", pa.bool_()), ("name", pa.string()), ("n", pa.int64())]))
+
+    learning = sample.where("fold <> 3")
+    names = learning.mapInArrow(count, "is_word boolean, name string, n long").groupBy("is_word", "name").agg(F.sum("n").alias("n"))
+    words, shapes = ([r.name for r in names.where(F.col("is_word") == w).orderBy(F.desc("n"), "name").limit(most).collect()] for w, most in ((True, VOCABULARY), (False, SHAPES)))
+    model, own = index(words, shapes)
+    shared = spark.sparkContext.broadcast((model, own))
+
+    def add(groups: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [groups[0]], "around": [neighbours(rows.sort_values("id")["text"], *shared.value).astype(np.float32).tobytes()]})
+
+    parts = learning.groupBy("part").applyInPandas(add, "part int, around binary").orderBy("part").collect()  # PARTS matrices
+    model = finish(model, own, sum((np.frombuffer(r.around, np.float32).reshape(own.shape).astype(np.float64) for r in parts), np.zeros(own.shape)))
+    ready = spark.sparkContext.broadcast(model)
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ready.value.rows()
+        for batch in batches:
+            x = pa.array([ready.value.pooled(t, found) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), x], names=["key", "y", "fold", "x"])
+
+    pooled = sample.select("text", F.xxhash64("id").alias("key"), "y", "fold").mapInArrow(pool, "key long, y int, fold long, x array<double>")
+    rows = sorted(map(tuple, pooled.collect()))  # 2 * per_class vectors; sorted, so fitting does not depend on their order
+    drop(sample)
     y = np.array([r[1] for r in rows], float)
     if len(set(y.tolist())) < 2:
-        return Model(share=float(y.mean()) if len(y) else 0.5)
-    texts, fold = [r[0] for r in rows], np.array([r[2] for r in rows])
-    model = _vectors([t for t, f in zip(texts, fold) if f != 3])
-    found = model.rows()
-    x = np.stack([model.pooled(t, found) for t in texts])
+        return Model(share=float(y.mean()) if len(y) else 0.5, labelled=bool(len(y)))
+    fold, x = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
     weight = np.where(y == 1, counts.get(1, 0) / max(1, (y == 1).sum()), counts.get(0, 0) / max(1, (y == 0).sum()))
     weight /= weight.mean()
     learn = fold != 3 if len(set(y[fold != 3].tolist())) == 2 else np.full(len(y), True)
@@ -220,7 +272,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The documents that score at least ``threshold``, with the columns of ``docs``; rows never shuffle."""
+    """The documents that score at least ``threshold``, with the columns of ``docs``; rows never shuffle. A model that saw no
+    label at all can reject nothing, so all documents stay."""
+    if not model.labelled:
+        return docs
     scores, at = _scorer(model, docs), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

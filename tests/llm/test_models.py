@@ -1,5 +1,8 @@
 """Quality classifier on held-out labels, licence scan on planted notices, and the pipeline."""
 
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +44,67 @@ def test_quality_edge_cases(spark, edge, empty, model):
     assert {r.score for r in quality.score(edge, one).collect()} == {1.0}
 
 
+def test_vectors_and_scores_against_plain_loops():
+    texts = ["Die Katze sitzt, und und lacht", "a b a b a", "", "x" * 100 + " 12 ABC"]
+    words, shapes = quality.name_counts(texts)
+    assert words == Counter(w for t in texts for w in t.split() if len(w) <= 64) and shapes == Counter(quality.shape(w) for t in texts for w in t.split())
+    vocabulary, forms = sorted(words)[:5], sorted(shapes)[:4]
+    model, own = quality.index(vocabulary, forms)
+    of_form = lambda w: quality.index_vector(f"shape {quality.shape(w)}" if quality.shape(w) in forms else "shape ?")
+    vector = lambda w: of_form(w) + (quality.index_vector(f"word {w}") if w in vocabulary else 0)
+    around = {}
+    for t in texts:
+        ws = t.split()
+        for i, w in enumerate(ws):
+            name = w if w in vocabulary else (quality.shape(w) if quality.shape(w) in forms else "?",)
+            for j in range(max(0, i - 2), min(len(ws), i + 3)):
+                if j != i:
+                    around[name] = around.get(name, 0) + vector(ws[j])
+    model = quality.finish(model, own, quality.neighbours(texts, model, own))
+
+    def plain(text):
+        ws, total = text.split() or [""], np.zeros(64)
+        for i, w in enumerate(ws):
+            name = w if w in vocabulary else (quality.shape(w) if quality.shape(w) in forms else "?",)
+            near = around.get(name, np.zeros(64))
+            total += vector(w) + (near / np.linalg.norm(near) if np.linalg.norm(near) else 0)
+            total += 4 * quality.index_vector("repetition") if i and w == ws[i - 1] else 0
+        return total / len(ws)
+
+    found = np.stack([model.pooled(t, model.rows()) for t in texts])
+    assert np.allclose(found, [plain(t) for t in texts], atol=1e-5)
+    rng = np.random.default_rng(1)
+    model.net = {"mean": rng.standard_normal(64), "scale": rng.uniform(1, 2, 64), "w1": rng.standard_normal((64, 24)), "b1": rng.standard_normal(24), "w2": rng.standard_normal(24), "b2": rng.standard_normal(1)}
+    model.temperature = 1.7
+    for t, s in zip(texts, model.scores(texts, model.rows())):
+        hidden = [np.tanh(sum((v - m) / c * w for v, m, c, w in zip(plain(t), model.net["mean"], model.net["scale"], column)) + b) for column, b in zip(model.net["w1"].T, model.net["b1"])]
+        assert abs(s - 1 / (1 + np.exp(-(sum(h * w for h, w in zip(hidden, model.net["w2"])) + model.net["b2"][0]) / 1.7))) < 1e-4
+
+
+def test_windows_over_long_texts_join():
+    """Neighbours across the borders of the parts that long texts are summed in."""
+    text = " ".join("abc"[i * i % 7 % 3] for i in range((1 << 15) + 50))
+    model, own = quality.index(["a", "b", "c"], ["x "])
+    at = [model.words[w] for w in text.split()]
+    want = np.zeros_like(own, dtype=float)
+    for i, r in enumerate(at):
+        for j in range(max(0, i - 2), min(len(at), i + 3)):
+            want[r] += own[at[j]] if i != j else 0
+    assert np.allclose(quality.neighbours([text], model, own), want, rtol=1e-4)
+
+
+def test_fitting_does_not_depend_on_rows_order_or_copies(spark, documents):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    one = quality.fit(documents, labels, per_class=40)
+    two = quality.fit(documents.orderBy(F.rand(1)).unionByName(documents.where("doc_id % 3 = 0")), labels, per_class=40)
+    assert one.words == two.words and np.allclose(one.table, two.table) and np.allclose(one.net["w1"], two.net["w1"])
+
+
+def test_without_labels_nothing_goes(spark, edge):
+    none = quality.fit(edge, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.keep_good(edge, none).count() == len(EDGE)
+
+
 def test_licences(spark, documents, edge, empty):
     m = licences.fit(documents)
     prose = documents.select("text").first().text.split("\n")[0]
