@@ -8,7 +8,8 @@ largest id stays (a null id is the smallest; among repeated rows with one id exa
    every digest with more than ``support`` of the rows is among its candidates.
 3. The candidates are counted exactly. Those verified as heavy, fewer than ``1 / support`` rows, are broadcast,
    and their copies are decided on the map side without a shuffle.
-4. All other digests have at most ``support`` of the rows each; they are shuffled as usual.
+4. All other digests have at most ``support`` of the rows each; their groups are counted with a combine on the map side,
+   and rows meet their group in an ordinary join, which holds one row of the group and streams the others.
 
 Empty tables give empty results; extra columns of the input play no part.
 """
@@ -40,10 +41,8 @@ def keepers(rows: DataFrame, key: str, id_col: str, row_no: str, support: float
     best = F.struct(F.col(id_col).alias("id"), F.col(row_no).alias("row_no"))
     winners = heavy_hitters(rows, key, best, support)
     heavy = rows.join(F.broadcast(winners), key)
-    group = Window.partitionBy(key)
-    light = rows.join(F.broadcast(winners.select(key)), key, "left_anti").select(
-        "*", F.count(F.lit(1)).over(group).alias("group_size"), F.max(best).over(group).alias("best")
-    )
+    light = rows.join(F.broadcast(winners.select(key)), key, "left_anti")
+    light = light.join(light.groupBy(key).agg(F.count(F.lit(1)).alias("group_size"), F.max(best).alias("best")), key)
     return heavy.unionByName(light).select(
         *rows.columns, "group_size", F.col("best.id").alias("keep_id"), (F.col("best.row_no") == F.col(row_no)).alias("kept")
     )
@@ -66,7 +65,8 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
 
 
 def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns. Copies of heavy texts go before the shuffle."""
+    """The rows of ``docs`` that stay, with its columns. Copies of heavy texts go before the shuffle, and of the others each
+    task passes on one of a group only. Of repeated rows with one id, the first by a hash of the other columns stays."""
     keyed = docs.withColumn("__key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     winners = heavy_hitters(materialize(keyed.select("__key", F.col(id_col).alias("id"))), "__key", F.struct("id"), support)
     winners = winners.select("__key", F.lit(True).alias("__heavy"), F.col("best.id").alias("__best"))
