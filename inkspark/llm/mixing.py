@@ -108,7 +108,7 @@ def mixing_plan(
         return df.withColumn("upto", start + F.sum(cost).over(Window.partitionBy("source_key").orderBy(key)))
 
     # a source has 4,096 blocks at most, whatever its size
-    ordered = blocks.drop("tokens").join(blocks, ["source_key", "block"]).join(plan.select("source_key", "epochs", "rest"), "source_key")
+    ordered = blocks.join(plan.select("source_key", "epochs", "rest"), "source_key")
     ordered = ordered.withColumn("place", F.md5(F.concat_ws("|", F.lit(str(seed)), "source_key", F.col("epochs").cast("string"), "block")))
     edge = running(ordered, "place", "tokens", F.lit(0)).where("rest > 0 AND upto >= rest")
     edge = edge.groupBy("source_key").agg(F.min(F.struct("place", "block", "tokens", "upto", "rest", "epochs")).alias("e"))

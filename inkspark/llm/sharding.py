@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import BROADCAST_ROWS, materialize
 
 BUCKETS = 256
 
@@ -54,14 +54,20 @@ def shard_rows(docs: DataFrame, shards: int, text_col: str = "text", id_col: str
     before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("shard", "bucket", before.alias("start"))
     inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(id_col, "text_crc32", "size"))
-    placed = rows.withColumn("inside", inside).join(F.broadcast(starts), ["shard", "bucket"])
+    starts = F.broadcast(starts) if shards * BUCKETS <= BROADCAST_ROWS else starts
+    placed = rows.withColumn("inside", inside).join(starts, ["shard", "bucket"])
     return placed.select(
         id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("inside") - 1).cast("long").alias("slot"), "grown_shard"
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int, files: int = 1, id_col: str = "doc_id") -> None:
-    """Write whole rows to a folder for each shard. With ``files`` over 1 a shard is written by as many tasks."""
-    placed = docs.withColumn("shard", shard_of(F.col(id_col), shards))
+def write_shards(docs: DataFrame, path: str, shards: int, files: int = 1, id_col: str = "doc_id") -> str:
+    """Write whole rows to a folder for each shard, and return the name of the folders' column: ``shard``, with as many
+    underscores behind it as a column of ``docs`` demands. With ``files`` over 1 a shard is written by as many tasks."""
+    name = "shard"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    placed = docs.withColumn(name, shard_of(F.col(id_col), shards))
     spread = F.pmod(F.xxhash64(F.lit(1), id_col), F.lit(files))
-    placed.repartition(shards * files, "shard", spread).write.partitionBy("shard").parquet(path)
+    placed.repartition(shards * files, name, spread).write.partitionBy(name).parquet(path)
+    return name

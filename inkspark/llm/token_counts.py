@@ -66,11 +66,12 @@ def frequent(docs: DataFrame, text_col: str, path: str, table: int = TABLE, summ
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(pre_tokens(text))
+                keys = pre_tokens(text)
+                seen.update(keys if max(map(len, keys), default=0) <= LONG else [k for k in keys if len(k) <= LONG])
                 if len(seen) > 16 * summary:  # Misra-Gries: take the same count off all, drop what is used up
                     off = sorted(seen.values(), reverse=True)[4 * summary]
-                    seen = Counter({k: n - off for k, n in seen.items() if n > off and len(k) <= LONG})
-        top = [(k, n) for k, n in seen.most_common(2 * summary) if len(k) <= LONG][:summary]
+                    seen = Counter({k: n - off for k, n in seen.items() if n > off})
+        top = seen.most_common(summary)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["key", "n"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
