@@ -108,15 +108,78 @@ def test_without_labels_nothing_goes(spark, edge):
 def test_licences(spark, documents, edge, empty):
     m = licences.fit(documents)
     prose = documents.select("text").first().text.split("\n")[0]
-    texts = {f: f"{prose}\n{ts[0]}\n{prose}" for f, ts in licences.TEMPLATES.items()}
-    texts |= {"none": prose, "long": f"{prose} {licences.TEMPLATES['MIT'][0]} {prose}", "mention": "A license to drive and a copyright dispute were reported."}
+    texts = {f"{f} {i}": f"{prose}\n{t}\n{prose}" for f, ts in licences.TEMPLATES.items() for i, t in enumerate(ts)}
+    texts |= {"none": prose, "mention": "A license to drive and a copyright dispute were reported."}
     rows = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string"), m).collect()}
-    for f in licences.TEMPLATES:
-        (found,) = [x for x in rows[f].findings if x.confirmed]
-        assert found.family == f and texts[f][found.start : found.end] == licences.TEMPLATES[f][0]
-    assert [x.family for x in rows["long"].findings if x.confirmed] == ["MIT"]
+    for f, ts in licences.TEMPLATES.items():
+        for i, t in enumerate(ts):
+            (found,) = [x for x in rows[f"{f} {i}"].findings if x.confirmed]
+            assert found.family == f and texts[f"{f} {i}"][found.start : found.end] == t and found.paragraph == 1
     assert not [x for k in ("none", "mention") for x in rows[k].findings if x.confirmed]
     assert licences.scan(edge, m).count() == len(EDGE) and licences.scan(empty, m).count() == 0
+    bare = licences.fit(empty)
+    assert [x.family for x in licences.scan(spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string"), bare).first().findings] == ["MIT"]
+
+
+def test_each_window_of_a_long_line_keeps_its_finding(documents):
+    """A text without line breaks that holds two licences, and an unconfirmed mention beside a confirmed notice."""
+    m = licences.fit(documents)
+    prose = " ".join(documents.select("text").first().text.split()[:300])
+    line = f"{prose} {licences.TEMPLATES['MIT'][0]} {prose} {licences.TEMPLATES['Apache-2.0'][0]} {prose}"
+    found = [(f[3], line[f[1] : f[2]]) for f in m.findings(line, 0.5, 0.6)[1] if f[6]]
+    assert [f for f, _ in found] == ["MIT", "Apache-2.0"]
+    assert "MIT License" in found[0][1] and "Apache License" in found[1][1] and "Apache" not in found[0][1]
+    both = f"{licences.TEMPLATES['MIT'][0]} {licences.TEMPLATES['Proprietary'][0]}"
+    assert {f[3] for f in m.findings(both, 0.5, 0.6)[1] if f[6]} == {"MIT", "Proprietary"}
+
+
+def test_counts_and_sample_cover_whole_texts(spark):
+    """Against a plain loop; the sample comes from anywhere in long texts."""
+    texts = [f"start {i}\n" + "\n".join(f"license line {j} of {i}" + " word" * (j % 200) for j in range(60)) for i in range(20)] + [None, "", "no break " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = licences.corpus_counts(df, frozenset({"license", "line", "absent"}), 0.1, "text", "doc_id").collect()
+    windows = [w for t in texts for line in (t or "").split("\n") if line.strip() for _, w in licences.windows_of(licences.words_of(line))]
+    seen = Counter()
+    for r in rows:
+        if r.word is not None:
+            seen[r.word] += r.n
+    assert seen == {"": len(windows), "license": sum("license" in w for w in windows), "line": sum("line" in w for w in windows)}
+    picked = [r.window for r in rows if r.window is not None]
+    assert 0.05 * len(windows) < len(picked) < 0.2 * len(windows)
+    assert set(picked) <= {" ".join(w) for w in windows} and any("line 5" in w for w in picked)
+
+
+def test_a_common_licence_word_keeps_its_template():
+    """Where the corpus has all words of a template in ordinary text, its rarest word still lets it through."""
+    seen = {"": 1000} | {w: 900 for w in "all rights reserved".split()} | {"rights": 500}
+    templates = {f: [licences.words_of(t) for t in ts] for f, ts in licences.TEMPLATES.items()}
+    gates = licences.gates_of(templates, seen)
+    assert "rights" in gates and "reserved" not in gates
+    assert all(not gates.isdisjoint(t) for ts in templates.values() for t in ts)
+
+
+#: Notices in other words than the templates', by family; None: ordinary text that uses words of licences.
+HELD_OUT = [
+    ("MIT", "This project is available under the MIT license; see LICENSE for details."), ("MIT", "Copyright 2021 A. Person. Licensed under MIT License."), ("MIT", "permission is granted, free of charge, to any person who obtains a copy of this software and its associated documentation files, to deal in the software without restriction"),
+    ("Apache-2.0", "Code in this folder is licensed under the Apache License 2.0."), ("Apache-2.0", "You may not use these files except in compliance with the License; a copy of the License is at apache.org/licenses/LICENSE-2.0"), ("Apache-2.0", "Released under the terms of the Apache License, version 2.0"),
+    ("BSD", "Distributed under the terms of the BSD license."), ("BSD", "redistribution and use in source or binary forms, with or without modifications, are permitted if the following conditions are met"), ("BSD", "Redistributions of the source code must retain the copyright notice above, this list of conditions and the disclaimer below."),
+    ("GPL-3.0", "This software is licensed under the GNU General Public License version 3."), ("GPL-2.0", "Licensed under the GNU General Public License, version 2 only."), ("AGPL-3.0", "The server is released under the GNU Affero General Public License version 3."), ("LGPL", "The library is distributed under the GNU Lesser General Public License."),
+    ("CC-BY", "Except where noted, content is licensed under a Creative Commons Attribution 4.0 license."), ("CC-BY-SA", "Shared under a Creative Commons Attribution-ShareAlike 4.0 license."), ("CC-BY-NC", "Photos are licensed under a Creative Commons Attribution-NonCommercial 4.0 license."), ("CC0", "The author has dedicated this to the public domain under CC0 1.0."),
+    ("MPL-2.0", "This file is subject to the Mozilla Public License, version 2.0."), ("ISC", "Made available under the ISC license."), ("Unlicense", "This is free and unencumbered software which is released to the public domain."), ("Zlib", "The software is provided as-is, without any express or implied warranty, and in no event will the authors be held liable for damages."),
+    ("Proprietary", "Copyright 2019 Some House. All rights are reserved."), ("Proprietary", "No part of this book may be reproduced or transmitted in any form without prior written permission of the publisher."), ("EPL-2.0", "Made available under the Eclipse Public License 2.0."), ("BSL-1.0", "Distributed under the Boost Software License version 1.0"), ("OFL-1.1", "The font is licensed under the SIL Open Font License version 1.1."),
+    (None, "The driver lost the license after a second offence and had to redistribute the work."), (None, "Public domain experts met to discuss general terms of the new foundation."), (None, "A version of the story was published without permission, she said."), (None, "Conditions in the source region are met with a warning notice."), (None, "The software industry grew; free copies were sold to any person who asked."), (None, "He reserved all of his rights to the table by the window."),
+    (None, "Creative people share common ground and give attribution freely."), (None, "The Eclipse of 1999 was seen in public by many; no license was needed."), (None, "Mozilla and Apache are names of software makers."), (None, "In no event will the show be moved because of rain."),
+]
+
+
+def test_held_out_wordings(documents):
+    """Confirmed findings on wordings that are no templates: precision 0.9 and recall 0.8 at least (README has the figures)."""
+    m = licences.fit(documents)
+    found = [{f[3] for f in m.findings(t, 0.5, 0.6)[1] if f[6]} for _, t in HELD_OUT]
+    right = sum(family in got for (family, _), got in zip(HELD_OUT, found) if family)
+    print(f"recall {right} of {sum(family is not None for family, _ in HELD_OUT)}, precision {right} of {sum(map(len, found))}")
+    assert right >= 0.8 * sum(family is not None for family, _ in HELD_OUT), [(f, t, got) for (f, t), got in zip(HELD_OUT, found) if f and f not in got]
+    assert right >= 0.9 * sum(map(len, found)), [(f, t, got) for (f, t), got in zip(HELD_OUT, found) if got - {f}]
 
 
 def test_licences_of_documents(spark, documents):
