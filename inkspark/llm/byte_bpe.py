@@ -3,13 +3,14 @@
 Texts of at most CHUNK characters are encoded as they are. Longer ones are cut into chunks that overlap by OVERLAP
 characters, and the chunks are dealt over the cluster:
 
-1. each chunk is pre-tokenised by itself. The pattern has no memory, so once a boundary found from an arbitrary start
-   coincides with a true one, all further boundaries are true;
-2. neighbours are stitched at the first boundary that both found in their overlap;
-3. the pieces between stitches are encoded in parallel, and their ids put together in order.
+1. each chunk is pre-tokenised and encoded by itself. The pattern has no memory, so once a boundary found from an arbitrary
+   start coincides with a true one, all further boundaries are true;
+2. chunks pass on their ids, and the boundaries in both overlaps with their places in the ids: texts are shuffled once;
+3. a text's chunks are stitched at the first boundary that neighbours both found in their overlap.
 
 A text in which some neighbours share no boundary (such as a run of letters longer than the overlap) is put together
-again and encoded whole, so results are exact for every text. Decoding concatenates the tokens' raw bytes.
+again from the bytes of its chunks' ids and encoded whole, so results are exact for every text. Decoding concatenates the
+tokens' raw bytes.
 
 A null text counts as empty and gives no ids. Repeated rows each give a row.
 """
@@ -22,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 16_384
@@ -44,6 +45,8 @@ class Codec:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
+        self.sizes = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        self.sizes[list(ranks.values())] = list(map(len, ranks))
 
     @classmethod
     def of(cls, ranks_path: str, pattern: str) -> "Codec":
@@ -61,8 +64,14 @@ class Codec:
     def decode(self, ids: bytes) -> bytes:
         return self.encoding.decode_bytes(np.frombuffer(ids, "<u4").tolist())
 
-    def starts(self, text: str) -> list[int]:
-        return [m.start() for m in self.pattern.finditer(text)]
+    def starts(self, text: str) -> np.ndarray:
+        return np.array([m.start() for m in self.pattern.finditer(text)], np.int64)
+
+    def places(self, text: str, ids: bytes, at: np.ndarray) -> np.ndarray:
+        """For boundaries ``at`` (characters), how many of the ids come before them."""
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        before = np.concatenate(([0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))))
+        return np.searchsorted(np.cumsum(self.sizes[np.frombuffer(ids, "<u4")]), before[at], side="right")
 
 
 def _sha(data: bytes) -> str:
@@ -95,42 +104,41 @@ def _encoded(docs: DataFrame, text_col: str, id_col: str, codec: Callable[[], Co
                         names=["id", "row", "chunk", "text"],
                     )
 
-    def pre_tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, tails = [], []
+            ids, zones = [], ([], [], [], [])
             for k, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                starts = [s for s in codec().starts(text) if s <= len(text) - AHEAD]
-                heads.append([s + k * chunk for s in starts if s < overlap])
-                tails.append([s + k * chunk for s in starts if s >= chunk])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=["id", "row", "chunk", "text", "head", "tail"])
-
-    def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for k, text, stitched, start, end in zip(*(batch.column(c).to_pylist() for c in ("chunk", "text", "stitched", "start", "end"))):
-                if stitched:
-                    made.append(codec().encode(text[start - k * chunk : None if end is None else end - k * chunk]))
-                else:
-                    made.append(text[:chunk].encode())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "row", "chunk", "stitched")), pa.array(made, pa.binary())], names=["id", "row", "chunk", "stitched", "made"])
+                ids.append(codec().encode(text))
+                starts = codec().starts(text)
+                starts = starts[starts <= len(text) - AHEAD]
+                for zone, at in zip((zones[:2], zones[2:]), (starts[starts < overlap], starts[starts >= chunk])):
+                    zone[0].append(at + k * chunk)
+                    zone[1].append(codec().places(text, ids[-1], at))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()), *(pa.array(z, pa.list_(pa.int64())) for z in zones)], names=["id", "row", "chunk", "ids", *parts])
+
+    def stitched(pieces: list[dict]) -> bytes:
+        start, made = 0, []
+        for one, two in zip(pieces, pieces[1:]):
+            known = dict(zip(one["tail"], one["tail_at"]))
+            at = next((i for i, p in enumerate(two["head"]) if p in known), None)
+            if at is None:
+                return codec().encode("".join(codec().decode(p["ids"]).decode()[:chunk] for p in pieces))
+            made.append(one["ids"][4 * start : 4 * known[two["head"][at]]])
+            start = two["head_at"][at]
+        return b"".join([*made, pieces[-1]["ids"][4 * start :]])
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 16) for i in range(0, batch.num_rows, 16)):
-                joined = [b"".join(p["made"] for p in pieces) for pieces in part.column("pieces").to_pylist()]
-                yield results(part.column("id"), [x if s else codec().encode(x.decode()) for x, s in zip(joined, part.column("stitched").to_pylist())])
+                yield results(part.column("id"), [stitched(p) for p in part.column("pieces").to_pylist()])
 
+    parts = ("head", "head_at", "tail", "tail_at")
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     is_long = F.length("text") > chunk
     whole = rows.where(~is_long).select("id", "text").mapInArrow(encode_whole, out)
     chunks = rows.where(is_long).mapInArrow(cut, f"id {kind}, row long, chunk int, text string").repartition("row", "chunk")
-    chunks = chunks.mapInArrow(pre_tokenise, f"id {kind}, row long, chunk int, text string, head array<long>, tail array<long>")
-    text_order, one_text = Window.partitionBy("row").orderBy("chunk"), Window.partitionBy("row")
-    stitch = F.array_min(F.array_intersect(F.lag("tail").over(text_order), "head"))
-    chunks = chunks.withColumn("start", F.when(F.col("chunk") == 0, F.lit(0).cast("long")).otherwise(stitch))
-    chunks = chunks.select("id", "row", "chunk", "text", "start", F.lead("start").over(text_order).alias("end"), (F.count("start").over(one_text) == F.count("row").over(one_text)).alias("stitched"))
-    pieces = chunks.repartition("row", "chunk").mapInArrow(encode_pieces, f"id {kind}, row long, chunk int, stitched boolean, made binary")
-    texts = pieces.groupBy("row").agg(F.first("id").alias("id"), F.first("stitched").alias("stitched"), F.sort_array(F.collect_list(F.struct("chunk", "made"))).alias("pieces"))
+    chunks = chunks.mapInArrow(encode_chunks, f"id {kind}, row long, chunk int, ids binary, " + ", ".join(f"{p} array<long>" for p in parts))
+    texts = chunks.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.struct("chunk", "ids", *parts))).alias("pieces"))
     return whole.unionByName(texts.mapInArrow(put_together, out)).withColumnRenamed("id", id_col)
 
 
