@@ -2,8 +2,8 @@
 
 Writing: a record for each page, one gzip member per record, one archive per task. Of pages with equal payloads (html
 in UTF-8, null as empty) of at least ``min_bytes`` bytes, the one with the largest id is a response; the others are
-revisits without payload that refer to it. Repeated rows with one id give one response and revisits of it. Which is
-which is decided by the heavy-hitter split of exact dedup: copies of a frequent payload never shuffle.
+revisits without payload that refer to it. Repeated rows with one id give one response and revisits of it. Ids are integers
+or strings of digits; a null id is the smallest.
 
 Files carry names of their own for each task attempt, and a manifest table written by Spark lists those of the
 attempts that counted; so lost executors leave no half archive behind that a reader would see.
@@ -27,8 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .exact_dedup import heavy_hitters
-from .shared import materialize, scratch
+from .shared import has_rows, join_checked, materialize, scratch
 
 _BLOCK = 1 << 16
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -52,23 +51,25 @@ def _line(value: str) -> str:
 
 
 def decide(pages: DataFrame, min_bytes: int = 0, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, url, payload, record_type and refers_to; one row for each page."""
+    """page_id, url, payload, record_type and refers_to; one row for each page. Groups are counted from digests and ids alone;
+    a payload travels only where the groups of two or more are too many to broadcast, or where rows with one id and payload
+    must be told apart."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    small = keyed.where(F.octet_length("payload") < min_bytes).withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast(keyed.schema["page_id"].dataType))
-    keyed = keyed.where(F.octet_length("payload") >= min_bytes).withColumn("key", F.sha2("payload", 256))
-    winners = heavy_hitters(materialize(keyed.select("key", F.col("page_id").alias("id"))), "key", F.struct("id"))
-    winners = winners.select("key", F.lit(True).alias("heavy"), F.col("best.id").alias("best"))
-    keyed = keyed.join(F.broadcast(winners), "key", "left")
-    copies = F.col("heavy") & ~F.col("page_id").eqNullSafe(F.col("best"))
-    known = keyed.where(F.coalesce(copies, F.lit(False))).select("page_id", "url", "payload", F.lit("revisit").alias("record_type"), F.col("best").alias("refers_to"))
-    rest = keyed.where(~F.coalesce(copies, F.lit(False)))
-    order = Window.partitionBy("key").orderBy(F.col("page_id").desc_nulls_last(), "url")
-    first = F.row_number().over(order) == 1
-    kind = F.when(first, F.lit("response")).otherwise(F.lit("revisit"))
-    best = F.when(~first, F.max("page_id").over(Window.partitionBy("key")))
-    rest = rest.select("page_id", "url", "payload", kind.alias("record_type"), best.alias("refers_to"))
-    return known.unionByName(rest).unionByName(small)
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("key", F.when(F.octet_length("payload") >= min_bytes, F.sha2("payload", 256)).otherwise(""))
+    groups = rows.where("key <> ''").groupBy("key", "page_id").count().groupBy("key")
+    groups = groups.agg(F.sum("count").alias("n"), F.max(F.struct("page_id", "count")).alias("b")).where("n > 1")
+    groups = materialize(groups.select("key", F.col("b.page_id").alias("best"), F.col("b.count").alias("ties")))
+    met = join_checked(rows, groups, "key", "left", F.col("page_id"))
+    copy, tied = F.col("ties").isNotNull(), F.coalesce(F.col("page_id").eqNullSafe(F.col("best")) & F.col("ties").isNotNull(), F.lit(False))
+    kept = ["page_id", "url", "payload", F.when(copy & ~tied, "revisit").otherwise("response").alias("record_type"), F.when(copy & ~tied, F.col("best")).alias("refers_to")]
+    several = tied & (F.col("ties") > 1)
+    if not has_rows(groups.where("ties > 1")):
+        return met.select(*kept)
+    first = F.row_number().over(Window.partitionBy("key").orderBy("url")) == 1
+    repeated = met.where(several).withColumn("first", first)
+    repeated = repeated.select("page_id", "url", "payload", F.when(F.col("first"), "response").otherwise("revisit").alias("record_type"), F.when(~F.col("first"), F.col("best")).alias("refers_to"))
+    return met.where(~several).select(*kept).unionByName(repeated)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, record_type: str, refers_to: int | None, date: str) -> bytes:
