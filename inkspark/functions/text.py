@@ -8,9 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .core import let, running
+
 WS = r"[\s\x1c-\x1f]"
 #: A chunk has at most MAX_CHARS characters; a sentence or chunk under MIN_CHARS joins its neighbour.
 MIN_CHARS, MAX_CHARS = 40, 480
+# Where texts are cut.
 #: Ends of sentences. Closing quotes and brackets before the gap are part of the separator and so are dropped.
 SENTENCE_GAP = rf"""(?U)(?<=[.!?])["')\]]*{WS}+(?=["'(\[]?[A-Z0-9])"""
 CLAUSE_GAP = rf"(?U)[,;:—–]{WS}+"
@@ -46,8 +49,9 @@ def _rejoined(sentence: Column) -> Column:
 
 
 def _hard_cut(part: Column) -> Column:
-    """Pieces of at most MAX_CHARS, cut at the last space before that, else there."""
-    steps = F.sequence(F.lit(1), F.size(F.split(part, " ")) + F.floor(F.length(part) / MAX_CHARS).cast("int") + 1)
+    """Pieces of at most MAX_CHARS, cut at the last space before that, else there. Two neighbouring pieces have MAX_CHARS
+    characters or more, which bounds the steps."""
+    steps = F.sequence(F.lit(1), 2 * F.floor(F.length(part) / MAX_CHARS).cast("int") + 2)
     start = F.struct(part.alias("rest"), F.array().cast("array<string>").alias("out"))
 
     def cut(acc: Column, _: Column) -> Column:
@@ -67,15 +71,25 @@ def split_long(sentence: Column) -> Column:
 
 
 def merge_short(parts: Column) -> Column:
-    """Each part joins the chunk before it if either is short and both fit."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
+    """Each part joins the chunk before it if either is short and both fit. Lengths alone decide; texts are put together once."""
+    start = F.struct(F.lit(-1).alias("size"), F.lit(False).alias("opens"))
+
+    def add(acc: Column, n: Column) -> Column:
+        both = acc["size"] + 1 + n
+        opens = (acc["size"] < 0) | ((n >= MIN_CHARS) & (acc["size"] >= MIN_CHARS)) | (both > MAX_CHARS)
+        return F.struct(F.when(opens, n).otherwise(both).alias("size"), opens.alias("opens"))
+
+    def joined(ps: Column) -> Column:
+        opens = running(F.transform(ps, F.length), start, add, lambda acc: acc["opens"], "boolean")
+        first = F.filter(F.transform(opens, lambda o, i: F.when(o, i + 1)), lambda i: i.isNotNull())
 
-    def add(acc: Column, s: Column) -> Column:
-        joins = ((F.length(s) < MIN_CHARS) | (F.length(acc.cur) < MIN_CHARS)) & (F.length(acc.cur) + 1 + F.length(s) <= MAX_CHARS)
-        done = F.when(acc.cur.isNull() | joins, acc.done).otherwise(F.array_append(acc.done, acc.cur))
-        return F.struct(done.alias("done"), F.when(joins, F.concat(acc.cur, F.lit(" "), s)).otherwise(s).alias("cur"))
+        def texts(at: Column) -> Column:
+            ends = F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(ps) + 1))
+            return F.zip_with(at, F.slice(ends, 1, F.size(at)), lambda a, b: F.array_join(F.slice(ps, a, b - a), " "))
 
-    return F.aggregate(parts, start, add, lambda acc: F.when(acc.cur.isNull(), acc.done).otherwise(F.array_append(acc.done, acc.cur)))
+        return let(first, texts)
+
+    return let(parts, joined)
 
 
 def chunks(text: Column) -> Column:
@@ -84,16 +98,11 @@ def chunks(text: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    """Words (runs other than white space) as structs of text, start and end (exclusive)."""
-    kind = "array<struct<text:string,start:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def add(acc: Column, w: Column) -> Column:
-        begin = F.position(w, text, acc["at"] + 1) - 1  # only white space lies between, so the first occurrence is the word
-        end = begin + F.length(w)
-        return F.struct(end.alias("at"), F.array_append(acc.out, F.struct(w.alias("text"), begin.alias("start"), end.alias("end"))).alias("out"))
-
-    return F.aggregate(words(text), start, add, lambda acc: acc.out)
+    """Words (runs other than white space) as structs of text, start and end (exclusive). A word ends where the lengths of
+    all words so far, each with the white space before it, add up to."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?U){WS}*[^\s\x1c-\x1f]+"), F.lit(0))
+    ends = running(F.transform(pieces, F.length), F.lit(0), lambda s, n: s + n, lambda s: s, "int")
+    return F.zip_with(words(text), ends, lambda w, end: F.struct(w.alias("text"), (end - F.length(w)).alias("start"), end.alias("end")))
 
 
 def words(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import let
+from .core import let, running
 
 # Pause weight of punctuation.
 PAUSES = {",": 3, ";": 4, ":": 4, ".": 6, "!": 6, "?": 6, "—": 4}
@@ -22,17 +22,11 @@ def word_weight(word: Column) -> Column:
 
 def word_timings(words: Column, duration: Column) -> Column:
     """Start and end of each word: the duration dealt out by weight, in order; the last end is the duration itself."""
-    kind = "array<struct<start:double,end:double>>"
 
     def deal(weights: Column, total: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
-
-        def add(acc: Column, w: Column) -> Column:
-            upto = acc["at"] + w
-            end = F.when(upto == total, duration).otherwise(duration * upto / total)
-            return F.struct(upto.alias("at"), F.array_append(acc.out, F.struct((duration * acc["at"] / total).alias("start"), end.alias("end"))).alias("out"))
-
-        return F.aggregate(weights, start, add, lambda acc: acc.out)
+        upto = running(weights, F.lit(0).cast("long"), lambda s, w: s + w, lambda s: s, "bigint")
+        end = lambda u: F.when(u == total, duration).otherwise(duration * u / total)
+        return F.zip_with(weights, upto, lambda w, u: F.struct((duration * (u - w) / total).alias("start"), end(u).alias("end")))
 
     return let(F.transform(words, word_weight), lambda ws: let(F.aggregate(ws, F.lit(0).cast("long"), lambda s, w: s + w), lambda total: deal(ws, total)))
 

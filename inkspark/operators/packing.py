@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspark.functions import text as T
+from inkspark.functions.core import running
 
 LOOKAHEAD, LIMIT = 15, 480
 #: A sentence: id, kind, text.
@@ -56,16 +57,17 @@ def packs_with_split(sentences: DataFrame, limit: int, allow_split: bool = True)
 def greedy_clip_numbers(items: Column, limit: int = LIMIT) -> Column:
     """For each of a document's sentences in order, the number of its clip: clips follow each other, each as packed().
     Look-ahead is bounded, so a clip has 1 + LOOKAHEAD sentences at most."""
-    kind = "array<int>"
-    start = F.struct(F.array().cast(kind).alias("out"), F.lit(-1).alias("clip"), F.lit("").alias("kind"), F.lit(0).alias("size"), F.lit(0).alias("n"))
+    start = F.struct(F.lit(-1).alias("clip"), F.lit("").alias("kind"), F.lit(0).alias("size"), F.lit(0).alias("n"))
 
     def add(acc: Column, x: Column) -> Column:
         size = acc["size"] + 1 + F.length(x.text)
         joins = (acc["clip"] >= 0) & (x.kind == acc["kind"]) & (size <= limit) & (acc["n"] <= LOOKAHEAD)
-        clip = F.when(joins, acc["clip"]).otherwise(acc["clip"] + 1)
-        return F.struct(F.array_append(acc["out"], clip).alias("out"), clip.alias("clip"), x.kind.alias("kind"), F.when(joins, size).otherwise(F.length(x.text)).alias("size"), F.when(joins, acc["n"] + 1).otherwise(1).alias("n"))
+        return F.struct(
+            F.when(joins, acc["clip"]).otherwise(acc["clip"] + 1).alias("clip"), x.kind.alias("kind"),
+            F.when(joins, size).otherwise(F.length(x.text)).alias("size"), F.when(joins, acc["n"] + 1).otherwise(1).alias("n"),
+        )
 
-    return F.aggregate(items, start, add, lambda acc: acc["out"])
+    return running(items, start, add, lambda acc: acc["clip"], "int")
 
 
 def greedy_clips(sentences: DataFrame, limit: int = LIMIT) -> DataFrame:
