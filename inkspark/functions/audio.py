@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +56,29 @@ def correlation(a: Column, b: Column) -> Column:
     return let(F.struct((total(a) / n).alias("a"), (total(b) / n).alias("b")), of_means)
 
 
+# Limits of a clip that is speech.
+LEAST_RMS, MOST_SILENT, MOST_CLIPPED, CHARS_A_SECOND, LEAST_LENGTH, MOST_BRIGHT = 0.01, 0.6, 8, 5, 0.8, 1.5
+
+
+def verdict(s: Column, chars: Column, base: Column) -> Column:
+    """What is wrong with a clip: an array of flags from its stats(), the characters it speaks, and the stats of the same text in a
+    baseline (null where there is none). A clip that is not all finite has that flag alone, for no comparison with NaN holds."""
+    broken = s.rms.isNull() | F.isnan(s.rms) | (F.abs(s.rms) == float("inf")) | s.peak.isNull()
+    flags = [
+        (s.seconds > chars / CHARS_A_SECOND, "too long"), (s.rms < LEAST_RMS, "near-silent"), (s.silent_fraction > MOST_SILENT, "silence"), (s.clipped > MOST_CLIPPED, "clipped"),
+        (s.seconds < base.seconds * LEAST_LENGTH, "shorter than baseline"), (s.zcr > base.zcr * MOST_BRIGHT, "brighter than baseline"),
+    ]
+    found = F.filter(F.array(*[F.when(test, F.lit(name)) for test, name in flags]), lambda f: f.isNotNull())
+    return F.when(broken, F.array(F.lit("non-finite"))).otherwise(found)
+
+
+def shaped(nested_audio: Column, nested_rate: Column, audio: Column, rate: Column) -> Column:
+    """A result's samples and rate, wherever it has them: beside each other or one level down; 24 kHz where no rate is given."""
+    given = lambda r: F.when(r != 0, r)
+    samples = F.coalesce(audio, nested_audio, F.array().cast("array<double>"))
+    return F.struct(samples.alias("samples"), F.coalesce(given(rate), given(nested_rate), F.lit(24000)).alias("rate"))
+
+
 def finite(x: Column) -> Column:
     return F.transform(x, lambda v: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(0.0)).otherwise(v))
 
@@ -144,7 +168,7 @@ def wav_header(data: Column) -> Column:
     return F.struct(rate.alias("rate"), little(22, 2).alias("channels"), little(34, 2).alias("bits"), size.alias("data_bytes"), (size / width / rate).alias("seconds"))
 
 
-def wav_bytes(samples: list[int], rate: int) -> bytes:
-    """A mono 16-bit WAV file; a small helper of sinks.write_wav()."""
-    body = struct.pack(f"<{len(samples)}h", *samples)
+def wav_bytes(samples, rate: int) -> bytes:
+    """A mono 16-bit WAV file; a small helper of sinks.wav_files()."""
+    body = np.asarray(samples, "<i2").tobytes()
     return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + b"data" + struct.pack("<I", len(body)) + body

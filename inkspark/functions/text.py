@@ -151,6 +151,11 @@ def counted(n: Column, noun: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {noun}"), F.when(n == 1, F.lit("")).otherwise(F.lit("s")))
 
 
+def speed_label(speed: Column) -> Column:
+    """'1x', '1.25x'"""
+    return F.concat(F.regexp_replace(speed.cast("string"), r"\.0$", ""), F.lit("x"))
+
+
 def cut_at(words: Column, length: Column, first: Column, limit: Column, least: int = 5) -> Column:
     """Where to stop in a sentence (an index one past the last word) so that the text from word ``first`` fits into
     ``limit`` characters: after the last clause that fits, else the last word; never fewer than ``least`` words, and

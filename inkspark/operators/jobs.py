@@ -39,20 +39,64 @@ def contiguous_prefix(packs: DataFrame, key: str) -> DataFrame:
     return packs.groupBy(key).agg(F.coalesce(F.min(F.when(~F.col("done"), F.col("ord"))), F.count(F.lit(1))).alias("deliverable"))
 
 
-def smoothed(values: Column) -> Column:
-    """The first value taken whole, then 0.4 of the way to each further one."""
-    return F.aggregate(values, F.lit(None).cast("double"), lambda was, now: F.when(was.isNull(), now).otherwise(was + 0.4 * (now - was)))
+#: Values of a queue that one fold takes in order.
+SPAN = 8192
 
 
-def guessed_low(values: Column, first: float) -> Column:
-    """Down at once, up by a twentieth of the way."""
-    return F.aggregate(values, F.lit(first), lambda was, now: F.when(now < was, now).otherwise(was + 0.05 * (now - was)))
+def folded(rows: DataFrame, key: str, seq: str, **folds: tuple[Column, Column, Column]) -> DataFrame:
+    """For each key the folds of its rows in the order of the whole number ``seq``. A fold's rows are maps a -> least(c, m * a + b),
+    given as (c, m, b) with m not negative; such maps make such maps when one follows another. So a range of SPAN
+    numbers is folded to one map by itself, and only these few are put in order for each key: no queue is gathered in
+    one task. Folds may use the column ``first``, whether a row is its key's first; that one's map must not depend on a (m = 0)."""
+    rows = rows.join(rows.groupBy(key).agg(F.min(seq).alias("__first")), key).withColumn("first", F.col(seq) == F.col("__first"))
+    maps = F.struct(*[F.struct(c.cast("double").alias("c"), m.cast("double").alias("m"), b.cast("double").alias("b")).alias(name) for name, (c, m, b) in folds.items()])
 
+    def after(first: Column, then: Column) -> Column:
+        both = lambda f, g: F.struct(
+            F.least(g.c, F.when(g.m == 0, g.b).otherwise(g.m * f.c + g.b)).alias("c"), (g.m * f.m).alias("m"), (g.m * f.b + g.b).alias("b")
+        )
+        return F.struct(*[both(first[name], then[name]).alias(name) for name in folds])
 
-def in_order(df: DataFrame, key: str, value: Column, *order: str) -> DataFrame:
-    """(key, values): each key's values as an array, in order."""
-    sorted_rows = F.array_sort(F.collect_list(F.struct(*order, value.alias("__v"))))
-    return df.groupBy(key).agg(F.transform(sorted_rows, lambda r: r["__v"]).alias("values"))
+    none = F.struct(*[F.struct(F.lit(float("inf")).alias("c"), F.lit(1.0).alias("m"), F.lit(0.0).alias("b")).alias(name) for name in folds])
+    in_turn = lambda xs: F.aggregate(F.array_sort(xs), none, lambda was, x: after(was, x.map))
+    spans = rows.groupBy(key, F.floor(F.col(seq) / SPAN).alias("seq")).agg(in_turn(F.collect_list(F.struct(F.col(seq).alias("at"), maps.alias("map")))).alias("map"))
+    whole = spans.groupBy(key).agg(in_turn(F.collect_list(F.struct(F.col("seq").alias("at"), "map"))).alias("map"))
+    return whole.select(key, *[F.least(F.col(f"map.{name}.c"), F.col(f"map.{name}.b")).alias(name) for name in folds])
+
+
+def smoothed(value: Column) -> tuple[Column, Column, Column]:
+    """A fold: the first value taken whole, then 0.4 of the way to each further one."""
+    return F.lit(float("inf")), F.when(F.col("first"), 0.0).otherwise(0.6), F.when(F.col("first"), value).otherwise(0.4 * value)
+
+
+def guessed_low(value: Column, start: float) -> tuple[Column, Column, Column]:
+    """A fold from ``start``: down at once, up by a twentieth of the way."""
+    return value, F.when(F.col("first"), 0.0).otherwise(0.95), F.when(F.col("first"), 0.95 * start + 0.05 * value).otherwise(0.05 * value)
+
+
+def prefetch(spoken: DataFrame, in_flight: DataFrame, ahead: int = 1) -> DataFrame:
+    """Keys (doc_id, sent_id, voice) to make next: for each pack that was asked for (doc_id, through, voice) the ``ahead`` starts
+    behind it, once each, but for those in flight."""
+    wanted = spoken.select("doc_id", F.explode(F.sequence(F.col("through") + 1, F.col("through") + ahead)).alias("sent_id"), "voice").distinct()
+    return wanted.join(in_flight, ["doc_id", "sent_id", "voice"], "left_anti")
+
+
+def in_flight(log: DataFrame, *key: str) -> DataFrame:
+    """Of a log (key, seq, op) of adds and discards, the keys whose last entry is an add."""
+    return log.groupBy(*key).agg(F.max_by("op", "seq").alias("op")).where("op = 'add'").select(*key)
+
+
+def shared_requests(log: DataFrame, key: str) -> DataFrame:
+    """Requests of a log (key, seq, op: request or fail) with the request whose job they share: the first one since the key's last
+    failure, which evicted the job before."""
+    order = Window.partitionBy(key).orderBy("seq")
+    lives = log.withColumn("life", F.sum((F.col("op") == "fail").cast("long")).over(order)).where("op = 'request'")
+    return lives.withColumn("job", F.min("seq").over(Window.partitionBy(key, "life")))
+
+
+def throttled(events: DataFrame, key: str, every: str = "250 milliseconds") -> DataFrame:
+    """One refill (key, tick, n) for each stretch of ``every`` in which something happened."""
+    return events.groupBy(key, F.window("ts", every).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("tick"), "n")
 
 
 def realtime_ratio(packs: DataFrame, key: str) -> DataFrame:

@@ -76,11 +76,53 @@ def import_status(chunks: Column, words: Column | None = None) -> Column:
     return F.when(F.size(chunks) > 0, 200).otherwise(422)
 
 
-def put(table: DataFrame, row: DataFrame, key: str, defaults: dict[str, Column]) -> DataFrame:
-    """Insert or replace rows; columns that are missing or null get their defaults."""
+def put(table: DataFrame, rows: DataFrame, key: str, defaults: dict[str, Column], *order: str) -> DataFrame:
+    """Insert or replace rows; columns that are missing or null get their defaults. Of rows with one key the last by ``order``
+    counts; without an order, rows are taken to have different keys."""
     for name, value in defaults.items():
-        row = row.withColumn(name, F.coalesce(F.col(name), value) if name in row.columns else value)
-    return table.join(row.select(key), key, "left_anti").unionByName(row.select(*table.columns))
+        rows = rows.withColumn(name, F.coalesce(F.col(name), value) if name in rows.columns else value)
+    if order:
+        rows = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in table.columns if c != key]), F.struct(*order)).alias("__last")).select(key, "__last.*")
+    return table.join(rows.select(key), key, "left_anti").unionByName(rows.select(*table.columns))
+
+
+def files_to_remove(documents: DataFrame, cached: DataFrame, gone: DataFrame) -> DataFrame:
+    """(id, path) of what a delete leaves on disk: the original file of each document (id, source_ext) of ``gone`` (id) that has
+    one, and its page pictures among ``cached`` (path), whose names are the id, a dash and more."""
+    ids = gone.select("id").distinct()
+    originals = documents.join(ids, "id", "left_semi").where("source_ext IS NOT NULL").select("id", F.concat(F.col("id").cast("string"), "source_ext").alias("path"))
+    named = cached.withColumn("id", F.regexp_extract("path", r"(?:^|/)(\d+)-[^/]*\.png$", 1)).where("id <> ''").withColumn("id", F.col("id").cast("long"))
+    return originals.unionByName(named.join(ids, "id", "left_semi").select("id", "path"))
+
+
+def found_status(asked: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Requests with a status: 200 where ``table`` has the key, else 404."""
+    known = table.select(key).distinct().withColumn("__known", F.lit(200))
+    return asked.join(known, key, "left").withColumn("status", F.coalesce("__known", F.lit(404))).drop("__known")
+
+
+def list_answers(listed: DataFrame) -> DataFrame:
+    """Of listing(): (id, answer), an object of id, title, position, created and total for each document."""
+    fields = F.struct("id", "title", "position", F.col("created").cast("string").alias("created"), F.col("sentences").alias("total"))
+    return listed.select("id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("answer"))
+
+
+def document_answers(documents: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(id, answer): a document (id, title, position, pages) with its sentences (doc_id, sent_id, text, words, kind, boxes) in order."""
+    one = F.struct(F.col("sent_id").alias("id"), "text", "words", "kind", "boxes")
+    inside = sentences.groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_list(one)).alias("sentences"))
+    whole = documents.join(inside, "id", "left").withColumn("sentences", F.coalesce("sentences", F.array().cast(inside.schema["sentences"].dataType)))
+    return whole.select("id", F.to_json(F.struct("id", "title", "position", "pages", "sentences"), {"ignoreNullFields": "false"}).alias("answer"))
+
+
+def chunk_answers(packs: DataFrame, *key: str) -> DataFrame:
+    """Key and answer of spoken packs (name, duration, timings, parts)."""
+    fields = F.struct(F.concat(F.lit("/api/audio/"), "name").alias("audio"), "duration", "timings", "parts")
+    return packs.select(*key, F.to_json(fields).alias("answer"))
+
+
+def voice_answers(presets: DataFrame) -> DataFrame:
+    return presets.select("preset", F.to_json(F.struct(F.col("preset").alias("id"), "label")).alias("answer"))
 
 
 def has_pages(pages: Column, original: Column) -> Column:

@@ -10,6 +10,19 @@ def readable(kind: Column, with_furniture: bool = False) -> Column:
     return F.lit(True) if with_furniture else kind == "body"
 
 
+def readable_ids(sentences: DataFrame, with_furniture: bool = False) -> DataFrame:
+    """(doc_id, place, sent_id) of the readable sentences, place counted from 0 in order."""
+    ok = sentences.where(readable(F.col("kind"), with_furniture))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_id")) - 1
+    return ok.select("doc_id", place.cast("long").alias("place"), "sent_id")
+
+
+def full_text(sentences: DataFrame) -> DataFrame:
+    """(doc_id, text): all sentences of a document with single spaces between."""
+    rows = F.array_sort(F.collect_list(F.struct("sent_id", "text")))
+    return sentences.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r.text), " ").alias("text"))
+
+
 def neighbours(sentences: DataFrame, with_furniture: bool = False) -> DataFrame:
     """Each sentence (doc_id, sent_id, kind) with the next and previous readable one; itself counts."""
     ok = F.when(readable(F.col("kind"), with_furniture), F.col("sent_id"))

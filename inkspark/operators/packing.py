@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkspark.functions import text as T
 from inkspark.functions.core import running
+from inkspark.sources.scratch import scratch
 
 LOOKAHEAD, LIMIT = 15, 480
 #: A sentence: id, kind, text.
@@ -117,16 +118,27 @@ def opening_plan(lengths: Column, chars_per_second: Column, speed: Column) -> Co
     return F.aggregate(lengths, start, add)
 
 
-def banked(links: DataFrame, starts: DataFrame, speed: float = 1.0, hops: int = 1000):
-    """Seconds of listening made for each start (who, at): the durations along ``links`` (who, pos, duration, next),
-    each link once. A recursive query; cycles end at the first position seen before."""
-    links.createOrReplaceTempView("__links")
-    starts.createOrReplaceTempView("__starts")
-    return links.sparkSession.sql(
-        f"""WITH RECURSIVE walk(who, seen, duration, next) MAX RECURSION LEVEL {hops} AS (
-              SELECT s.who, array(l.pos), l.duration, l.next FROM __starts s JOIN __links l ON l.who = s.who AND l.pos = s.at
-              UNION ALL
-              SELECT w.who, array_append(w.seen, l.pos), l.duration, l.next FROM walk w JOIN __links l ON l.who = w.who AND l.pos = w.next
-              WHERE NOT array_contains(w.seen, l.pos))
-            SELECT s.who, coalesce(sum(duration), 0) / {float(speed)} AS banked FROM __starts s LEFT JOIN walk w ON w.who = s.who GROUP BY s.who"""
-    )
+def banked(links: DataFrame, starts: DataFrame, speed: float = 1.0) -> DataFrame:
+    """Seconds of listening made for each start (who, at): the durations along ``links`` (who, pos, duration, next), each link
+    once; a chain ends where its next position has no link or was counted before. (who, banked)
+
+    Positions that chains go through are found by doubling: round k joins where 2**k steps lead with itself, so a chain of n
+    links takes log2(n) rounds of one equality join, and no chain is held in a row. A cycle's links are reached again and
+    again, so they are kept once."""
+    nexts = links.select("who", F.col("pos").alias("from"), F.col("next").alias("to"))
+    jump = nexts.join(nexts.select("who", F.col("from").alias("to")), ["who", "to"], "left_semi").select("who", "from", "to")
+    reached, count = starts.select("who", "at", F.col("at").alias("pos")).distinct(), -1
+    while (now := reached.count()) != count:
+        count = now
+        further = reached.withColumnRenamed("pos", "from").join(jump, ["who", "from"]).select("who", "at", F.col("to").alias("pos"))
+        reached = _kept(reached.unionByName(further).distinct())
+        jump = _kept(jump.join(jump.select("who", F.col("from").alias("to"), F.col("to").alias("far")), ["who", "to"]).select("who", "from", F.col("far").alias("to")))
+    made = reached.join(links.select("who", "pos", "duration"), ["who", "pos"]).groupBy("who", "at").agg(F.sum("duration").alias("made"))
+    return starts.join(made, ["who", "at"], "left").select("who", (F.coalesce("made", F.lit(0.0)) / float(speed)).alias("banked"))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` in the shared folder, so that a round does not run those before it again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

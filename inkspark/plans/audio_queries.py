@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkspark.functions import audio as A
 from inkspark.sources import readers, sinks
+from inkspark.sources.scratch import scratch
 
 from .registry import micros, query, table
 
@@ -34,30 +35,32 @@ def loudness_envelope(spark, d):
 
 
 @query("""
-    WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM embeddings),
-    r AS (SELECT vec_id, unnest(x) AS a, unnest(y) AS b FROM e WHERE y IS NOT NULL)
-    SELECT vec_id, floor(corr(a, b) * 1e6 + 0.5)::BIGINT AS corr_us FROM r GROUP BY 1""")
+    WITH r AS (SELECT a.vec_id, unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1)
+    SELECT vec_id, floor(corr(x, y) * 1e6 + 0.5)::BIGINT AS corr_us FROM r GROUP BY 1""")
 def envelope_correlation(spark, d):
-    from pyspark.sql import Window
-
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
-    pairs = e.withColumn("y", F.lag("x").over(Window.partitionBy("label").orderBy("vec_id"))).where("y IS NOT NULL")
-    return pairs.select("vec_id", micros(A.correlation(F.col("x"), F.col("y"))).alias("corr_us"))
+    """Each clip with the one before it; vec_ids are dense, so an equality join finds it and no label's clips meet in one task."""
+    e = _samples(spark, d)
+    before = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("x").alias("y"))
+    return e.join(before, "vec_id").select("vec_id", micros(A.correlation(F.col("x"), F.col("y"))).alias("corr_us"))
 
 
 @query(f"""
-    WITH {_X}, l AS (SELECT *, lag(v) OVER (PARTITION BY vec_id ORDER BY i) AS p FROM x),
-    s AS (SELECT vec_id, sqrt(sum(v * v) / count(*)) AS rms, count(*) FILTER (abs(v) >= 0.2) AS clipped, count(*) FILTER (abs(v) < 0.05) / count(*)::DOUBLE AS silent, count(*) FILTER ((p < 0) <> (v < 0)) / count(*)::DOUBLE AS zcr FROM l GROUP BY 1),
-    b AS (SELECT *, lag(zcr) OVER (ORDER BY vec_id) AS base FROM s)
-    SELECT vec_id, concat_ws(',', CASE WHEN rms < 0.125 THEN 'quiet' END, CASE WHEN silent > 0.35 THEN 'silence' END, CASE WHEN clipped > 8 THEN 'clipped' END, CASE WHEN zcr > base * 1.2 THEN 'bright' END) AS flags FROM b""")
+    WITH {_X}, z AS (SELECT vec_id, i, CASE WHEN vec_id % 31 = 0 AND i = 3 THEN 'nan'::DOUBLE WHEN vec_id % 13 = 0 THEN v / 100 WHEN vec_id % 7 = 0 AND i > 20 THEN 0.0 ELSE v * (1 + vec_id % 5) END AS v FROM x),
+    l AS (SELECT *, lag(v) OVER (PARTITION BY vec_id ORDER BY i) AS p FROM z),
+    s AS (SELECT vec_id, count(*) / 1000.0::DOUBLE AS seconds, sqrt(sum(v * v) / count(*)) AS rms, count(*) FILTER (abs(v) >= 0.999) AS clipped, count(*) FILTER (abs(v) < 1e-4) / count(*)::DOUBLE AS silent,
+          count(*) FILTER ((p < 0) <> (v < 0)) / count(*)::DOUBLE AS zcr, bool_or(isnan(v)) AS broken FROM l GROUP BY 1),
+    b AS (SELECT s.*, base.zcr AS base_zcr, base.seconds * (1 + (s.vec_id % 3) / 4.0::DOUBLE) AS base_seconds FROM s LEFT JOIN s base ON base.vec_id = s.vec_id - 1 AND NOT base.broken)
+    SELECT vec_id, CASE WHEN broken THEN 'non-finite' ELSE concat_ws(',', CASE WHEN seconds > (vec_id % 2) / 5.0::DOUBLE THEN 'too long' END, CASE WHEN rms < 0.01 THEN 'near-silent' END, CASE WHEN silent > 0.6 THEN 'silence' END,
+        CASE WHEN clipped > 8 THEN 'clipped' END, CASE WHEN seconds < base_seconds * 0.8::DOUBLE THEN 'shorter than baseline' END, CASE WHEN zcr > base_zcr * 1.5::DOUBLE THEN 'brighter than baseline' END) END AS flags FROM b""")
 def clip_verdict(spark, d):
-    """Flags of each clip; the base of its brightness is the clip before it (vec_ids are dense, so a join finds it)."""
-    x = F.col("x")
-    n = F.size(x)
-    s = _samples(spark, d).select("vec_id", A.rms(x).alias("rms"), A.count_where(x, lambda v: F.abs(v) >= 0.2).alias("clipped"), (A.count_where(x, lambda v: F.abs(v) < 0.05) / n).alias("silent"), A.stats(x, F.lit(RATE)).zcr.alias("zcr"))
-    base = s.select((F.col("vec_id") + 1).alias("vec_id"), F.col("zcr").alias("base"))
-    flags = [(F.col("rms") < 0.125, "quiet"), (F.col("silent") > 0.35, "silence"), (F.col("clipped") > 8, "clipped"), (F.col("zcr") > F.col("base") * 1.2, "bright")]
-    return s.join(base, "vec_id", "left").select("vec_id", F.concat_ws(",", *[F.when(c, F.lit(name)) for c, name in flags]).alias("flags"))
+    """Flags of each clip, some of them made quiet, cut short, loud or broken; the clip before is the baseline, taken to be longer for
+    two clips in three; clips with an odd id speak one character, the others none."""
+    key, v = F.col("vec_id"), lambda v, i: F.when((key % 31 == 0) & (i == 2), F.lit(float("nan"))).when(key % 13 == 0, v / 100).when((key % 7 == 0) & (i > 19), F.lit(0.0)).otherwise(v * (1 + key % 5))
+    s = _samples(spark, d).select("vec_id", A.stats(F.transform("x", v), F.lit(RATE)).alias("s"))
+    base = s.where(~F.isnan("s.rms")).select((key + 1).alias("vec_id"), F.col("s").alias("b"))
+    both = s.join(base, "vec_id", "left")
+    longer = F.struct((F.col("b.seconds") * (1 + (key % 3) / 4)).alias("seconds"), F.col("b.zcr").alias("zcr"))
+    return both.select("vec_id", F.array_join(A.verdict(F.col("s"), key % 2, longer), ",").alias("flags"))
 
 
 @query(f"""
@@ -86,16 +89,39 @@ def silence_trim(spark, d):
 
 
 @query("""
-    WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM embeddings), z AS (SELECT vec_id, unnest(x) AS a, unnest(y) AS b FROM p WHERE y IS NOT NULL)
-    SELECT vec_id, floor(sum(a * 0.6::DOUBLE + b * 0.4::DOUBLE) * 1e6 + 0.5)::BIGINT AS total_us FROM z GROUP BY 1""")
+    WITH z AS (SELECT a.vec_id, unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+    SELECT vec_id, floor(sum(x * 0.6::DOUBLE + y * 0.4::DOUBLE) * 1e6 + 0.5)::BIGINT AS total_us FROM z GROUP BY 1""")
 def style_blend(spark, d):
-    from pyspark.sql import Window
-
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
-    pairs = e.withColumn("y", F.lead("x").over(Window.partitionBy("label").orderBy("vec_id"))).where("y IS NOT NULL")
+    e = _samples(spark, d)
+    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
     return pairs.select("vec_id", micros(A.total(A.blended([(0.6, F.col("x")), (0.4, F.col("y"))]))).alias("total_us"))
 
 
+@query("""
+    WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS x, vec_id % 20 AS a, 64 - vec_id % 17 AS b FROM embeddings),
+    v AS (SELECT vec_id, i - 1 AS i, CASE WHEN i - 1 >= a AND i - 1 < b THEN x[i] ELSE 0.0 END AS v FROM q, (SELECT unnest(generate_series(1, 64)) AS i)),
+    f AS (SELECT vec_id, min(k * 10) AS first FROM (SELECT vec_id, k, k * 10 + 10 >= 64 OR (SELECT sqrt(sum(v * v) / count(*)) FROM v w WHERE w.vec_id = q.vec_id AND w.i >= k * 10 AND w.i < least(64, k * 10 + 10)) >= 0.004 AS stops
+        FROM q, (SELECT unnest(generate_series(0, 6)) AS k)) WHERE stops GROUP BY 1),
+    l AS (SELECT vec_id, max(64 - k * 10) AS last FROM (SELECT q.vec_id, k, 54 - k * 10 <= first OR (SELECT sqrt(sum(v * v) / count(*)) FROM v w WHERE w.vec_id = q.vec_id AND w.i >= greatest(0, 54 - k * 10) AND w.i < 64 - k * 10) >= 0.004 AS stops
+        FROM q JOIN f USING (vec_id), (SELECT unnest(generate_series(0, 6)) AS k)) WHERE stops GROUP BY 1)
+    SELECT vec_id, first::BIGINT AS start, last::BIGINT AS last FROM f JOIN l USING (vec_id)""")
+def silence_spans(spark, d):
+    """Where each clip, with silence put before and behind, is not silent: windows of 10 samples."""
+    key = F.col("vec_id")
+    quiet = F.transform("x", lambda v, i: F.when((i >= key % 20) & (i < 64 - key % 17), v).otherwise(0.0))
+    spans = _samples(spark, d).select("vec_id", quiet.alias("x")).select("vec_id", A.silence_span(F.col("x"), F.lit(RATE)).alias("s"))
+    return spans.select("vec_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("last"))
+
+
+@query("""
+    SELECT vec_id, CASE vec_id % 4 WHEN 3 THEN 0 ELSE 64 END::BIGINT AS samples, CASE vec_id % 4 WHEN 0 THEN 16000 WHEN 1 THEN 22050 ELSE 24000 END::BIGINT AS rate FROM embeddings""")
+def result_shapes(spark, d):
+    """Samples and rate beside each other, one level down, without a rate, and absent."""
+    kind = F.col("vec_id") % 4
+    rows = _samples(spark, d).select("vec_id", A.shaped(F.when(kind == 1, F.col("x")), F.when(kind == 1, 22050), F.when(kind.isin(0, 2), F.col("x")), F.when(kind == 0, 16000).otherwise(0)).alias("r"))
+    return rows.select("vec_id", F.size("r.samples").cast("long").alias("samples"), F.col("r.rate").cast("long").alias("rate"))
+
+
 @query(f"WITH {_X} SELECT vec_id, i - 1 AS i, trunc(CASE WHEN v * 8 < 0 THEN greatest(-1.0, v * 8) * 32768 ELSE least(1.0, v * 8) * 32767 END)::BIGINT AS pcm FROM x")
 def pcm16(spark, d):
     rows = _samples(spark, d).select("vec_id", F.posexplode(A.pcm16(F.transform("x", lambda v: v * 8))).alias("i", "pcm"))
@@ -108,6 +134,17 @@ def wav_round_trip(spark, d):
     return files.select("name", A.wav_header(F.col("content")).alias("h"), F.octet_length("content").cast("long").alias("bytes")).select("name", "h.rate", "h.channels", "h.bits", "h.data_bytes", "bytes")
 
 
+@query("SELECT vec_id::VARCHAR || '.wav' AS name, (44 + 2 * len(embedding))::BIGINT AS bytes, 24000::BIGINT AS rate, (2 * len(embedding))::BIGINT AS data_bytes FROM embeddings")
+def published_audio(spark, d):
+    """WAV files written to the shared folder, each whole or not at all, and their headers read back."""
+    files, folder = sinks.wav_files(_samples(spark, d), "vec_id", "x", 24000), scratch(spark)
+    listed = sinks.publish(files.withColumn("name", F.concat("name", F.lit(".wav"))), folder)
+    listed.write.parquet(f"{folder}-list")
+    read = readers.read_wav_headers(spark, f"{folder}/*.wav").withColumn("name", F.regexp_extract("path", "[^/]+$", 0))
+    done = spark.read.parquet(f"{folder}-list").withColumn("name", F.regexp_extract("path", "[^/]+$", 0)).select("name", "bytes")
+    return done.join(read, "name").select("name", "bytes", "rate", "data_bytes")
+
+
 @query("SELECT * FROM (VALUES ('adam', 95::BIGINT, 2::BIGINT), ('aria', 93, 2), ('emma', 93, 1), ('george', 95, 1), ('river', 91, 2), ('sky', 100, 1)) t(preset, speed_percent, voices)")
 def voice_presets(spark, d):
     return readers.presets(spark).select("preset", F.round(F.col("base_speed") * 100).cast("long").alias("speed_percent"), F.size("blend").cast("long").alias("voices"))

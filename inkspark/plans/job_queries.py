@@ -53,8 +53,8 @@ def contiguous_prefix(spark, d):
     WITH {_JOBS}, l AS (SELECT q, list(value ORDER BY seq) AS v FROM jobs GROUP BY 1)
     SELECT q, floor(list_reduce(v, lambda a, x: a + 0.4::DOUBLE * (x - a)) * 1e6 + 0.5)::BIGINT AS ratio_us, floor(list_reduce(list_prepend(14.0::DOUBLE, v), lambda a, x: CASE WHEN x < a THEN x ELSE a + 0.05::DOUBLE * (x - a) END) * 1e6 + 0.5)::BIGINT AS rate_us FROM l""")
 def smoothed_estimates(spark, d):
-    values = J.in_order(_jobs(spark, d), "q", F.col("value"), "seq")
-    return values.select("q", micros(J.smoothed(F.col("values"))).alias("ratio_us"), micros(J.guessed_low(F.col("values"), 14.0)).alias("rate_us"))
+    done = J.folded(_jobs(spark, d), "q", "seq", ratio=J.smoothed(F.col("value")), rate=J.guessed_low(F.col("value"), 14.0))
+    return done.select("q", micros(F.col("ratio")).alias("ratio_us"), micros(F.col("rate")).alias("rate_us"))
 
 
 @query(f"""
@@ -95,6 +95,38 @@ def debounced_updates(spark, d):
     return J.debounced(e, "q", "6 hours").withColumn("burst_start", F.date_format("burst_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query(f"""
+    WITH {_JOBS}, spoken AS (SELECT q AS doc_id, seq % 30 AS through, tag AS voice FROM jobs WHERE event_type = 'view'),
+    log AS (SELECT q AS doc_id, seq % 30 + 1 AS sent_id, tag AS voice, seq, CASE event_type WHEN 'click' THEN 'add' ELSE 'discard' END AS op FROM jobs WHERE event_type IN ('click', 'error')),
+    flying AS (SELECT doc_id, sent_id, voice FROM (SELECT doc_id, sent_id, voice, arg_max(op, seq) AS op FROM log GROUP BY ALL) WHERE op = 'add'),
+    wanted AS (SELECT DISTINCT doc_id, through + unnest([1, 2]) AS sent_id, voice FROM spoken)
+    SELECT w.* FROM wanted w ANTI JOIN flying f ON w.doc_id = f.doc_id AND w.sent_id = f.sent_id AND w.voice = f.voice""")
+def prefetched_packs(spark, d):
+    """The two packs behind each one asked for, but for those in flight: added by a click and not discarded by an error since."""
+    jobs = _jobs(spark, d)
+    spoken = jobs.where("event_type = 'view'").select(F.col("q").alias("doc_id"), (F.col("seq") % 30).alias("through"), F.col("tag").alias("voice"))
+    op = F.when(F.col("event_type") == "click", "add").otherwise("discard")
+    log = jobs.where("event_type IN ('click', 'error')").select(F.col("q").alias("doc_id"), (F.col("seq") % 30 + 1).alias("sent_id"), F.col("tag").alias("voice"), "seq", op.alias("op"))
+    return J.prefetch(spoken, J.in_flight(log, "doc_id", "sent_id", "voice"), ahead=2)
+
+
+@query(f"""
+    WITH {_JOBS}, log AS (SELECT key, seq, CASE event_type WHEN 'error' THEN 'fail' ELSE 'request' END AS op FROM jobs),
+    lives AS (SELECT *, count(*) FILTER (op = 'fail') OVER (PARTITION BY key ORDER BY seq) AS life FROM log)
+    SELECT key, seq, min(seq) OVER (PARTITION BY key, life) AS job FROM lives WHERE op = 'request'""")
+def shared_jobs(spark, d):
+    """Requests for one key share a job until it fails."""
+    log = _jobs(spark, d).select("key", "seq", F.when(F.col("event_type") == "error", "fail").otherwise("request").alias("op"))
+    return J.shared_requests(log, "key").select("key", "seq", "job")
+
+
+@query("""
+    SELECT user_id AS q, strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS tick, count(*) AS n FROM events GROUP BY ALL""")
+def throttled_refills(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("q"), F.col("ts").cast("timestamp").alias("ts"))
+    return J.throttled(e, "q", "6 hours").withColumn("tick", F.date_format("tick", "yyyy-MM-dd HH:mm:ss"))
+
+
 _MACHINES = [
     (1, 8, 16.0, None, None, False, True, False, None, True), (2, 8, 16.0, "small", None, False, True, False, None, True), (3, 8, 16.0, None, "3g", False, True, False, None, True),
     (4, 8, 16.0, "big", "3g", True, True, False, None, True), (5, 8, 2.0, None, "4g", False, True, False, None, True), (6, 12, 0.0, None, None, False, True, True, None, True),
@@ -113,6 +145,34 @@ def pick_backend(spark, d):
     return m.select("id", "b.device", "b.dtype", "b.why", workers.cast("long").alias("workers"), M.thread_count(F.col("cores"), workers).cast("long").alias("threads"))
 
 
+_CAPABLE = """SELECT c_custkey AS id, (1 + c_custkey % 16)::INT AS cores, ([0.0, 2.0, 4.0, 8.0, 16.0])[(c_custkey % 5 + 1)::INT]::DOUBLE AS memory, ([NULL, 'small', 'big'])[(c_custkey % 3 + 1)::INT] AS preference,
+        ([NULL, '2g', '3g', '4g'])[(c_custkey % 4 + 1)::INT] AS net, c_custkey % 11 = 0 AS save_data, c_nationkey % 2 = 0 AS gpu, c_nationkey % 7 = 0 AS fallback,
+        ([NULL, 0, 1000, 300000000])[(c_nationkey % 4 + 1)::INT]::BIGINT AS max_buffer, c_nationkey % 3 > 0 AS isolated FROM customer"""
+
+
+@query(f"""
+    WITH m AS ({_CAPABLE}),
+    t AS (SELECT *, save_data OR coalesce(net, '') IN ('slow-2g', '2g', '3g') AS metered, gpu AND NOT fallback AND NOT (coalesce(max_buffer, 0) <> 0 AND coalesce(max_buffer, 0) < 256000000) AS usable FROM m),
+    w AS (SELECT *, CASE WHEN preference = 'small' THEN 'chosen' WHEN preference IS DISTINCT FROM 'big' AND metered THEN 'metered' WHEN preference IS DISTINCT FROM 'big' AND memory > 0 AND memory < 4 THEN 'memory'
+            WHEN usable THEN 'gpu' WHEN isolated AND (preference IS NOT DISTINCT FROM 'big' OR (cores >= 8 AND (memory = 0 OR memory >= 8))) THEN 'cores' WHEN NOT isolated THEN 'not isolated' ELSE 'small machine' END AS why FROM t),
+    b AS (SELECT *, CASE why WHEN 'gpu' THEN 'webgpu' ELSE 'wasm' END AS device, CASE WHEN why IN ('gpu', 'cores') THEN 'fp32' ELSE 'q8' END AS dtype FROM w),
+    n AS (SELECT *, CASE WHEN device = 'webgpu' THEN 1 WHEN dtype = 'fp32' THEN CASE WHEN memory > 0 AND memory < 8 THEN 1 WHEN cores >= 12 THEN 2 ELSE 1 END WHEN cores >= 12 THEN 3 WHEN cores >= 8 THEN 2 ELSE 1 END AS workers FROM b)
+    SELECT id, device, dtype, why, workers::BIGINT AS workers, greatest(1, least(6, cores // workers))::BIGINT AS threads, CASE WHEN device = 'webgpu' THEN 120 WHEN dtype = 'fp32' THEN 650 ELSE 1050 END::BIGINT AS hint_thousandths FROM n""")
+def machine_backends(spark, d):
+    """A backend for each customer's machine, with its workers, threads and first guess of the ratio."""
+    c, key, land = table(spark, d, "customer"), F.col("c_custkey"), F.col("c_nationkey")
+    pick = lambda by, values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), (by % len(values)).cast("int"))
+    m = c.select(
+        key.alias("id"), (1 + key % 16).cast("int").alias("cores"), pick(key, [0.0, 2.0, 4.0, 8.0, 16.0], "double").alias("memory"), pick(key, [None, "small", "big"], "string").alias("preference"),
+        pick(key, [None, "2g", "3g", "4g"], "string").alias("net"), (key % 11 == 0).alias("save_data"), (land % 2 == 0).alias("gpu"), (land % 7 == 0).alias("fallback"),
+        pick(land, [None, 0, 1000, 300_000_000], "long").alias("max_buffer"), (land % 3 > 0).alias("isolated"),
+    )
+    usable = M.usable_gpu(F.col("gpu"), F.col("fallback"), F.col("max_buffer"))
+    m = m.withColumn("b", M.pick_backend(F.col("cores"), F.col("memory"), F.col("preference"), M.metered(F.col("save_data"), F.col("net")), usable, F.col("isolated"))).select("id", "cores", "memory", "b.*")
+    workers, hint = M.worker_budget(F.col("device"), F.col("dtype"), F.col("cores"), F.col("memory")), M.ratio_hint(F.col("device"), F.col("dtype"))
+    return m.select("id", "device", "dtype", "why", workers.cast("long").alias("workers"), M.thread_count(F.col("cores"), workers).cast("long").alias("threads"), F.floor(hint * 1000 + 0.5).cast("long").alias("hint_thousandths"))
+
+
 @query("SELECT * FROM (VALUES ('webgpu', 'fp32', 120::BIGINT, 220::BIGINT), ('wasm', 'fp32', 650, 40), ('wasm', 'q8', 1050, 40)) t(device, dtype, hint_thousandths, tail)")
 def backend_hints(spark, d):
     rows = spark.createDataFrame([("webgpu", "fp32"), ("wasm", "fp32"), ("wasm", "q8")], "device string, dtype string")

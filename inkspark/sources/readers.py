@@ -38,14 +38,35 @@ def reader_of(path: Column) -> Column:
     return found
 
 
+def browser_reader_of(path: Column) -> Column:
+    """Which reader takes a file where only PDF, plain text and files without a suffix are taken; null for others."""
+    suffix = T.suffix_of(path)
+    return F.when(suffix == ".pdf", "layout").when(suffix.isin(".txt", ".md", ""), "text")
+
+
 def supported() -> str:
     return ", ".join(sorted(READERS))
 
 
+def upload_outcome(path: Column, scanned: Column, sentences: Column) -> Column:
+    """Struct of status and why: 415 for a file that no reader takes, 422 for a scan and for a text without a sentence, else 200."""
+    suffix = T.suffix_of(path)
+    unknown = F.concat(F.lit("unknown format "), F.coalesce(F.nullif(suffix, F.lit("")), F.lit("(none)")), F.lit(f", known: {supported()}"))
+    said = lambda status, why: F.struct(F.lit(status).alias("status"), why.alias("why"))
+    return (
+        F.when(reader_of(path).isNull(), said(415, unknown))
+        .when((suffix == ".pdf") & scanned, said(422, F.lit("a scan without text")))
+        .when(sentences == 0, said(422, F.lit("no readable text")))
+        .otherwise(said(200, F.lit("stored")))
+    )
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """One row for each text or Markdown file: path, title, text. Bytes that are not UTF-8 become U+FFFD."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return files.select("path", T.title_of(F.col("path")).alias("title"), "text")
+    # the path is a URI: %20 is a space, but a plus is a plus
+    name = F.url_decode(F.replace(F.regexp_replace("path", "^.*/", ""), F.lit("+"), F.lit("%2B")))
+    return files.select("path", T.title_of(name).alias("title"), "text")
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -100,9 +121,17 @@ def pasted_title(title: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(title), F.lit("")), F.lit("Pasted text"))
 
 
+def page_title(html: Column) -> Column:
+    """What a page calls itself: its og:title, else its title element, white space collapsed; null where it has neither."""
+    named = F.regexp_extract(html, r"""(?is)<meta\s[^>]*property\s*=\s*["']og:title["'][^>]*content\s*=\s*["']([^"']*)["']""", 1)
+    titled = T.collapse(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1))
+    return F.coalesce(F.nullif(T.collapse(named), F.lit("")), F.nullif(titled, F.lit("")))
+
+
 def from_pages(pages: DataFrame) -> DataFrame:
-    """Web pages as documents: the URL, cut to 120 characters, is the title; the text approximates the main text."""
-    return pages.withColumn("title", F.substring("url", 1, 120)).withColumn("text", T.article_text(F.col("html")))
+    """Web pages as documents: the page's own title, else its URL, cut to 120 characters; the text approximates the main text."""
+    title = F.substring(F.coalesce(page_title(F.col("html")), F.col("url")), 1, 120)
+    return pages.withColumn("title", title).withColumn("text", T.article_text(F.col("html")))
 
 
 def scanned(texts: DataFrame, key: str, least: int = 40) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,26 @@ def wav_files(samples: DataFrame, name: str, value: str, rate: int) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"name": b["name"], "content": [audio.wav_bytes(list(map(int, x)), rate) for x in b["pcm"]]})
+            yield pd.DataFrame({"name": b["name"], "content": [audio.wav_bytes(x, rate) for x in b["pcm"]]})
 
     rows = samples.select(F.col(name).cast("string").alias("name"), audio.pcm16(F.col(value)).alias("pcm"))
     return rows.mapInPandas(run, "name string, content binary")
+
+
+def publish(files: DataFrame, folder: str) -> DataFrame:
+    """Write files (name, content) to a shared folder, and list them (path, bytes). Each is written under a name of its own task
+    and then renamed, so a reader sees whole files only, whatever task is lost or run twice."""
+    root = folder if ":" in folder else f"file://{folder}"
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, top = fs.FileSystem.from_uri(root)
+        where.create_dir(top, recursive=True)
+        for b in batches:
+            for name, content in zip(b["name"], b["content"]):
+                part = f"{top}/.{name}.{uuid.uuid4().hex}"
+                with where.open_output_stream(part, compression=None) as out:
+                    out.write(bytes(content))
+                where.move(part, f"{top}/{name}")
+            yield pd.DataFrame({"path": [f"{folder}/{n}" for n in b["name"]], "bytes": [len(c) for c in b["content"]]})
+
+    return files.select("name", "content").mapInPandas(write, "path string, bytes long")
