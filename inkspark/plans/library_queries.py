@@ -92,12 +92,15 @@ def schema_migration(spark, d):
 
 
 @query("""
-    SELECT r_regionkey::BIGINT AS id, r_name AS title, 0::BIGINT AS position FROM region WHERE r_regionkey <> 2
-    UNION ALL SELECT * FROM (VALUES (2::BIGINT, 'Pasted text', 0::BIGINT), (9::BIGINT, 'Notes', 4::BIGINT))""")
+    WITH base AS (SELECT c_custkey AS id, c_name AS title, 0::BIGINT AS position FROM customer),
+    puts AS (SELECT user_id * 3 AS id, arg_max(CASE WHEN event_id % 3 > 0 THEN 'Note ' || event_id ELSE 'Pasted text' END, (ts, event_id)) AS title, arg_max(CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0 END, (ts, event_id)) AS position FROM events GROUP BY 1)
+    SELECT * FROM puts UNION ALL SELECT * FROM base WHERE id NOT IN (SELECT id FROM puts)""")
 def put_with_defaults(spark, d):
-    base = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("title"), F.lit(0).cast("long").alias("position"))
-    rows = spark.createDataFrame([(2, None, None), (9, "Notes", 4)], "id long, title string, position long")
-    return L.put(base, rows, "id", {"title": F.lit("Pasted text"), "position": F.lit(0).cast("long")})
+    """Many puts for one key, of which the last counts; a put without a title or position gets the defaults."""
+    base = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.lit(0).cast("long").alias("position"))
+    title, position = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("Note "), F.col("event_id"))), F.when(F.col("event_id") % 2 == 0, F.col("event_id"))
+    rows = table(spark, d, "events").select((F.col("user_id") * 3).alias("id"), title.alias("title"), position.alias("position"), "ts", "event_id")
+    return L.put(base, rows, "id", {"title": F.lit("Pasted text"), "position": F.lit(0).cast("long")}, "ts", "event_id")
 
 
 @query("""
@@ -136,7 +139,7 @@ def html_text(spark, d):
 
 
 @query("""
-    SELECT page_id, substr(url, 1, 120) AS title,
+    SELECT page_id, substr(coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\\s*>', 1), '\\s+', ' ', 'g')), ''), url), 1, 120) AS title,
            trim(regexp_replace(regexp_replace(regexp_replace(html,
              '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<nav\\b.*?</nav\\s*>|<header\\b.*?</header\\s*>|<footer\\b.*?</footer\\s*>|<head\\b.*?</head\\s*>', ' ', 'g'),
              '<[^>]+>', ' ', 'g'), '[\\s\\p{Z}\\x85\\x1c-\\x1f]+', ' ', 'g')) AS text FROM pages""")
