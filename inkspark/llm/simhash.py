@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import has_rows, join_checked, materialize
+from .shared import SALTS, has_rows, join_checked, join_counted, join_wide, materialize
 
 SEED = 42
 #: Fingerprints under one key that one task compares; keys with more are split. Splitting makes some 50 rows of each
@@ -31,8 +31,8 @@ SEED = 42
 RUN = 16_384
 #: Runs up to this size are compared many at a time.
 SHORT = 64
-#: Documents of each component that the first round of verification settles.
-LEADERS = 8
+#: Documents of each component that a round of verification settles: in the first one, and at most.
+LEADERS, MOST_LEADERS = 8, 64
 #: Independent fingerprints of each document where candidates are verified afterwards. One alone parts about half of the
 #: pairs at a similarity of 0.8.
 TABLES = 3
@@ -219,7 +219,7 @@ def near_links(distinct: DataFrame, bits: int = 3, run: int = RUN) -> DataFrame:
         segments, last = _segments(width, parts), width <= 16  # by then the keys hold so many bits that runs are small
         keyed = _variants(rows, segments).repartition("key").sortWithinPartitions("key", "fp")
         met = materialize(keyed.mapInArrow(_runs(bits, None if last else run, segments), "key long, a long, b long, rest long, big boolean"))
-        found = met.where("NOT big").select("a", "b")
+        found = met.where("NOT big").select("a", "b")  # a spanning forest of each run
         links = found if links is None else links.unionByName(found)
         rows, width = met.where("big").select("key", F.col("a").alias("fp"), "rest"), width - min(w for _, w in segments)
         if last or not has_rows(rows):
@@ -229,13 +229,12 @@ def near_links(distinct: DataFrame, bits: int = 3, run: int = RUN) -> DataFrame:
 def _components(docs: DataFrame, text_col: str, id_col: str, words_in_shingle: int, bits: int) -> DataFrame:
     """(id, version, fp, component_id) of each document."""
     rows = materialize(fingerprints(docs, text_col, id_col, words_in_shingle).select("id", "version", F.get("fps", F.lit(0)).alias("fp")))
-    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(near_links(classes.select("fp"), bits))
-    classes = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(classes.join(names, "root").select("fp", "component_id"))
-    # few distinct fingerprints may hold most rows: AQE splits such a partition of the larger side
-    return rows.join(classes, "fp")
+    rooted = materialize(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), classes)
+    names = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes")))
+    named = materialize(join_counted(rooted, names, "root", "classes").select("fp", "component_id", "n"), rooted, names)
+    return join_counted(rows, named, "fp", "n")  # few distinct fingerprints may hold most rows
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words_in_shingle: int = 3, bits: int = 3) -> DataFrame:
@@ -249,16 +248,17 @@ def _candidates(docs: DataFrame, text_col: str, id_col: str, bits: int, tables:
     """(id, version, component_id) of the documents that fingerprints in any of the tables link with others, repeated rows once."""
     rows = materialize(fingerprints(docs.where(F.col(id_col).isNotNull()), text_col, id_col, 3, tables))
     each = rows.select("id", "version", F.posexplode("fps").alias("table", "fp"))
-    classes = materialize(each.groupBy("table", "fp").count())
+    classes = materialize(each.groupBy("table", "fp").agg(F.count(F.lit(1)).alias("n")))
     roots = connected_components(near_links(classes.select("table", "fp"), bits))
-    classes = materialize(classes.join(roots, classes.fp == roots.node, "left").select("table", "fp", "count", F.coalesce("root", "fp").alias("root")))
-    shared = classes.groupBy("table", "root").agg(F.sum("count").alias("n")).where("n > 1").drop("n")
-    shared = classes.join(shared, ["table", "root"], "left_semi").select("table", "fp", "root")
-    # few fingerprints may hold most rows: AQE splits such a partition of the larger side. Documents have a root for each table at most
-    found = each.join(shared, ["table", "fp"]).groupBy("id", "version").agg(F.min("root").alias("node"), F.collect_set("root").alias("roots"))
-    found = materialize(found)
-    across = found.select(F.col("node").alias("a"), F.explode("roots").alias("b")).where("a <> b")
-    joined = join_checked(found.select("id", "version", "node"), connected_components(across), "node", "left", F.xxhash64("id", "version"))
+    rooted = materialize(classes.join(roots, classes.fp == roots.node, "left").select("table", "fp", "n", F.coalesce("root", "fp").alias("root")), classes)
+    sizes = rooted.groupBy("table", "root").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")).where("rows > 1").drop("rows")
+    sizes = materialize(sizes)
+    shared = materialize(join_counted(rooted, sizes, ["table", "root"], "classes").select("table", "fp", "root", "n"), rooted, sizes)
+    # a document has a root for each table at most
+    found = join_counted(each, shared, ["table", "fp"], "n").groupBy("id", "version").agg(F.min("root").alias("node"), F.collect_set("root").alias("roots"))
+    found = materialize(found, rows, shared)
+    across = connected_components(found.select(F.col("node").alias("a"), F.explode("roots").alias("b")).where("a <> b"))
+    joined = join_checked(found.select("id", "version", "node"), across, "node", "left", F.xxhash64("id", "version"))
     return joined.select("id", "version", F.coalesce("root", "node").alias("component_id"))
 
 
@@ -272,8 +272,8 @@ def verified_duplicates(docs: DataFrame, text_col: str, id_col: str, bits: int,
     are made within a group, and nothing goes unless a document that stays is that similar."""
     kind = dict(docs.dtypes)[id_col]
     found = materialize(_candidates(docs, text_col, id_col, bits, tables))
-    several = found.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = materialize(found.join(several, "component_id").withColumn("key", F.xxhash64("id", "version")).dropDuplicates(["key"]))
+    several = materialize(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = materialize(join_counted(found, several, "component_id", "n"), found, several)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,32 +292,36 @@ def verified_duplicates(docs: DataFrame, text_col: str, id_col: str, bits: int,
                 staying.append([{k: x[k] for k in ("id", "version", "grams")} for x in stay])
                 going.append(gone)
             kinds = [batch.schema.field(1).type, pa.list_(pa.struct([("id", batch.schema.field(0).type), ("version", pa.int64()), ("keep_id", batch.schema.field(0).type)]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(staying, kinds[0]), pa.array(going, kinds[1]), batch.column(2)], names=["component_id", "staying", "going", "last"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(staying, kinds[0]), pa.array(going, kinds[1]), batch.column(2)], names=["component_id", "n", "staying", "going", "last"])
 
-    texts = docs.select(F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("key"), F.col(text_col).alias("text"))
-    left = join_checked(texts, members, "key", "inner", F.col("key")).select("id", "version", "component_id", "text")
-    left = materialize(left.mapInArrow(sets, f"id {kind}, version long, component_id long, grams array<long>"))
-    gone, leaders = left.limit(0).select("id", "version", F.col("id").alias("keep_id")), LEADERS
-    order = Window.partitionBy("component_id").orderBy("id", "version")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    left = join_checked(texts, members, ["id", "version"], "inner", F.col("version")).select("id", "version", "component_id", "text")
+    left = materialize(left.dropDuplicates(["id", "version"]).mapInArrow(sets, f"id {kind}, version long, component_id long, grams array<long>"), members)
+    gone, leaders = docs.sparkSession.createDataFrame([], f"id {kind}, version long, keep_id {kind}"), LEADERS
+    salt = F.pmod(F.xxhash64("id", "version"), F.lit(SALTS))
     one = f"struct<id:{kind},version:bigint,grams:array<bigint>>"
-    while has_rows(several := left.groupBy("component_id").count().where("count > 1")):
-        first = left.join(several.select("component_id"), "component_id", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leaders)
-        heads = first.groupBy("component_id").agg(F.sort_array(F.collect_list(F.struct("id", "version", "grams"))).alias("leaders"), F.max(F.struct("id", "version")).alias("last"))
-        schema = f"component_id long, staying array<{one}>, going array<struct<id:{kind},version:bigint,keep_id:{kind}>>, last struct<id:{kind},version:bigint>"
-        heads = materialize(heads.select("component_id", "leaders", "last").mapInArrow(settle, schema))
+    while has_rows(several := materialize(left.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))):
+        first = join_counted(left, several, "component_id", "n")
+        for key in (("component_id", "salt"), ("component_id",)):  # so that a large component is not one task's
+            order = Window.partitionBy(*key).orderBy("id", "version")
+            first = first.withColumn("salt", salt).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leaders)
+        heads = first.groupBy("component_id", "n").agg(F.sort_array(F.collect_list(F.struct("id", "version", "grams"))).alias("leaders"), F.max(F.struct("id", "version")).alias("last"))
+        schema = f"component_id long, n long, staying array<{one}>, going array<struct<id:{kind},version:bigint,keep_id:{kind}>>, last struct<id:{kind},version:bigint>"
+        heads = materialize(heads.select("component_id", "leaders", "last", "n").mapInArrow(settle, schema))
         gone = gone.unionByName(heads.select(F.explode("going").alias("g")).select("g.*"))
-        others = left.join(heads.drop("going"), "component_id").where(F.struct("id", "version") > F.col("last"))
+        met = join_wide(left, heads.drop("going"), "component_id", "n", F.col("version"))
+        others = met.where(F.struct("id", "version") > F.col("last"))
         shared = lambda y: F.size(F.array_intersect("grams", y.grams))
         like = F.filter("staying", lambda y: shared(y) >= F.lit(least) * (F.size("grams") + F.size(y.grams) - shared(y)))
-        judged = materialize(others.select("id", "version", "component_id", "grams", F.get(like, F.lit(0)).id.alias("keep_id")))
+        judged = materialize(others.select("id", "version", "component_id", "grams", F.get(like, F.lit(0)).id.alias("keep_id")), left, several)
         gone = gone.unionByName(judged.where("keep_id IS NOT NULL").select("id", "version", "keep_id"))
-        left, leaders = judged.where("keep_id IS NULL").drop("keep_id"), min(256, 2 * leaders)
+        left, leaders = judged.where("keep_id IS NULL").drop("keep_id"), min(MOST_LEADERS, 2 * leaders)
     return materialize(gone)
 
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", bits: int = 7, shingle: int = 5, least: float = 0.8, tables: int = TABLES) -> DataFrame:
     """``docs`` without those that verified_duplicates() finds; rows with a null id always stay."""
     gone = verified_duplicates(docs, text_col, id_col, bits, shingle, least, tables)
-    gone = gone.select(F.xxhash64("id", "version").alias("__key"), F.lit(True).alias("__gone")).dropDuplicates(["__key"])
-    keyed = docs.withColumn("__key", F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col), F.xxhash64(text_col))).otherwise(F.lit(0)))
-    return join_checked(keyed, gone, "__key", "left", F.col("__key")).where("__gone IS NULL").select(*docs.columns)
+    gone = materialize(gone.select(F.col("id").alias("__id"), F.col("version").alias("__version"), F.lit(True).alias("__gone")).dropDuplicates(["__id", "__version"]))
+    keyed = docs.withColumn("__id", F.col(id_col)).withColumn("__version", F.xxhash64(text_col))
+    return join_checked(keyed, gone, ["__id", "__version"], "left", F.col("__version")).where("__gone IS NULL").select(*docs.columns)

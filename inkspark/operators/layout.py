@@ -18,6 +18,8 @@ BOILERPLATE = (
     r"hbsp\.harvard\.edu", "to order copies or request permission", "developed solely as the basis for class discussion",
     "not intended to serve as endorsements",
 )
+# What a page's number and a case's number look like.
+PAGE_LABEL, CASE_NUMBER = r"(?iU)^(page\s*)?[\divxlc]+(\s*(of|/)\s*\d+)?$", r"(?U)^\d-\d{3}-\d{3}"
 _BOX = ("x0", "y0", "x1", "y1")
 
 
@@ -26,15 +28,15 @@ def is_boilerplate(text: Column) -> Column:
 
 
 def is_page_label(text: Column) -> Column:
-    return text.rlike(r"(?iU)^(page\s*)?[\divxlc]+(\s*(of|/)\s*\d+)?$")
+    return text.rlike(PAGE_LABEL)
 
 
 def is_case_number(text: Column) -> Column:
-    return text.rlike(r"(?U)^\d-\d{3}-\d{3}$")
+    return text.rlike(CASE_NUMBER + "$")
 
 
 def starts_with_case_number(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U){T.WS}+", "").rlike(r"(?U)^\d-\d{3}-\d{3}")
+    return F.regexp_replace(text, f"(?U){T.WS}+", "").rlike(CASE_NUMBER)
 
 
 def is_tracked(text: Column) -> Column:
