@@ -14,6 +14,7 @@ connection. Copies are one fingerprint and never paired.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkspark.functions.core import let
+
 from .components import connected_components
 from .shared import SALTS, has_rows, join_checked, join_counted, join_wide, materialize
 
@@ -32,7 +35,9 @@ RUN = 16_384
 #: Runs up to this size are compared many at a time.
 SHORT = 64
 #: Documents of each component that a round of verification settles: in the first one, and at most.
-LEADERS, MOST_LEADERS = 8, 64
+LEADERS, MOST_LEADERS = 8, 1024
+#: Shingles of all leaders of a component in one round; a component's first document counts whatever its length.
+MOST_SHINGLES = 1 << 21
 #: Independent fingerprints of each document where candidates are verified afterwards. One alone parts about half of the
 #: pairs at a similarity of 0.8.
 TABLES = 3
@@ -286,8 +291,8 @@ def verified_duplicates(docs: DataFrame, text_col: str, id_col: str, bits: int,
             for leaders in batch.column(1).to_pylist():
                 stay, gone = [], []
                 for x in leaders:
-                    x["set"] = frozenset(x["grams"])
-                    like = next((y for y in stay if (n := len(x["set"] & y["set"])) >= least * (len(x["set"]) + len(y["set"]) - n)), None)
+                    x["set"], x["head"] = frozenset(x["grams"]), frozenset(x["grams"][: len(x["grams"]) - math.ceil(least * len(x["grams"]) - 1e-9) + 1])
+                    like = next((y for y in stay if not x["head"].isdisjoint(y["head"]) and (n := len(x["set"] & y["set"])) >= least * (len(x["set"]) + len(y["set"]) - n)), None)
                     stay.append(x) if like is None else gone.append({"id": x["id"], "version": x["version"], "keep_id": like["id"]})
                 staying.append([{k: x[k] for k in ("id", "version", "grams")} for x in stay])
                 going.append(gone)
@@ -305,14 +310,17 @@ def verified_duplicates(docs: DataFrame, text_col: str, id_col: str, bits: int,
         for key in (("component_id", "salt"), ("component_id",)):  # so that a large component is not one task's
             order = Window.partitionBy(*key).orderBy("id", "version")
             first = first.withColumn("salt", salt).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leaders)
+        first = first.withColumn("sum", F.sum(F.size("grams")).over(order)).where((F.col("rank") == 1) | (F.col("sum") <= MOST_SHINGLES))
         heads = first.groupBy("component_id", "n").agg(F.sort_array(F.collect_list(F.struct("id", "version", "grams"))).alias("leaders"), F.max(F.struct("id", "version")).alias("last"))
         schema = f"component_id long, n long, staying array<{one}>, going array<struct<id:{kind},version:bigint,keep_id:{kind}>>, last struct<id:{kind},version:bigint>"
         heads = materialize(heads.select("component_id", "leaders", "last", "n").mapInArrow(settle, schema))
         gone = gone.unionByName(heads.select(F.explode("going").alias("g")).select("g.*"))
         met = join_wide(left, heads.drop("going"), "component_id", "n", F.col("version"))
         others = met.where(F.struct("id", "version") > F.col("last"))
-        shared = lambda y: F.size(F.array_intersect("grams", y.grams))
-        like = F.filter("staying", lambda y: shared(y) >= F.lit(least) * (F.size("grams") + F.size(y.grams) - shared(y)))
+        # sets that are as similar share a shingle in these first parts of their sorted lists, so few are intersected
+        head = lambda x: F.slice(x, 1, F.size(x) - F.ceil(F.lit(least) * F.size(x) - 1e-9).cast("int") + 1)
+        enough = lambda y: let(F.size(F.array_intersect("grams", y.grams)), lambda n: n >= F.lit(least) * (F.size("grams") + F.size(y.grams) - n))
+        like = let(head(F.col("grams")), lambda own: F.filter("staying", lambda y: F.arrays_overlap(own, head(y.grams)) & enough(y)))
         judged = materialize(others.select("id", "version", "component_id", "grams", F.get(like, F.lit(0)).id.alias("keep_id")), left, several)
         gone = gone.unionByName(judged.where("keep_id IS NOT NULL").select("id", "version", "keep_id"))
         left, leaders = judged.where("keep_id IS NULL").drop("keep_id"), min(MOST_LEADERS, 2 * leaders)
