@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.functions import text as T
 from inkspark.operators import layout as Y
+from inkspark.operators import patterns as X
 
 from .registry import micros, query, table
+from .text_queries import CHUNKS
 
 _LINES = r"""
     raw AS (SELECT source AS file, doc_id AS page, string_split(text, chr(10)) AS ls FROM documents),
@@ -28,15 +27,158 @@ def line_signature(spark, d):
     return _lines(spark, d).groupBy("file", T.signature(F.col("text")).alias("signature")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""
-    WITH {_LINES}, n AS (SELECT source AS file, greatest(2, round_even(count(*) * 0.05::DOUBLE, 0)) AS least FROM documents GROUP BY 1),
-    seen AS (SELECT file, signature, count(DISTINCT page) AS pages FROM sigs WHERE n = 0 OR n = of - 1 GROUP BY 1, 2)
-    SELECT file, signature, pages FROM seen JOIN n USING (file) WHERE pages >= least""")
+#: DuckDB: documents as pages: 30 lines each, a head and a page number; some lines are smaller, some are notices or spaced out.
+_PAGED = r"""
+    cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    prose AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS n, unnest(ls) AS text FROM cut),
+    kept AS (SELECT doc_id, n, CASE WHEN n % 41 = 7 THEN 'T H E  C A S E ' || (n % 5) WHEN n % 53 = 11 THEN 'Copyright © 2020 Nobody' WHEN n % 59 = 13 THEN '9-111-222 rev' ELSE text END AS text FROM prose),
+    pages AS (SELECT DISTINCT doc_id, n // 30 AS page FROM kept),
+    lines AS (
+        SELECT doc_id, (n // 30)::INT AS page, (n % 30 + 1)::INT AS block, 60.0 + 22 * (n % 30) AS y0, 72.0 + 22 * (n % 30) AS y1, text, CASE WHEN length(text) % 7 = 0 THEN 8.0 ELSE 11.0 END AS size FROM kept
+        UNION ALL SELECT doc_id, page, 0, 40.0, 50.0, 'The Head of ' || doc_id || ', page ' || (page + 1), 11.0 FROM pages
+        UNION ALL SELECT doc_id, page, 31, 760.0, 770.0, CASE WHEN page % 2 = 0 THEN 'Page ' || (page + 1) ELSE 'see page ' || (page + 1) || ' of ' || doc_id END, 11.0 FROM pages),
+    signed AS (SELECT *, lower(trim(regexp_replace(trim(regexp_replace(text, '[\s\p{Z}\x85\x1c-\x1f]+', ' ', 'g')), '\d+', '#', 'g'))) AS signature, y1 <= 79.2 AS top, y0 >= 712.8 AS bottom FROM lines),
+    least AS (SELECT doc_id, greatest(2, round_even(count(*) * 0.3::DOUBLE, 0)) AS least FROM pages GROUP BY 1),
+    running AS (SELECT doc_id, signature, count(DISTINCT page) AS pages FROM signed JOIN least USING (doc_id) WHERE top OR bottom GROUP BY doc_id, signature, least HAVING count(DISTINCT page) >= any_value(least)),
+    sizes AS (SELECT doc_id, size, sum(length(text)) AS w, min(page * 100 + block) AS first FROM signed GROUP BY 1, 2),
+    bodies AS (SELECT doc_id, size AS body FROM sizes QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, first) = 1)"""
+
+
+def _paged(spark, d):
+    """(pages, lines) of the same."""
+    cut = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    n = F.col("n")
+    odd = F.when(n % 41 == 7, F.concat(F.lit("T H E  C A S E "), n % 5)).when(n % 53 == 11, "Copyright © 2020 Nobody").when(n % 59 == 13, "9-111-222 rev").otherwise(F.col("text"))
+    cut = cut.withColumn("text", odd).withColumn("page", F.floor(n / 30).cast("int"))
+    pages = cut.select("doc_id", "page").distinct().select("*", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+
+    def line(df, block, y0, height, text, size):
+        box = [F.lit(72.0).alias("x0"), y0.alias("y0"), F.lit(540.0).alias("x1"), (y0 + height).alias("y1")]
+        return df.select("doc_id", "page", block.cast("int").alias("block"), F.lit(0).alias("line"), *box, text.alias("text"), size.alias("size"))
+
+    number = F.col("page") + 1
+    foot = F.when(F.col("page") % 2 == 0, F.concat(F.lit("Page "), number)).otherwise(F.concat(F.lit("see page "), number, F.lit(" of "), "doc_id"))
+    lines = line(cut, n % 30 + 1, 60.0 + 22 * (n % 30), 12, F.col("text"), F.when(F.length("text") % 7 == 0, 8.0).otherwise(11.0))
+    lines = lines.unionByName(line(pages, F.lit(0), F.lit(40.0), 10, F.concat(F.lit("The Head of "), "doc_id", F.lit(", page "), number), F.lit(11.0)))
+    return pages, lines.unionByName(line(pages, F.lit(31), F.lit(760.0), 10, foot, F.lit(11.0)))
+
+
+@query(f"WITH {_PAGED} SELECT doc_id, signature FROM running")
 def running_heads(spark, d):
-    lines = _lines(spark, d).where("n = 0 OR n = of - 1")
-    least = table(spark, d, "documents").groupBy(F.col("source").alias("file")).agg(F.greatest(F.lit(2), F.bround(F.count(F.lit(1)) * 0.05)).alias("least"))
-    seen = lines.groupBy("file", T.signature(F.col("text")).alias("signature")).agg(F.countDistinct("page").alias("pages"))
-    return seen.join(least, "file").where("pages >= least").select("file", "signature", "pages")
+    """What recurs at the heads and feet of documents' pages."""
+    pages, lines = _paged(spark, d)
+    return Y.running_signatures(lines, pages)
+
+
+@query(rf"""
+    WITH {_PAGED}, w AS (SELECT *, regexp_extract_all(text, '[^\s\p{{Z}}\x85\x1c-\x1f]+') AS ws FROM signed),
+    j AS (SELECT w.*, r.pages IS NOT NULL AS recurs, body FROM w LEFT JOIN running r ON r.doc_id = w.doc_id AND r.signature = w.signature JOIN bodies b ON b.doc_id = w.doc_id)
+    SELECT doc_id, page::BIGINT AS page, block::BIGINT AS block, CASE
+        WHEN regexp_matches(text, '(?i)copyright\s*©|all rights reserved|president and fellows of harvard college|this document is authorized for use only|for the exclusive use of|no part of this publication may be reproduced|harvard business (school|publishing|review)|hbsp\.harvard\.edu|to order copies or request permission|developed solely as the basis for class discussion|not intended to serve as endorsements') THEN 'boilerplate'
+        WHEN recurs THEN CASE WHEN top THEN 'header' ELSE 'footer' END
+        WHEN (top OR bottom) AND (regexp_matches(text, '(?i)^(page\s*)?[\divxlc]+(\s*(of|/)\s*\d+)?$') OR regexp_matches(text, '^\d-\d{{3}}-\d{{3}}$')) THEN CASE WHEN top THEN 'header' ELSE 'footer' END
+        WHEN regexp_matches(regexp_replace(text, '[\s\p{{Z}}\x85\x1c-\x1f]+', '', 'g'), '^\d-\d{{3}}-\d{{3}}') THEN 'header'
+        WHEN len(ws) >= 4 AND len(list_filter(ws, lambda x: regexp_matches(x, '^[\p{{L}}\p{{N}}]$'))) >= 0.6::DOUBLE * len(ws) AND len(list_filter(ws, lambda x: regexp_matches(x, '^\p{{L}}$'))) >= 2 THEN CASE WHEN y0 < 396 THEN 'header' ELSE 'footer' END
+        WHEN size <= body - 0.6 THEN 'footnote' ELSE 'body' END AS kind FROM j""")
+def line_kinds(spark, d):
+    """The kind of each line of documents' pages."""
+    pages, lines = _paged(spark, d)
+    return Y.line_kinds(lines, pages).select("doc_id", F.col("page").cast("long").alias("page"), F.col("block").cast("long").alias("block"), "kind")
+
+
+#: DuckDB: characters of conversations' turns, 5 points wide; some are raised.
+_CHARS = r"""
+    cs AS (SELECT conv_id * 100 + turn AS line, string_split(text, '') AS cs FROM conversations WHERE text IS NOT NULL AND text <> ''),
+    c0 AS (SELECT line, generate_subscripts(cs, 1) - 1 AS ord, unnest(cs) AS c FROM cs),
+    chars AS (SELECT line, ord, c, c <> ' ' AND (ord % 9 = 4 OR ord % 9 = 5 OR (ord % 23 < 6 AND regexp_matches(c, '\d'))) AS sup FROM c0)"""
+
+
+@query(rf"""
+    WITH {_CHARS}, w AS (SELECT *, sum(regexp_matches(c, '^[\s\p{{Z}}\x85\x1c-\x1f]$')::INT) OVER (PARTITION BY line ORDER BY ord) AS word FROM chars),
+    k AS (SELECT * FROM w WHERE NOT regexp_matches(c, '^[\s\p{{Z}}\x85\x1c-\x1f]$')),
+    e AS (SELECT *, CASE WHEN lag(sup) OVER o IS DISTINCT FROM sup THEN 1 ELSE 0 END AS edge, last_value(CASE WHEN NOT sup THEN c END IGNORE NULLS) OVER (PARTITION BY line, word ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM k WINDOW o AS (PARTITION BY line, word ORDER BY ord)),
+    r AS (SELECT *, sum(edge) OVER (PARTITION BY line, word ORDER BY ord) AS run FROM e),
+    g AS (SELECT line, word, run, lower(string_agg(c, '' ORDER BY ord)) AS suffix, arg_min(prev, ord) AS prev FROM r GROUP BY 1, 2, 3),
+    kept AS (SELECT r.* FROM r JOIN g USING (line, word, run) WHERE NOT sup OR (suffix IN ('st', 'nd', 'rd', 'th') AND regexp_matches(coalesce(g.prev, ''), '^\d$')))
+    SELECT line, row_number() OVER (PARTITION BY line ORDER BY word) - 1 AS pos, string_agg(c, '' ORDER BY ord) AS text, min(ord) * 5 AS x0, max(ord) * 5 + 5 AS x1 FROM kept GROUP BY line, word""")
+def words_of_characters(spark, d):
+    """Words of the characters of conversations' turns, without what is raised."""
+    turns = table(spark, d, "conversations").where("text IS NOT NULL AND text <> ''").select((F.col("conv_id") * 100 + F.col("turn")).alias("line"), "text")
+    chars = turns.select("line", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substr("text", i, F.lit(1)))).alias("ord", "c"))
+    at = F.col("ord")
+    sup = (F.col("c") != " ") & ((at % 9 == 4) | (at % 9 == 5) | ((at % 23 < 6) & F.col("c").rlike(r"\d")))
+    chars = chars.select("line", "ord", "c", sup.alias("sup"), (5.0 * at).alias("x0"), F.lit(100.0).alias("y0"), (5.0 * at + 5).alias("x1"), F.lit(110.0).alias("y1"))
+    return Y.words_from_chars(chars, "line").select("line", "pos", "text", F.col("x0").cast("long").alias("x0"), F.col("x1").cast("long").alias("x1"))
+
+
+#: DuckDB: the words of the first of those pages' prose in stream order, where lines are 12 high and follow each other by 18, or 40 before a paragraph.
+_STREAM = r"""
+    cut0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    prose AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS n, unnest(ls) AS text FROM cut0),
+    spaced AS (SELECT *, trim(regexp_replace(text, '[\s\p{Z}\x85\x1c-\x1f]+', ' ', 'g')) AS line FROM prose),
+    streamed AS (SELECT doc_id, n, line, n // 25 AS page, 60.0 + 18 * (n % 25) + 22 * ((n % 25) // 4) AS y0, CASE WHEN n % 25 = 0 THEN 'header' ELSE 'body' END AS kind FROM spaced WHERE line <> '')"""
+
+
+def _streamed(spark, d):
+    cut = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    n = F.col("n")
+    lines = cut.select("doc_id", "n", T.collapse(F.col("text")).alias("line"), F.floor(n / 25).cast("int").alias("page"), (60.0 + 18 * (n % 25) + 22 * F.floor((n % 25) / 4)).alias("y0"), F.when(n % 25 == 0, "header").otherwise("body").alias("kind"))
+    words = lines.where("line <> ''").select("*", F.posexplode(F.split("line", " ")).alias("k", "text"))
+    box = [(72.0 + 40 * F.col("k")).alias("x0"), "y0", (107.0 + 40 * F.col("k")).alias("x1"), (F.col("y0") + 12).alias("y1")]
+    return words.select("doc_id", (F.col("n") * 100_000 + F.col("k")).alias("pos"), "page", F.col("n").alias("block"), F.lit(0).alias("line"), "text", *box, "kind")
+
+
+@query(f"""
+    WITH {_STREAM}, g AS (SELECT doc_id, CASE WHEN lag(page) OVER o = page THEN y0 - lag(y0) OVER o END AS dy FROM streamed WHERE kind = 'body' WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
+    l AS (SELECT doc_id, list_sort(list(dy) FILTER (dy > 1 AND dy <= 26.4)) AS v FROM g GROUP BY 1)
+    SELECT doc_id, floor(CASE WHEN len(v) > 0 THEN v[len(v) // 2 + 1] ELSE 13.8 END * 1e6 + 0.5)::BIGINT AS leading_us FROM l""")
+def document_leading(spark, d):
+    """The usual distance of documents' lines."""
+    lines = Y.stream_lines(_streamed(spark, d).where("kind = 'body'"))
+    return Y.typical_leading(lines).select("doc_id", micros(F.col("leading")).alias("leading_us"))
+
+
+_JOINED = f"""{_STREAM},
+    e AS (SELECT *, CASE WHEN lag(kind) OVER o IS DISTINCT FROM kind THEN 1 ELSE 0 END AS edge FROM streamed WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
+    r AS (SELECT *, sum(edge) OVER (PARTITION BY doc_id ORDER BY n) - 1 AS run FROM e),
+    b AS (SELECT doc_id, CASE WHEN lag(page) OVER o = page THEN y0 - lag(y0) OVER o END AS dy FROM streamed WHERE kind = 'body' WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
+    lead0 AS (SELECT doc_id, list_sort(list(dy) FILTER (dy > 1 AND dy <= 26.4)) AS v FROM b GROUP BY 1),
+    leads AS (SELECT doc_id, CASE WHEN len(v) > 0 THEN v[len(v) // 2 + 1] ELSE 13.8 END AS usual FROM lead0),
+    p AS (SELECT r.*, coalesce(usual, 13.8) AS usual, lag(page) OVER o AS was, lag(line) OVER o AS before, y0 - lag(y0) OVER o AS dy FROM r LEFT JOIN leads USING (doc_id) WINDOW o AS (PARTITION BY r.doc_id, run ORDER BY n)),
+    j AS (SELECT doc_id, run, any_value(kind) AS kind, string_agg(CASE WHEN was IS NULL THEN '' WHEN was <> page THEN CASE WHEN regexp_matches(before, '[.!?:;]$') THEN chr(10) || chr(10) ELSE ' ' END
+        WHEN dy > 1 AND dy <= usual * 1.4 THEN ' ' ELSE chr(10) || chr(10) END || line, '' ORDER BY n) AS text FROM p GROUP BY 1, 2),
+    texts AS (SELECT doc_id * 100000 + run AS doc_id, text FROM j)"""
+
+
+@query(f"""
+    WITH RECURSIVE {_JOINED}, {CHUNKS[CHUNKS.index("parts AS"):]},
+    flat2 AS (SELECT doc_id // 100000 AS doc_id, doc_id % 100000 AS run, generate_subscripts(chunks, 1) AS k, unnest(chunks) AS text FROM merged)
+    SELECT f.doc_id, row_number() OVER (PARTITION BY f.doc_id ORDER BY f.run, k) - 1 AS sent_id, kind, f.text, len(string_split(f.text, ' '))::BIGINT AS boxes FROM flat2 f JOIN j ON j.doc_id = f.doc_id AND j.run = f.run""")
+def document_layout(spark, d):
+    """Sentences, with as many boxes as words, of documents' lines in stream order; each page's first line is a head."""
+    return Y.build_document(_streamed(spark, d)).select("doc_id", "sent_id", "kind", "text", F.size("boxes").cast("long").alias("boxes"))
+
+
+_BOXES = """boxes AS (SELECT l_orderkey AS id, l_linenumber AS k, l_linenumber // 4 AS page, 10.0 * l_linenumber AS x, 100.0 + 6 * (l_quantity % 5) AS y, CASE WHEN l_quantity % 10 = 0 THEN 0.0 ELSE 8.0 END AS w, 10.0 + l_linenumber % 3 AS h FROM lineitem)"""
+
+
+@query(f"""
+    WITH RECURSIVE {_BOXES}, v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, y, x) AS n FROM boxes WHERE w > 0),
+    walk(id, n, band, page, x, y, r, b) AS (
+        SELECT id, n, 0, page, x, y, x + w, y + h FROM v WHERE n = 1
+        UNION ALL
+        SELECT v.id, v.n, CASE WHEN t.page = v.page AND abs(v.y - t.y) <= (t.b - t.y) * 0.6::DOUBLE THEN t.band ELSE t.band + 1 END, v.page,
+               CASE WHEN t.page = v.page AND abs(v.y - t.y) <= (t.b - t.y) * 0.6::DOUBLE THEN least(t.x, v.x) ELSE v.x END, CASE WHEN t.page = v.page AND abs(v.y - t.y) <= (t.b - t.y) * 0.6::DOUBLE THEN least(t.y, v.y) ELSE v.y END,
+               CASE WHEN t.page = v.page AND abs(v.y - t.y) <= (t.b - t.y) * 0.6::DOUBLE THEN greatest(t.r, v.x + v.w) ELSE v.x + v.w END, CASE WHEN t.page = v.page AND abs(v.y - t.y) <= (t.b - t.y) * 0.6::DOUBLE THEN greatest(t.b, v.y + v.h) ELSE v.y + v.h END
+        FROM walk t JOIN v ON v.id = t.id AND v.n = t.n + 1)
+    SELECT id, band::BIGINT AS band, arg_max(page, n)::BIGINT AS page, arg_max(x, n)::BIGINT AS x, arg_max(y, n)::BIGINT AS y, arg_max(r - x, n)::BIGINT AS w, arg_max(b - y, n)::BIGINT AS h FROM walk GROUP BY 1, 2""")
+def order_bands(spark, d):
+    """Boxes of orders' lines to bands."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    one = F.struct(n.alias("k"), (100.0 + 6 * (q % 5)).alias("y"), (10.0 * n).alias("x"), F.floor(n / 4).cast("int").alias("page"), F.when(q % 10 == 0, 0.0).otherwise(8.0).alias("w"), (10.0 + n % 3).alias("h"))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(one)).alias("boxes"))
+    bands = rows.select("id", F.posexplode(Y.line_bands(F.col("boxes"))).alias("band", "b"))
+    return bands.select("id", F.col("band").cast("long").alias("band"), *[F.col(f"b.{c}").cast("long").alias(c) for c in ("page", "x", "y", "w", "h")])
 
 
 @query("""
@@ -195,17 +337,8 @@ def item_boxes(spark, d):
     return rows.select("id", box.x.cast("long").alias("x"), thousandths(box.y).alias("y_thousandths"), thousandths(box["size"]).alias("size_thousandths"), thousandths(Y.place(box.x, box.y, box.w, box.h, F.lit(612.0), F.lit(792.0)).left).alias("left_thousandths"))
 
 
-#: Patterns broadcast at once.
-PATTERNS = 10_000
-
-
-@query("""
-    SELECT d.doc_id, b.item_id FROM documents d JOIN (SELECT item_id, substr(text, 1, 40) AS p FROM benchmark) b ON contains(d.text, b.p)""")
+@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def pattern_hits(spark, d):
-    """Documents that hold a whole benchmark item: a theta join. Patterns beyond PATTERNS go in blocks of about so many, each compared with all documents."""
-    patterns = table(spark, d, "benchmark").select("item_id", F.col("text").alias("p"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    blocks = max(1, -(-patterns.count() // PATTERNS))
-    parts = [patterns.where(F.pmod(F.xxhash64("item_id", "p"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [patterns]
-    hits = [docs.join(F.broadcast(part), F.contains("text", "p")).select("doc_id", "item_id") for part in parts]
-    return functools.reduce(DataFrame.unionAll, hits)
+    """Documents that hold a whole benchmark item."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("p"))
+    return X.hits(table(spark, d, "documents").select("doc_id", "text"), items, "doc_id", "item_id")

@@ -2,14 +2,16 @@
 
 import pytest
 
+from inkspark.operators import patterns as X
 from inkspark.plans import layout_queries as L
 
 
 @pytest.mark.parametrize("at_once", [10_000, 3])
 def test_whole_items_in_blocks(spark, tmp_path, monkeypatch, at_once):
-    monkeypatch.setattr(L, "PATTERNS", at_once, raising=False)
+    monkeypatch.setattr(X, "PATTERNS", at_once)
     items = {i: f"item {i:02d} begins with these forty characters, and ends with {i}." for i in range(12)}
-    docs = {0: f"a {items[3]} b {items[11]}", 1: items[5][:-4], 2: "none", 3: items[0]}
+    docs = {0: f"a {items[3]} b {items[11]}", 1: items[5][:-4], 2: "none", 3: items[0], 4: f"glued{items[7]}too", 5: "a short onego", 6: None}
+    items[20] = "short one"
     spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert sorted(tuple(r) for r in L.pattern_hits(spark, str(tmp_path)).collect()) == [(0, 3), (0, 11), (3, 0)]
+    assert sorted(tuple(r) for r in L.pattern_hits(spark, str(tmp_path)).collect()) == [(0, 3), (0, 11), (3, 0), (4, 7), (5, 20)]
