@@ -74,10 +74,19 @@ def body_size(lines: DataFrame) -> DataFrame:
     return weighted_mode(lines, "doc_id", F.bround(F.col("size") * 2) / 2, F.length("text"), "page", "block", "line")
 
 
-def upper_median(values: Column) -> Column:
-    """The middle value; of an even number the upper one."""
-    s = F.array_sort(F.collect_list(values))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+def upper_median(name: str) -> Column:
+    """The middle value of a column of numbers; of an even number the upper one. Values are counted, not gathered."""
+    return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -`{name}`)")
+
+
+def lines_from_chars(chars: DataFrame, *key: str) -> DataFrame:
+    """Lines of characters (key, ord, c, size, sup, x0, y0, x1, y1), such as a glyph table has them: text, the largest size that is
+    not raised (of all, if everything is), weight (the text's length) and the hull. Blank lines go."""
+    size = F.coalesce(F.max(F.when(~F.col("sup"), F.col("size"))), F.max("size"))
+    hull = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "c"))), lambda x: x.c), "")
+    lines = chars.groupBy(*key).agg(text.alias("text"), size.alias("size"), *hull).withColumn("weight", F.length("text"))
+    return lines.where(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"))
 
 
 def line_kinds(lines: DataFrame, pages: DataFrame) -> DataFrame:
@@ -146,10 +155,10 @@ def typical_leading(lines: DataFrame) -> DataFrame:
     such, 1.15 times the median height and 1 at least."""
     by = Window.partitionBy("doc_id").orderBy("line_no")
     gaps = lines.withColumn("dy", F.when(F.lag("page").over(by) == F.col("page"), F.col("y0") - F.lag("y0").over(by)))
-    height = lines.groupBy("doc_id").agg(upper_median(F.col("y1") - F.col("y0")).alias("height"))
+    height = lines.withColumn("__height", F.col("y1") - F.col("y0")).groupBy("doc_id").agg(upper_median("__height").alias("height"))
     both = gaps.join(height, "doc_id")
     fits = F.when((F.col("dy") > 1) & (F.col("dy") <= F.col("height") * 2.2), F.col("dy"))
-    return both.groupBy("doc_id").agg(F.coalesce(upper_median(fits), F.greatest(F.max("height") * 1.15, F.lit(1.0))).alias("leading"))
+    return both.withColumn("__fits", fits).groupBy("doc_id").agg(F.coalesce(upper_median("__fits"), F.greatest(F.max("height") * 1.15, F.lit(1.0))).alias("leading"))
 
 
 def joined_text(lines: DataFrame, leading: Column) -> DataFrame:

@@ -103,12 +103,24 @@ _CHARS = r"""
     SELECT line, row_number() OVER (PARTITION BY line ORDER BY word) - 1 AS pos, string_agg(c, '' ORDER BY ord) AS text, min(ord) * 5 AS x0, max(ord) * 5 + 5 AS x1 FROM kept GROUP BY line, word""")
 def words_of_characters(spark, d):
     """Words of the characters of conversations' turns, without what is raised."""
+    return Y.words_from_chars(_chars_of_turns(spark, d), "line").select("line", "pos", "text", F.col("x0").cast("long").alias("x0"), F.col("x1").cast("long").alias("x1"))
+
+
+def _chars_of_turns(spark, d):
     turns = table(spark, d, "conversations").where("text IS NOT NULL AND text <> ''").select((F.col("conv_id") * 100 + F.col("turn")).alias("line"), "text")
     chars = turns.select("line", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substr("text", i, F.lit(1)))).alias("ord", "c"))
     at = F.col("ord")
     sup = (F.col("c") != " ") & ((at % 9 == 4) | (at % 9 == 5) | ((at % 23 < 6) & F.col("c").rlike(r"\d")))
-    chars = chars.select("line", "ord", "c", sup.alias("sup"), (5.0 * at).alias("x0"), F.lit(100.0).alias("y0"), (5.0 * at + 5).alias("x1"), F.lit(110.0).alias("y1"))
-    return Y.words_from_chars(chars, "line").select("line", "pos", "text", F.col("x0").cast("long").alias("x0"), F.col("x1").cast("long").alias("x1"))
+    return chars.select("line", "ord", "c", sup.alias("sup"), (5.0 * at).alias("x0"), F.lit(100.0).alias("y0"), (5.0 * at + 5).alias("x1"), F.lit(110.0).alias("y1"))
+
+
+@query(f"""
+    WITH {_CHARS} SELECT line, string_agg(c, '' ORDER BY ord) AS text, coalesce(max(8 + ord % 4) FILTER (NOT sup), max(8 + ord % 4))::BIGINT AS size, count(*)::BIGINT AS weight, min(ord) * 5 AS x0, max(ord) * 5 + 5 AS x1
+    FROM chars GROUP BY 1 HAVING bool_or(NOT regexp_matches(c, '^[\\s\\p{{Z}}\\x85\\x1c-\\x1f]$'))""")
+def lines_of_characters(spark, d):
+    """Lines of a table of glyphs, made of conversations' turns."""
+    lines = Y.lines_from_chars(_chars_of_turns(spark, d).withColumn("size", 8.0 + F.col("ord") % 4), "line")
+    return lines.select("line", "text", F.col("size").cast("long").alias("size"), F.col("weight").cast("long").alias("weight"), F.col("x0").cast("long").alias("x0"), F.col("x1").cast("long").alias("x1"))
 
 
 #: DuckDB: the words of the first of those pages' prose in stream order, where lines are 12 high and follow each other by 18, or 40 before a paragraph.
@@ -192,7 +204,7 @@ def weighted_mode(spark, d):
 
 @query("SELECT l_orderkey AS k, (list_sort(list(l_quantity)))[len(list(l_quantity)) // 2 + 1]::BIGINT AS median FROM lineitem GROUP BY 1")
 def upper_median(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(Y.upper_median(F.col("l_quantity")).cast("long").alias("median"))
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(Y.upper_median("l_quantity").cast("long").alias("median"))
 
 
 @query("""

@@ -12,30 +12,22 @@ from inkspark.operators import packing as P
 from .registry import micros, query, table
 from .text_queries import CHUNKS
 
-#: DuckDB: the words of documents' first 200 characters with their weights.
+#: DuckDB: the words of documents with their weights.
 _WEIGHTS = r"""
-    w0 AS (SELECT doc_id, string_split(trim(regexp_replace(substr(text, 1, 200), '\s+', ' ', 'g')), ' ') AS ws FROM documents),
+    w0 AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS ws FROM documents),
     w AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS idx, unnest(ws) AS word FROM w0),
     weights AS (SELECT doc_id, idx, word, (2 + length(regexp_replace(word, '[^\p{L}\p{N}]', '', 'g')) + 3 * (length(word) - length(replace(word, ',', '')))
         + 4 * (length(word) - length(translate(word, ';:—', ''))) + 6 * (length(word) - length(translate(word, '.!?', ''))))::BIGINT AS weight FROM w),
     times AS (SELECT doc_id, idx, word, weight, sum(weight) OVER (PARTITION BY doc_id ORDER BY idx) AS upto, sum(weight) OVER (PARTITION BY doc_id) AS total FROM weights)"""
 
 
-#: The same of whole texts.
-_WHOLE = _WEIGHTS.replace("substr(text, 1, 200)", "text")
-
-
 def _words(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.words(T.collapse(F.substring("text", 1, 200))).alias("words"))
-
-
-def _whole_words(spark, d):
     return table(spark, d, "documents").select("doc_id", T.words(T.collapse(F.col("text"))).alias("words"))
 
 
 def _whole_times(spark, d):
     """(doc_id, idx, start, end) of the words of whole texts, 10 seconds each."""
-    weights = _whole_words(spark, d).select("doc_id", F.transform("words", M.word_weight).alias("weights"))
+    weights = _words(spark, d).select("doc_id", F.transform("words", M.word_weight).alias("weights"))
     return M.exploded_timings(weights, "doc_id", F.lit(10.0))
 
 
@@ -66,32 +58,32 @@ def word_timings(spark, d):
     FROM asked a JOIN times USING (doc_id) WHERE times.word <> '' GROUP BY a.doc_id, t""")
 def word_at_time(spark, d):
     words = _words(spark, d).select(F.col("doc_id").alias("clip"), F.posexplode(M.word_timings(F.col("words"), F.lit(10.0))).alias("idx", "t")).select("clip", "idx", F.col("t.start").alias("start"))
-    times = words.where("idx = 0").select("clip", F.explode(F.array(*map(F.lit, [-1.0, 0.0, 2.5, 4.123, 9.99, 30.0]))).alias("t"))
+    times = _words(spark, d).where(F.size("words") > 0).select(F.col("doc_id").alias("clip"), F.explode(F.array(*map(F.lit, [-1.0, 0.0, 2.5, 4.123, 9.99, 30.0]))).alias("t"))
     return N.word_at(times, words).select(F.col("clip").alias("doc_id"), F.floor(F.col("t") * 1000 + 0.5).cast("long").alias("t_ms"), "word")
 
 
-@query(f"WITH {_WHOLE} SELECT doc_id, idx, word, weight FROM weights WHERE word <> ''")
+@query(f"WITH {_WEIGHTS} SELECT doc_id, idx, word, weight FROM weights WHERE word <> ''")
 def word_weights_whole(spark, d):
-    """word_weights of every word; that query's SQL reads 200 characters."""
-    rows = _whole_words(spark, d).select("doc_id", F.posexplode("words").alias("idx", "word"))
+    """word_weights under its former name."""
+    rows = _words(spark, d).select("doc_id", F.posexplode("words").alias("idx", "word"))
     return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "word", M.word_weight(F.col("word")).alias("weight"))
 
 
-@query(f"""WITH {_WHOLE} SELECT doc_id, idx, floor(10.0::DOUBLE * (upto - weight) / total * 1000 + 0.5)::BIGINT AS start_ms, floor(10.0::DOUBLE * upto / total * 1000 + 0.5)::BIGINT AS end_ms
+@query(f"""WITH {_WEIGHTS} SELECT doc_id, idx, floor(10.0::DOUBLE * (upto - weight) / total * 1000 + 0.5)::BIGINT AS start_ms, floor(10.0::DOUBLE * upto / total * 1000 + 0.5)::BIGINT AS end_ms
     FROM times WHERE word <> ''""")
 def word_timings_whole(spark, d):
-    """word_timings of every word."""
+    """word_timings by prefix sums of exploded words."""
     ms = lambda c: F.floor(c * 1000 + 0.5).cast("long")
     return _whole_times(spark, d).select("doc_id", "idx", ms(F.col("start")).alias("start_ms"), ms(F.col("end")).alias("end_ms"))
 
 
-@query(f"""WITH {_WHOLE}, asked AS (SELECT doc_id, unnest([-1.0, 0.0, 2.5, 4.123, 9.99, 30.0])::DOUBLE AS t FROM documents)
+@query(f"""WITH {_WEIGHTS}, asked AS (SELECT doc_id, unnest([-1.0, 0.0, 2.5, 4.123, 9.99, 30.0])::DOUBLE AS t FROM documents)
     SELECT a.doc_id, floor(t * 1000 + 0.5)::BIGINT AS t_ms, coalesce(max(idx) FILTER (10.0::DOUBLE * (upto - weight) / total <= t), 0)::BIGINT AS word
     FROM asked a JOIN times USING (doc_id) WHERE times.word <> '' GROUP BY a.doc_id, t""")
 def word_at_time_whole(spark, d):
-    """word_at_time over every word."""
+    """word_at_time over those."""
     words = _whole_times(spark, d).select(F.col("doc_id").alias("clip"), "idx", "start")
-    clips = _whole_words(spark, d).where(F.size("words") > 0).select(F.col("doc_id").alias("clip"))
+    clips = _words(spark, d).where(F.size("words") > 0).select(F.col("doc_id").alias("clip"))
     times = clips.select("clip", F.explode(F.array(*map(F.lit, [-1.0, 0.0, 2.5, 4.123, 9.99, 30.0]))).alias("t"))
     return N.word_at(times, words).select(F.col("clip").alias("doc_id"), F.floor(F.col("t") * 1000 + 0.5).cast("long").alias("t_ms"), "word")
 
@@ -239,17 +231,17 @@ def plan_ahead(spark, d):
 
 
 @query("""
-    WITH RECURSIVE links AS (SELECT user_id AS who, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, value AS duration FROM events QUALIFY pos <= 12),
-    edges AS (SELECT who, pos, duration, CASE WHEN pos = 7 THEN 3 ELSE pos + 1 END AS next FROM links),
-    walk(who, seen, duration, next) AS (
-        SELECT who, [pos], duration, next FROM edges WHERE pos = 2
-        UNION ALL SELECT w.who, list_append(w.seen, e.pos), e.duration, e.next FROM walk w JOIN edges e ON e.who = w.who AND e.pos = w.next WHERE NOT list_contains(w.seen, e.pos))
-    SELECT who, floor(sum(duration) / 1.5::DOUBLE * 1e6 + 0.5)::BIGINT AS banked_us FROM walk GROUP BY 1""")
+    WITH links AS (SELECT user_id AS who, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n, value AS duration FROM events)
+    SELECT who, floor(sum(duration) FILTER (pos >= 2 OR n < 4) / 1.5::DOUBLE * 1e6 + 0.5)::BIGINT AS banked_us FROM links GROUP BY who HAVING max(pos) >= 2""")
 def banked_seconds(spark, d):
+    """All of a user's events in a chain, from the second on; the last one leads back to the middle, where the chain ends, or
+    with fewer than four to the first, which then counts as well."""
     from pyspark.sql import Window
 
-    e = table(spark, d, "events").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("pos <= 12")
-    links = e.select(F.col("user_id").alias("who"), "pos", F.col("value").alias("duration"), F.when(F.col("pos") == 7, 3).otherwise(F.col("pos") + 1).alias("next"))
+    user = Window.partitionBy("user_id")
+    e = table(spark, d, "events").withColumn("pos", F.row_number().over(user.orderBy("ts", "event_id")).cast("long")).withColumn("n", F.count(F.lit(1)).over(user))
+    back = F.when(F.col("pos") < F.col("n"), F.col("pos") + 1).otherwise(F.floor(F.col("n") / 2))
+    links = e.select(F.col("user_id").alias("who"), "pos", F.col("value").alias("duration"), back.alias("next"))
     starts = links.where("pos = 2").select("who", F.col("pos").alias("at"))
     return P.banked(links, starts, 1.5).select("who", micros(F.col("banked")).alias("banked_us"))
 

@@ -62,15 +62,14 @@ def sentences(spark, d):
 
 @query(f"""
     WITH {_SENTENCES},
-    short AS (SELECT doc_id, sent_id, text FROM sentences WHERE length(text) <= 480),
-    items AS (SELECT doc_id, list({{'done': []::VARCHAR[], 'cur': text}} ORDER BY sent_id) AS l FROM short GROUP BY 1),
+    items AS (SELECT doc_id, list({{'done': []::VARCHAR[], 'cur': text}} ORDER BY sent_id) AS l FROM sentences GROUP BY 1),
     folded AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN (length(x.cur) < 40 OR length(a.cur) < 40) AND length(a.cur) + 1 + length(x.cur) <= 480
         THEN {{'done': a.done, 'cur': a.cur || ' ' || x.cur}} ELSE {{'done': list_append(a.done, a.cur), 'cur': x.cur}} END) AS f FROM items),
     merged AS (SELECT doc_id, list_append(f.done, f.cur) AS chunks FROM folded)
     SELECT doc_id, generate_subscripts(chunks, 1) - 1 AS chunk_id, unnest(chunks) AS text FROM merged""")
 def merged_sentences(spark, d):
-    """Sentences that need no cut, joined where short."""
-    merged = T.merge_short(F.filter(T.sentences(F.col("text")), lambda s: F.length(s) <= T.MAX_CHARS))
+    """Sentences as they are, joined where short."""
+    merged = T.merge_short(T.sentences(F.col("text")))
     return _texts(spark, d).select("doc_id", F.posexplode(merged).alias("chunk_id", "text")).withColumn("chunk_id", F.col("chunk_id").cast("long"))
 
 
