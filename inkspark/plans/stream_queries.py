@@ -20,8 +20,18 @@ def _name(base: str) -> str:
     b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM g)
     SELECT user_id, arg_max(event_id, (ts, event_id)) AS value, count(*) AS updates FROM b GROUP BY user_id, burst""")
 def stream_debounced_position(spark, d):
-    stream = I.debounced(I.events(spark, d), "user_id", "event_id", "6 hours", "1 hour")
-    return I.run_to_end(stream, "complete", _name("debounced")).select("user_id", "value", "updates")
+    events, folder = I.with_ending(I.events(spark, d))
+    stream = I.debounced(events, "user_id", "event_id", "6 hours", "1 hour")
+    return I.run_to_end(stream, "append", _name("debounced"), ending=(events.schema, folder)).where("user_id IS NOT NULL").select("user_id", "value", "updates")
+
+
+@query("SELECT user_id, strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS tick, count(*) AS n FROM events GROUP BY ALL")
+def stream_throttled(spark, d):
+    """One refill of a user every 6 hours at most."""
+    events, folder = I.with_ending(I.events(spark, d))
+    stream = I.throttled(events, "user_id", "6 hours", "1 hour")
+    rows = I.run_to_end(stream, "append", _name("throttled"), ending=(events.schema, folder)).where("user_id IS NOT NULL")
+    return rows.withColumn("tick", F.date_format("tick", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("SELECT DISTINCT user_id FROM events")
@@ -37,5 +47,6 @@ def stream_dedup(spark, d):
 def stream_progress(spark, d):
     loaded = F.floor(F.col("value") * 10)
     files = I.events(spark, d).select(F.col("user_id").alias("q"), F.col("event_type").alias("file"), F.col("event_id").alias("seq"), "ts", loaded.alias("loaded"), (loaded + F.col("user_id") % 50).alias("total"))
-    last = I.run_to_end(I.file_progress(files, "q"), "complete", _name("progress"))
+    updates = I.run_to_end(I.file_progress(files, "q"), "update", _name("progress"))
+    last = updates.groupBy("q", "file").agg(F.max_by("x", "batch").alias("x"))
     return last.groupBy("q").agg(micros(F.least(F.lit(0.99), F.sum("x.loaded") / F.sum("x.total"))).alias("progress_us"))

@@ -1,6 +1,7 @@
 """Streaming queries leave their rows in files, not on the driver."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkspark.plans import stream_queries as S
 from inkspark.streaming import incremental as I
@@ -11,14 +12,27 @@ def test_rows_are_read_from_files(spark, query):
     assert query(spark, "/root/testdata/sf0.001").inputFiles()
 
 
-@pytest.mark.parametrize("mode", ["complete", "append"])
+@pytest.mark.parametrize("mode", ["complete", "append", "update"])
 def test_several_batches(spark, tmp_path, mode):
     folder = str(tmp_path / "in")
     for i in range(3):
         spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(folder)
-    if mode == "complete":
+    if mode == "update":
+        rows = I.run_to_end(stream.groupBy((stream.id % 7).alias("k")).count(), mode, "several_update").groupBy("k").agg(F.max_by("count", "batch").alias("n"))
+        assert sorted(tuple(r) for r in rows.collect()) == [(k, len(range(k, 30, 7))) for k in range(7)]
+    elif mode == "complete":
         rows = I.run_to_end(stream.groupBy((stream.id % 7).alias("k")).count(), mode, "several_complete").collect()
         assert sorted(tuple(r) for r in rows) == [(k, len(range(k, 30, 7))) for k in range(7)]
     else:
         assert sorted(r.id for r in I.run_to_end(stream, mode, "several_append").collect()) == list(range(30))
+
+
+def test_windows_over_several_batches_close_at_the_end(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).selectExpr("id AS event_id", "id % 2 AS user_id", "timestamp_seconds(id * 3600) AS ts").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("event_id long, user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+    events, end = I.with_ending(stream)
+    rows = I.run_to_end(I.throttled(events, "user_id", "6 hours", "24 hours"), "append", "closing", ending=(events.schema, end)).where("user_id IS NOT NULL").collect()
+    assert sorted((r.user_id, r.n) for r in rows) == sorted((u, 3) for u in (0, 1) for _ in range(5))
