@@ -205,7 +205,28 @@ def test_pipeline(spark, documents):
     assert ids(distinct) == set(groups.values())
     texts = {r.doc_id: set(shingle_set(r.text, 5).tolist()) for r in distinct.collect()}
     left = ids(unlike)
+    near = [(i, j) for i in texts for j in texts if i < j and min(len(texts[i]), len(texts[j])) >= 0.8 * max(len(texts[i]), len(texts[j]), 1) and len(texts[i] & texts[j]) >= 0.8 * len(texts[i] | texts[j])]
+    assert sum(i not in left or j not in left for i, j in near) >= 0.8 * len(near)  # 64-bit fingerprints part some pairs at 0.8
     for i in set(texts) - left:
         assert any(len(texts[i] & texts[j]) >= 0.8 * len(texts[i] | texts[j]) for j in left if j < i)
     assert ids(mixed) == left and ids(encoded) == left and mixed.count() == encoded.count() <= 1.6 * len(left)
     assert encoded.where(F.octet_length("ids") != 4 * F.col("n_tokens")).count() == 0
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_pipeline_on_odd_tables(spark, edge, tmp_path, labelled):
+    """Null and repeated ids, empty, null and very long texts, clashing columns; with labels, and with none, where nothing is rejected."""
+    edge.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, i % 2) for i in range(1, 12)] if labelled else []
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {"doc_id", "n_tokens", "ids"} <= set(rows[0].asDict()) if rows else labelled
+    if not labelled:
+        texts = {t or "" for _, t, *_ in EDGE}
+        assert {r.doc_id for r in rows} == {max((i for i, t, *_ in EDGE if (t or "") == x and i is not None), default=None) for x in texts}
+
+
+def test_pipeline_on_empty_tables(spark, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -88,6 +88,15 @@ def test_drop_near_duplicates_is_verified(spark, edge, empty):
     left = {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
     assert left >= set(range(30)) | set(range(200, 230))
     assert len(left & set(range(100, 130))) <= 3
+    # pairs just above the threshold: two changed words of 100 leave a similarity of 0.81 or so
+    pairs = [(i, " ".join(f"v{x}" for x in rng.integers(0, 5000, 100))) for i in range(60)]
+    pairs += [(100 + i, " ".join("new" if k in (30, 70) else w for k, w in enumerate(t.split()))) for i, t in pairs]
+    left = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert left >= set(range(60)) and len(left) <= 60 + 0.3 * 60
+    # one text held by a third of the rows under many ids, and rows that are equal in every column
+    hot = [(i, base[0]) for i in range(400)] + [(7, base[0])] * 5 + [(1000 + i, base[1 + i % 20]) for i in range(40)]
+    left = sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(hot, "doc_id long, text string")).collect())
+    assert left == [0, *range(1000, 1020)]
     kept = simhash.drop_near_duplicates(edge)
     assert kept.columns == edge.columns and kept.where("doc_id IS NULL").count() == 1
     assert simhash.drop_near_duplicates(empty).count() == 0

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkspark.llm import exact_dedup, mixing, sharding
 
@@ -118,6 +119,9 @@ def test_shards(spark, edge, empty):
 
 
 def test_write_shards(edge, spark, tmp_path):
-    sharding.write_shards(edge, f"{tmp_path}/s", 3, files=2)
+    clash = edge.withColumn("Shard", F.lit("mine"))
+    assert sharding.write_shards(clash, f"{tmp_path}/c", 3) == "shard_"
+    assert spark.read.parquet(f"{tmp_path}/c").where("Shard = 'mine' AND shard_ BETWEEN 0 AND 2").count() == len(EDGE)
+    assert sharding.write_shards(edge, f"{tmp_path}/s", 3, files=2) == "shard"
     back = spark.read.parquet(f"{tmp_path}/s")
     assert back.count() == len(EDGE) and set(edge.columns) <= set(back.columns)
