@@ -12,7 +12,8 @@ from inkspark.llm.shared import materialize
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects (score under 0.7) go."""
+    """Documents that the quality classifier rejects (score under 0.7) go. Where there is no label at all, nothing can be
+    told and every document stays; where all labels are alike, all documents share their fate."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.fit(docs, labels), 0.7)
 
@@ -24,7 +25,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies the document with the smallest doc_id stays: fingerprints within 7 bits, verified by a
-    Jaccard similarity of 0.8 or more on five-word shingles."""
+    Jaccard similarity of 0.8 or more on five-word shingles. Rows without a doc_id stay."""
     return simhash.drop_near_duplicates(docs)
 
 
@@ -51,10 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
+    """The rows of the last stage. A stage's input is dropped once its output is written; empty tables give no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
