@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspark.functions import text as T
+from inkspark.functions.core import let, running
 
 TOP, BOTTOM = 0.10, 0.90
 # Wording of publishers' notices.
@@ -177,16 +178,19 @@ def joined_text(lines: DataFrame, leading: Column) -> DataFrame:
 def aligned(tokens: Column, words: Column) -> Column:
     """For each token the index of its source word, or -1 past the end: the word at the cursor if equal, else the first of
     the next 8 that begins with the token or with which it begins, else the one at the cursor."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("found"))
 
-    def add(acc: Column, token: Column) -> Column:
-        at = acc["at"]
-        near = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.when(F.startswith(token, F.get(words, at + k)) | F.startswith(F.get(words, at + k), token), at + k))
-        probe = F.get(F.filter(near, lambda k: k.isNotNull()), F.lit(0))
-        found = F.when(at >= F.size(words), -1).when(F.get(words, at) == token, at).otherwise(F.coalesce(probe, at))
-        return F.struct(F.when(found < 0, at).otherwise(found + 1).alias("at"), F.array_append(acc["out"], found).alias("out"))
+    def of(ws: Column) -> Column:
+        def add(acc: Column, token: Column) -> Column:
+            at = acc["at"]
+            near = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.when(F.startswith(token, F.get(ws, at + k)) | F.startswith(F.get(ws, at + k), token), at + k))
+            probe = F.get(F.filter(near, lambda k: k.isNotNull()), F.lit(0))
+            found = F.when(at >= F.size(ws), -1).when(F.get(ws, at) == token, at).otherwise(F.coalesce(probe, at))
+            return let(found, lambda f: F.struct(F.when(f < 0, at).otherwise(f + 1).alias("at"), f.alias("found")))
 
-    return F.aggregate(tokens, start, add, lambda acc: acc["out"])
+        return running(tokens, start, add, lambda acc: acc["found"], "int")
+
+    return let(words, of)
 
 
 def build_document(words: DataFrame) -> DataFrame:
@@ -203,11 +207,10 @@ def build_document(words: DataFrame) -> DataFrame:
     tokens = F.transform("chunks", T.words)
     flat = cut.withColumn("tokens", tokens).withColumn("at", aligned(F.flatten("tokens"), F.transform("src", lambda s: s.text)))
     zero = F.struct(F.get("src", F.lit(0)).box.page.alias("page"), *[F.lit(0.0).alias(c) for c in _BOX])
-    boxes = F.transform("at", lambda i: F.coalesce(F.get(F.transform("src", lambda s: s.box), i), zero))
-    flat = flat.withColumn("boxes", boxes)
-    starts = F.transform("chunks", lambda _, i: F.aggregate(F.slice("tokens", 1, i), F.lit(0), lambda s, t: s + F.size(t)))
-    rows = flat.select("doc_id", "run", "kind", F.posexplode(F.arrays_zip(F.col("chunks").alias("text"), F.col("tokens").alias("words"), starts.alias("start"))).alias("n", "c"), "boxes")
-    rows = rows.select("doc_id", "run", "n", "kind", F.col("c.text").alias("text"), F.slice("boxes", F.col("c.start") + 1, F.size("c.words")).alias("boxes"))
+    boxes = let(F.transform("src", lambda s: s.box), lambda bs: F.transform("at", lambda i: F.coalesce(F.get(bs, i), zero)))
+    ends = running(F.transform("tokens", F.size), F.lit(0), lambda s, n: s + n, lambda s: s, "int")
+    parts = let(boxes, lambda bs: F.zip_with(F.arrays_zip(F.col("chunks").alias("text"), F.transform("tokens", F.size).alias("n")), ends, lambda c, end: F.struct(c.text.alias("text"), F.slice(bs, end - c.n + 1, c.n).alias("boxes"))))
+    rows = flat.select("doc_id", "run", "kind", F.posexplode(parts).alias("n", "c")).select("doc_id", "run", "n", "kind", "c.text", "c.boxes")
     order = Window.partitionBy("doc_id").orderBy("run", "n")
     return rows.withColumn("sent_id", (F.row_number().over(order) - 1).cast("long")).select("doc_id", "sent_id", "kind", "text", "boxes")
 

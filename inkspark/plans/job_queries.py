@@ -51,10 +51,11 @@ def contiguous_prefix(spark, d):
 
 @query(f"""
     WITH {_JOBS}, l AS (SELECT q, list(value ORDER BY seq) AS v FROM jobs GROUP BY 1)
-    SELECT q, floor(list_reduce(v, lambda a, x: a + 0.4::DOUBLE * (x - a)) * 1e6 + 0.5)::BIGINT AS ratio_us, floor(list_reduce(list_prepend(14.0::DOUBLE, v), lambda a, x: CASE WHEN x < a THEN x ELSE a + 0.05::DOUBLE * (x - a) END) * 1e6 + 0.5)::BIGINT AS rate_us FROM l""")
+    SELECT q, floor(list_reduce(v, lambda a, x: a + 0.4::DOUBLE * (x - a)) * 1e6 + 0.5001)::BIGINT AS ratio_us, floor(list_reduce(list_prepend(14.0::DOUBLE, v), lambda a, x: CASE WHEN x < a THEN x ELSE a + 0.05::DOUBLE * (x - a) END) * 1e6 + 0.5001)::BIGINT AS rate_us FROM l""")
 def smoothed_estimates(spark, d):
     done = J.folded(_jobs(spark, d), "q", "seq", ratio=J.smoothed(F.col("value")), rate=J.guessed_low(F.col("value"), 14.0))
-    return done.select("q", micros(F.col("ratio")).alias("ratio_us"), micros(F.col("rate")).alias("rate_us"))
+    near = lambda c: F.floor(F.col(c) * 1e6 + 0.5001).cast("long")  # noqa: E731  values of two decimals end in ties, which the order of steps must not decide
+    return done.select("q", near("ratio").alias("ratio_us"), near("rate").alias("rate_us"))
 
 
 @query(f"""
