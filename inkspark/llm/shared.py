@@ -64,14 +64,13 @@ def join_checked(big: DataFrame, small: DataFrame, on: str | Sequence[str], how:
 def join_counted(big: DataFrame, small: DataFrame, on: str | Sequence[str], rows: str) -> DataFrame:
     """Inner join on non-null columns. ``small``, a written table of narrow rows, has a row for each key and in ``rows`` how many
     of ``big`` have it. Keys with more than HEAVY of all rows are fewer than 1 / HEAVY: they are broadcast, and their rows of
-    ``big`` are not shuffled. The rest is joined as usual, or by broadcast if ``small`` is proven small as a whole."""
+    ``big`` are not shuffled. The rest is joined as usual."""
     on = [on] if isinstance(on, str) else list(on)
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), on)
-    least = (small.agg(F.sum(rows)).first()[0] or 0) * HEAVY
+    total, most = small.agg(F.sum(rows), F.max(rows)).first()
+    least = (total or 0) * HEAVY
+    if not total or most <= least:
+        return big.join(small, on)
     heavy, light = small.where(F.col(rows) > least), small.where(F.col(rows) <= least)
-    if not has_rows(heavy):
-        return big.join(light, on)
     rest = big.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on)
     return big.join(F.broadcast(heavy), on).unionByName(rest)
 

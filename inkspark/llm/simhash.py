@@ -307,10 +307,14 @@ def verified_duplicates(docs: DataFrame, text_col: str, id_col: str, bits: int,
     one = f"struct<id:{kind},version:bigint,grams:array<bigint>>"
     while has_rows(several := materialize(left.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))):
         first = join_counted(left, several, "component_id", "n")
-        for key in (("component_id", "salt"), ("component_id",)):  # so that a large component is not one task's
-            order = Window.partitionBy(*key).orderBy("id", "version")
-            first = first.withColumn("salt", salt).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leaders)
-        first = first.withColumn("sum", F.sum(F.size("grams")).over(order)).where((F.col("rank") == 1) | (F.col("sum") <= MOST_SHINGLES))
+        # Of a component's first documents each salt gives a few. They are all there up to the first one that a salt did not give
+        each = 2 * leaders // SALTS + 2
+        of_salt, whole = Window.partitionBy("component_id", "salt").orderBy("id", "version"), Window.partitionBy("component_id")
+        first = first.withColumn("salt", salt).withColumn("turn", F.row_number().over(of_salt)).where(F.col("turn") <= each)
+        first = first.withColumn("cut", F.min(F.when(F.col("turn") == each, F.struct("id", "version"))).over(whole)).where("cut IS NULL OR struct(id, version) < cut")
+        order = whole.orderBy("id", "version")
+        first = first.withColumn("rank", F.row_number().over(order)).withColumn("sum", F.sum(F.size("grams")).over(order))
+        first = first.where((F.col("rank") == 1) | ((F.col("rank") <= leaders) & (F.col("sum") <= MOST_SHINGLES)))
         heads = first.groupBy("component_id", "n").agg(F.sort_array(F.collect_list(F.struct("id", "version", "grams"))).alias("leaders"), F.max(F.struct("id", "version")).alias("last"))
         schema = f"component_id long, n long, staying array<{one}>, going array<struct<id:{kind},version:bigint,keep_id:{kind}>>, last struct<id:{kind},version:bigint>"
         heads = materialize(heads.select("component_id", "leaders", "last", "n").mapInArrow(settle, schema))
