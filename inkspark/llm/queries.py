@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, licences, mixing, quality, rp_forest, sharding, simhash, token_counts, warc
+from . import byte_bpe, exact_dedup, licences, mixing, phrases, quality, rp_forest, sharding, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")), 0.7)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_token_counts, op4_warc, op5_shard, op6_simhash, op7_embedding_dedup, op8_licence_scan, op9_byte_bpe, op10_quality)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_token_counts, op4_warc, op5_shard, op6_simhash, op7_embedding_dedup, op8_licence_scan, op9_byte_bpe, op10_quality, op11_collocations)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -117,4 +121,27 @@ ORACLE_SQL = {
                      THEN 1 ELSE 0 END AS n
                    FROM costs c JOIN plan USING (skey) LEFT JOIN edge USING (skey) LEFT JOIN cut USING (skey))
         SELECT doc_id, source, n_tokens, unnest(range(n)) AS epoch, block, floor(weight * 1e9 + 0.5)::BIGINT AS weight_ppb FROM copies""",
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+        phrases AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k FROM starts, range(1, 6) AS s(k) WHERE i + k - 1 <= len(w)),
+        counts AS MATERIALIZED (SELECT lang, phrase, k, count(*)::BIGINT AS a FROM phrases GROUP BY lang, phrase, k HAVING count(*) >= 100),
+        split AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE k >= 2),
+        inner_ones AS (
+            SELECT DISTINCT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase
+            FROM split, range(2, 5) AS s(m), range(1, 5) AS t(i) WHERE m < k AND i + m - 1 <= k),
+        kept AS (SELECT * FROM split ANTI JOIN inner_ones USING (lang, phrase, a)),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.a, f.a AS l, r.a AS r, n, j, (1000::HUGEINT * c.a * n // (f.a::HUGEINT * r.a))::BIGINT AS score
+            FROM kept c, range(1, 5) AS s(j), counts f, counts r, totals t
+            WHERE j < c.k AND f.lang = c.lang AND r.lang = c.lang AND t.lang = c.lang
+              AND f.phrase = array_to_string(c.w[1:j], ' ') AND r.phrase = array_to_string(c.w[j + 1:c.k], ' ')),
+        lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
 }
