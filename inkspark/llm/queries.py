@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, licences, mixing, phrases, quality, rp_forest, sharding, simhash, spelling, token_counts, warc
+from . import byte_bpe, exact_dedup, language, licences, mixing, phrases, quality, rp_forest, sharding, simhash, spelling, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +81,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants_of_words(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_token_counts, op4_warc, op5_shard, op6_simhash, op7_embedding_dedup, op8_licence_scan, op9_byte_bpe, op10_quality, op11_collocations, op12_spelling_variants)}
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_token_counts, op4_warc, op5_shard, op6_simhash, op7_embedding_dedup, op8_licence_scan, op9_byte_bpe, op10_quality, op11_collocations, op12_spelling_variants, op13_language_id)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
