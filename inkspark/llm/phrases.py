@@ -35,7 +35,7 @@ from .shared import SALTS, drop, join_checked, join_counted, materialize
 
 LEAST, LONGEST, BEST = 100, 5, 2000
 #: Bytes of text that a task takes at a time.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 #: Bucket counters of a row that is passed on, and the fewest and most buckets.
 BLOCK, BUCKETS = 1 << 14, (1 << 20, 1 << 26)
 #: Bytes of the table, as Spark knows them, for each bucket.
@@ -73,7 +73,7 @@ class Words:
         offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(at[kind == 0].tobytes())]).dictionary_encode()
         self.names, self.ids = words.dictionary, words.indices.to_numpy().astype(np.int64)
-        self.piece = np.cumsum(kind == 2, dtype=np.int64)[start] if len(start) else start
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), start)
         row = np.searchsorted(np.cumsum([0, *(len(p) + 1 for p in parts)]), start, "right") - 1
         self.langs, of_row = np.unique(np.array(langs, object), return_inverse=True)
         self.lang = of_row[row]
