@@ -134,7 +134,8 @@ def words_from_chars(chars: DataFrame, *key: str) -> DataFrame:
 
 
 def with_runs(rows: DataFrame, partition: str, order: str, *same: str) -> DataFrame:
-    """Gaps and islands: consecutive rows that agree in ``same`` get one run number, from 0."""
+    """Gaps and islands: consecutive rows that agree in ``same`` get one run number, from 0. ``scan.run_numbers`` does the same
+    where one partition may hold a large share of all rows."""
     by = Window.partitionBy(partition).orderBy(order)
     now = F.struct(*same)
     changed = F.coalesce((~now.eqNullSafe(F.lag(now).over(by))).cast("long"), F.lit(0))

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import ROWS, Ranges, positions
+
 
 def readable(kind: Column, with_furniture: bool = False) -> Column:
     return F.lit(True) if with_furniture else kind == "body"
 
 
-def readable_ids(sentences: DataFrame, with_furniture: bool = False) -> DataFrame:
+def readable_ids(sentences: DataFrame, with_furniture: bool = False, rows: int = ROWS) -> DataFrame:
     """(doc_id, place, sent_id) of the readable sentences, place counted from 0 in order."""
-    ok = sentences.where(readable(F.col("kind"), with_furniture))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_id")) - 1
-    return ok.select("doc_id", place.cast("long").alias("place"), "sent_id")
+    ok = sentences.where(readable(F.col("kind"), with_furniture)).select("doc_id", "sent_id")
+    return positions(ok, "doc_id", "sent_id", rows).select("doc_id", F.col("pos").alias("place"), "sent_id")
 
 
 def full_text(sentences: DataFrame) -> DataFrame:
@@ -23,13 +24,10 @@ def full_text(sentences: DataFrame) -> DataFrame:
     return sentences.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r.text), " ").alias("text"))
 
 
-def neighbours(sentences: DataFrame, with_furniture: bool = False) -> DataFrame:
+def neighbours(sentences: DataFrame, with_furniture: bool = False, rows: int = ROWS) -> DataFrame:
     """Each sentence (doc_id, sent_id, kind) with the next and previous readable one; itself counts."""
     ok = F.when(readable(F.col("kind"), with_furniture), F.col("sent_id"))
-    order = Window.partitionBy("doc_id").orderBy("sent_id")
-    following = F.first(ok, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    before = F.last(ok, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return sentences.withColumn("next_readable", following).withColumn("prev_readable", before)
+    return Ranges(sentences, "doc_id", "sent_id", rows).scan(nexts={"next_readable": ok}, lasts={"prev_readable": ok}).rows()
 
 
 def word_at(times: DataFrame, words: DataFrame) -> DataFrame:
@@ -42,12 +40,11 @@ def word_at(times: DataFrame, words: DataFrame) -> DataFrame:
     return events.withColumn("word", F.coalesce(found, F.lit(0))).where("is_query = 1").select("clip", "t", "word")
 
 
-def scrub(sentences: DataFrame, fraction: Column) -> DataFrame:
+def scrub(sentences: DataFrame, fraction: Column, rows: int = ROWS) -> DataFrame:
     """The readable sentence at a fraction of each document."""
-    ok = sentences.where(readable(F.col("kind")))
-    order, whole = Window.partitionBy("doc_id").orderBy("sent_id"), Window.partitionBy("doc_id")
-    ranked = ok.withColumn("ord", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(whole))
-    return ranked.where(F.col("ord") == F.least(F.col("n") - 1, F.floor(fraction * F.col("n")))).select("doc_id", "sent_id")
+    ranked = readable_ids(sentences, rows=rows)
+    wanted = ranked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.least(F.col("n") - 1, F.floor(fraction * F.col("n"))).alias("place"))
+    return ranked.join(wanted, ["doc_id", "place"]).select("doc_id", "sent_id")
 
 
 def reading_time(sentences: DataFrame, at: Column, speed: float = 1.0, average: float = 3.2) -> DataFrame:

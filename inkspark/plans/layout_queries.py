@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkspark.functions import text as T
 from inkspark.operators import layout as Y
 from inkspark.operators import patterns as X
+from inkspark.operators.scan import run_numbers
 
 from .registry import micros, query, table
 from .text_queries import CHUNKS
@@ -212,7 +213,7 @@ def upper_median(spark, d):
     r AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM c)
     SELECT conv_id, run::BIGINT AS run, any_value(role) AS role, min(turn) AS first, count(*) AS n FROM r GROUP BY 1, 2""")
 def kind_runs(spark, d):
-    runs = Y.with_runs(table(spark, d, "conversations"), "conv_id", "turn", "role")
+    runs = run_numbers(table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role")
     return runs.groupBy("conv_id", "run").agg(F.first("role").alias("role"), F.min("turn").alias("first"), F.count(F.lit(1)).alias("n"))
 
 

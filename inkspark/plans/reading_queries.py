@@ -204,17 +204,18 @@ def pack_limits(spark, d):
 
 
 def _lengths(spark, d):
-    clips = P.greedy_clips(_sentences(spark, d))
+    """Lengths of the clips that a plan may look at: 10 at most of each document."""
+    clips = P.greedy_clips(_sentences(spark, d)).where("clip < 10")
     return clips.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("clip", "n_chars"))), lambda c: c.n_chars).alias("lengths"))
 
 
 _LENGTHS = f"""{_SENTS}, s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) AS n, length(text) AS len FROM sents),
-    walk(doc_id, n, kind, clip, size) AS (
-        SELECT doc_id, n, kind, 0, len FROM s WHERE n = 1
+    walk(doc_id, n, kind, clip, size, k) AS (
+        SELECT doc_id, n, kind, 0, len, 1 FROM s WHERE n = 1
         UNION ALL
-        SELECT s.doc_id, s.n, s.kind, CASE WHEN s.kind = w.kind AND w.size + 1 + s.len <= 480 THEN w.clip ELSE w.clip + 1 END,
-               CASE WHEN s.kind = w.kind AND w.size + 1 + s.len <= 480 THEN w.size + 1 + s.len ELSE s.len END
-        FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.n = w.n + 1),
+        SELECT s.doc_id, s.n, s.kind, CASE WHEN joins THEN w.clip ELSE w.clip + 1 END, CASE WHEN joins THEN w.size + 1 + s.len ELSE s.len END, CASE WHEN joins THEN w.k + 1 ELSE 1 END
+        FROM (SELECT w.*, s.n AS next, s.kind = w.kind AND w.size + 1 + s.len <= 480 AND w.k <= 15 AS joins FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.n = w.n + 1) w
+        JOIN s ON s.doc_id = w.doc_id AND s.n = w.next),
     clips AS (SELECT doc_id, clip, max(size) AS chars FROM walk GROUP BY 1, 2)"""
 
 
