@@ -67,3 +67,10 @@ def speakable_documents(spark, d):
 @query("SELECT doc_id, substr(sha256('kokoro|aria|' || text), 1, 24) AS key FROM documents")
 def clip_key(spark, d):
     return table(spark, d, "documents").select("doc_id", timing.content_key(F.lit("aria"), F.col("text")).alias("key"))
+
+
+@query()
+def speakable_lines(spark, d):
+    """Spoken forms of all lines of documents; a line that recurs is rewritten once."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return speech.speakable_sentences(lines).select("doc_id", F.col("line").cast("long").alias("line"), "spoken")

@@ -157,3 +157,10 @@ def with_preset(rows: DataFrame, asked: str) -> DataFrame:
 def preference(*stores: Column) -> Column:
     """The first store with a valid choice."""
     return F.coalesce(*[F.when(s.isin("big", "small"), s) for s in stores])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of few row groups dealt over the cores, for work that is heavy for each row. A table with a part for each
+    core, as any large one has, stays as it is: it is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
