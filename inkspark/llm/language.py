@@ -8,7 +8,7 @@ backwards: from all languages, those with less than half a word go at once, then
 The prediction is the largest language of that set (ties: the first by name) and the score its proportion.
 
 Learned from text and lang of rows whose crc32(id as text) mod 5 is not 0: of each of the LANGS most frequent languages
-PER_LANG documents at most, picked by a hash of the id and read whole; of several rows of an id and language the text with the
+PER_LANG documents, or a few per cent more or less where there are more, picked by a hash of the id and read whole; of several rows of an id and language the text with the
 largest hash counts. Of the letter triples the GRAMS with the largest share of any language are known; others tell nothing.
 Both bound what the driver and each task hold. Scoring reads every row and whole text. Words count as units, so a
 long word weighs no more than FLOOR (in nats) against a language.
@@ -26,10 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SALTS, materialize
+from .shared import materialize
 
 LANGS, PER_LANG, GRAMS = 256, 1000, 50_000
 SMOOTH, LETTERS, FLOOR, PENALTY = 10.0, 40, 12.0, 3.0
@@ -160,13 +160,11 @@ def sample(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang
     """(lang, text) of the documents to learn from."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fold(F.col("id")) != 0))
-    ids = rows.groupBy("lang", "id").agg(F.count("*").alias("n"))
-    langs = ids.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
-    order = [F.xxhash64(F.lit(5), "id"), F.col("id")]
-    salted = ids.join(F.broadcast(langs.select("lang")), "lang").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    near = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= per_lang)
-    picked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= per_lang)
-    picked = F.broadcast(materialize(picked.select("lang", "id")))  # LANGS x PER_LANG rows at most
+    ids = rows.groupBy("lang", "id").agg(F.lit(1).alias("one"))
+    langs = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
+    share = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * per_lang / F.col("n")
+    picked = ids.join(F.broadcast(langs), "lang").where(share)
+    picked = F.broadcast(materialize(picked.select("lang", "id")))  # about LANGS x PER_LANG rows at most
     return rows.join(picked, ["lang", "id"]).groupBy("lang", "id").agg(F.max(F.struct(F.xxhash64("text"), "text")).alias("x")).select("lang", "x.text")
 
 
