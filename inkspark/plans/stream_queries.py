@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from inkspark.streaming import incremental as I
+from inkspark.streaming import queues as Q
 
 from .registry import micros, query
 
@@ -50,3 +51,46 @@ def stream_progress(spark, d):
     updates = I.run_to_end(I.file_progress(files, "q"), "update", _name("progress"))
     last = updates.groupBy("q", "file").agg(F.max_by("x", "batch").alias("x"))
     return last.groupBy("q").agg(micros(F.least(F.lit(0.99), F.sum("x.loaded") / F.sum("x.total"))).alias("progress_us"))
+
+
+def _in_order(stream, key, processor, delay, out, name):
+    """The rows of a queue's stream, to the end of what is there."""
+    spark = stream.sparkSession
+    rows, folder = I.with_ending(stream)
+    with Q.state_store(spark):
+        return I.run_to_end(Q.in_order(rows, key, processor, delay, out), "append", _name(name), ending=(rows.schema, folder)).where(F.col(key) >= 0)
+
+
+_HOUR_US = 3_600_000_000
+
+
+@query(f"""
+    WITH e AS (SELECT user_id, ts, event_id, event_type, CASE event_id % 3 WHEN 0 THEN 30 WHEN 1 THEN 90 ELSE 180 END AS hours FROM events),
+    f AS (SELECT *, min(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS finished FROM e)
+    SELECT user_id, event_id AS job, epoch_us(ts) + hours * {_HOUR_US}::BIGINT AS retired_us FROM f WHERE event_type <> 'purchase' AND (finished IS NULL OR finished > ts + to_hours(hours))""")
+def stream_retired(spark, d):
+    """Events start jobs, and a purchase finishes all of the user's; those running for 30, 90 or 180 hours are retired by a timer."""
+    kind = F.when(F.col("event_type") == "purchase", "finish").otherwise(F.element_at(F.array(*map(F.lit, Q.DEADLINES)), (F.col("event_id") % 3 + 1).cast("int")))
+    stream = I.events(spark, d).select("user_id", "ts", F.col("event_id").alias("seq"), kind.alias("kind"))
+    return _in_order(stream, "user_id", Q.Retired(_HOUR_US), "1 hour", "job long, retired_us long", "retired")
+
+
+@query(f"""
+    WITH e AS (SELECT user_id, ts, event_id, event_type = 'error' AS fail,
+            coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 48 * {_HOUR_US}::BIGINT, false) AS silent, count(*) FILTER (event_type = 'error') OVER w AS fails FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    lives AS (SELECT *, count(*) FILTER (silent) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS silences FROM e)
+    SELECT user_id, event_id AS seq, first(event_id) OVER (PARTITION BY user_id, fails, silences ORDER BY ts, event_id) AS job FROM lives WHERE NOT fail""")
+def stream_shared(spark, d):
+    """A user's requests share one job until an error evicts it, or nothing came for 48 hours."""
+    stream = I.events(spark, d).select("user_id", "ts", F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "fail").otherwise("request").alias("kind"))
+    return _in_order(stream, "user_id", Q.Shared(48 * _HOUR_US), "1 hour", "seq long, job long", "shared")
+
+
+@query("""
+    SELECT conv_id, turn, max((conv_id * 37 + turn * 61) % 101) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS delivered_s FROM conversations""")
+def stream_in_turn(spark, d):
+    """Turns that come in another order (their seconds are made of their numbers) are delivered in theirs."""
+    stream = I.events(spark, d, "conversations.parquet", None)
+    at = F.timestamp_seconds((F.col("conv_id") * 37 + F.col("turn") * 61) % 101)
+    rows = _in_order(stream.select("conv_id", at.alias("ts"), F.col("turn").alias("seq"), F.lit("result").alias("kind")), "conv_id", Q.InTurn(3_600_000_000), "10 minutes", "turn long, at_us long", "in_turn")
+    return rows.select("conv_id", "turn", F.expr("at_us div 1000000").alias("delivered_s"))

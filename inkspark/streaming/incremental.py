@@ -13,11 +13,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 from inkspark.sources.scratch import hadoop_path, scratch
 
 
-def events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """A stream of the rows of an events file of ``folder``."""
+def events(spark: SparkSession, folder: str, name: str = "events.parquet", ts: str | None = "ts") -> DataFrame:
+    """A stream of the rows of a file of ``folder``, with event time ``ts``."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")) if ts else stream
 
 
 def first_of_key(stream: DataFrame, key: str, delay: str) -> DataFrame:
