@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from inkspark.functions import text as T
 from inkspark.operators import library as L
-from inkspark.sources import readers
+from inkspark.sources import readers, stored
+from inkspark.sources.scratch import scratch
 
 from .registry import query, table
 
@@ -214,3 +215,21 @@ def plain_events(spark, d):
 
     e = table(spark, d, "events").select("event_id", F.concat(F.lit('{"extra": 1, "file": "'), "event_type", F.lit('", "loaded": '), F.get_json_object("props", "$.k"), F.lit("}")).alias("payload"))
     return e.select("event_id", plain_event(F.col("payload")).alias("p")).select("event_id", "p.file", "p.loaded", "p.total")
+
+
+@query("""
+    WITH puts AS (SELECT l_orderkey AS doc_id, l_linenumber AS sent_id, max(l_quantity)::BIGINT + 100 AS size FROM lineitem WHERE l_orderkey % 97 = 0 AND l_linenumber <= 2 GROUP BY 1, 2
+                  UNION ALL SELECT o_orderkey, 99, 1 FROM orders WHERE o_orderkey % 101 = 0),
+    left_over AS (SELECT l_orderkey AS doc_id, l_linenumber AS sent_id, l_quantity::BIGINT AS size FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 89 = 0))
+    SELECT doc_id, sent_id::BIGINT AS sent_id, size, 'now' AS of FROM (SELECT * FROM left_over ANTI JOIN puts USING (doc_id, sent_id) UNION ALL SELECT * FROM puts)
+    UNION ALL SELECT l_orderkey, l_linenumber, l_quantity::BIGINT, 'before' FROM lineitem""")
+def stored_changes(spark, d):
+    """A stored table after a delete of documents and puts of sentences, and as it was before."""
+    folder = scratch(spark)
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("sent_id"), F.col("l_quantity").cast("long").alias("size"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    stored.create(rows, folder, "doc_id", "sent_id")
+    puts = rows.where("doc_id % 97 = 0 AND sent_id <= 2").withColumn("size", F.col("size") + 100)
+    puts = puts.unionByName(orders.where("doc_id % 101 = 0").select("doc_id", F.lit(99).cast("long").alias("sent_id"), F.lit(1).cast("long").alias("size")))
+    stored.change(spark, folder, puts, orders.where("doc_id % 89 = 0"))
+    return stored.read(spark, folder).withColumn("of", F.lit("now")).unionByName(stored.read(spark, folder, 0).withColumn("of", F.lit("before")))

@@ -87,10 +87,10 @@ def stream_shared(spark, d):
 
 
 @query("""
-    SELECT conv_id, turn, max((conv_id * 37 + turn * 61) % 101) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS delivered_s FROM conversations""")
+    SELECT conv_id, turn, 1 + max((conv_id * 37 + turn * 61) % 101) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS delivered_s FROM conversations""")
 def stream_in_turn(spark, d):
     """Turns that come in another order (their seconds are made of their numbers) are delivered in theirs."""
     stream = I.events(spark, d, "conversations.parquet", None)
-    at = F.timestamp_seconds((F.col("conv_id") * 37 + F.col("turn") * 61) % 101)
+    at = F.timestamp_seconds(1 + (F.col("conv_id") * 37 + F.col("turn") * 61) % 101)
     rows = _in_order(stream.select("conv_id", at.alias("ts"), F.col("turn").alias("seq"), F.lit("result").alias("kind")), "conv_id", Q.InTurn(3_600_000_000), "10 minutes", "turn long, at_us long", "in_turn")
     return rows.select("conv_id", "turn", F.expr("at_us div 1000000").alias("delivered_s"))

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from inkspark.functions import audio
 
+from .stored import GROUP, sorted_writer
 
-def write_library(documents: DataFrame, sentences: DataFrame, path: str) -> None:
-    """Both tables; sentences are sorted within files, so that a range scan skips row groups. Files appear when a
-    job commits, never in part."""
-    documents.write.mode("overwrite").parquet(f"{path}/documents")
-    sentences.repartition("doc_id").sortWithinPartitions("doc_id", "sent_id").write.mode("overwrite").parquet(f"{path}/sentences")
+
+def write_library(documents: DataFrame, sentences: DataFrame, path: str, group: int = GROUP) -> None:
+    """Both tables. Sentences follow each other by (doc_id, sent_id) over files and row groups, with Bloom filters on doc_id, so a
+    lookup or a range scan reads the row groups that have its rows; a document of very many sentences has several files. Files
+    appear when a job commits, never in part."""
+    documents.write.mode("overwrite").option("parquet.bloom.filter.enabled#id", "true").parquet(f"{path}/documents")
+    sorted_writer(sentences, ["doc_id", "sent_id"], ["doc_id"], group).mode("overwrite").parquet(f"{path}/sentences")
 
 
 def answers(rows: DataFrame, *key: str) -> DataFrame:

@@ -167,7 +167,7 @@ def state_store(spark: SparkSession) -> Iterator[None]:
 
 def in_order(stream: DataFrame, key: str, processor: InOrder, delay: str, out: str) -> DataFrame:
     """``processor`` on a stream (key, ts, seq, kind) with a watermark; gives the key and the columns ``out``. A null key (that of
-    a row which only moves the watermark) is left alone as -1."""
+    a row which only moves the watermark) is left alone as -1. Event times are after 1970, where watermarks begin."""
     rows = stream.withWatermark("ts", delay).select(F.coalesce(key, F.lit(-1)).cast("long").alias(key), "ts", F.unix_micros("ts").alias("ts_us"), "seq", "kind")
     schema = StructType.fromDDL(f"{key} long, {out}")
     processor.columns = tuple(schema.names)
