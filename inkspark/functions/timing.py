@@ -13,10 +13,11 @@ WORD_FLOOR = 2
 
 
 def word_weight(word: Column) -> Column:
-    """2, 1 for each letter or digit, and the pauses of punctuation."""
-    weight = F.length(F.regexp_replace(word, r"[^\p{L}\p{N}]", "")) + WORD_FLOOR
-    for mark, pause in PAUSES.items():
-        weight = weight + pause * (F.length(word) - F.length(F.replace(word, F.lit(mark), F.lit(""))))
+    """2, 1 for each letter or digit, and the pauses of punctuation; marks of equal weight are counted at once."""
+    weight = F.length(F.regexp_replace(word, r"[^\p{L}\p{N}]+", "")) + WORD_FLOOR
+    for pause in sorted(set(PAUSES.values())):
+        marks = "".join(mark for mark, p in PAUSES.items() if p == pause)
+        weight = weight + pause * (F.length(word) - F.length(F.translate(word, marks, "")))
     return weight.cast("long")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scan import ROWS, Ranges, positions
@@ -30,14 +30,14 @@ def neighbours(sentences: DataFrame, with_furniture: bool = False, rows: int = R
     return Ranges(sentences, "doc_id", "sent_id", rows).scan(nexts={"next_readable": ok}, lasts={"prev_readable": ok}).rows()
 
 
-def word_at(times: DataFrame, words: DataFrame) -> DataFrame:
+def word_at(times: DataFrame, words: DataFrame, rows: int = ROWS) -> DataFrame:
     """The word spoken at each time (clip, t): the last that has begun (words: clip, idx, start), else the first.
-    As-of join by one sorted pass of both sides, rather than a comparison of all pairs."""
+    Words and times are merged in one order and scanned, rather than compared in pairs; a clip's words and lookups may lie in
+    many ranges, so no task has them all."""
     events = words.select("clip", F.col("start").alias("at"), F.lit(0).alias("is_query"), F.col("idx").cast("long").alias("idx"), F.lit(None).cast("double").alias("t"))
     events = events.unionByName(times.select("clip", F.col("t").alias("at"), F.lit(1).alias("is_query"), F.lit(None).cast("long").alias("idx"), F.col("t").cast("double")))
-    order = Window.partitionBy("clip").orderBy("at", "is_query", "idx")
-    found = F.last("idx", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("word", F.coalesce(found, F.lit(0))).where("is_query = 1").select("clip", "t", "word")
+    found = Ranges(events, "clip", ["at", "is_query", "idx"], rows).scan(lasts={"word": F.col("idx")}).rows()
+    return found.where("is_query = 1").select("clip", "t", F.coalesce("word", F.lit(0)).alias("word"))
 
 
 def scrub(sentences: DataFrame, fraction: Column, rows: int = ROWS) -> DataFrame:

@@ -1,5 +1,6 @@
 """Two-level scans and clips by composed block maps against plain windows and plain loops, with one key holding most rows."""
 
+import bisect
 import random
 
 import pytest
@@ -115,3 +116,15 @@ def test_clips_of_a_very_long_document(spark):
 def test_a_block_is_longer_than_a_clip(hot):
     with pytest.raises(ValueError, match="block"):
         P.greedy_clips(hot, block=15)
+
+
+@pytest.mark.parametrize("rows", [700, 1 << 16])
+def test_word_at_in_a_long_clip(spark, rows):
+    """One clip with most words and lookups, many of them at one time, and clips without words."""
+    rng = random.Random(5)
+    starts = {1: sorted(round(rng.random() * 500, 2) for _ in range(20_000)), 2: [0.0, 1.0, 1.0, 4.0], 3: [2.0]}
+    asked = [(1, round(rng.random() * 520 - 10, 2)) for _ in range(3000)] + [(1, 250.0)] * 2000 + [(c, t) for c in (2, 3, 4) for t in (-1.0, 0.0, 1.0, 3.0, 9.0)]
+    words = spark.createDataFrame([(c, i, s) for c, ss in starts.items() for i, s in enumerate(ss)], "clip long, idx long, start double")
+    got = N.word_at(spark.createDataFrame(asked, "clip long, t double"), words, rows)
+    want = [(c, t, max(bisect.bisect_right(starts.get(c, []), t) - 1, 0)) for c, t in asked]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
