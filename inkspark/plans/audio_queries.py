@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkspark.functions import audio as A
+from inkspark.operators import long_audio as LA
 from inkspark.sources import readers, sinks
 from inkspark.sources.scratch import scratch
 
@@ -148,3 +149,30 @@ def published_audio(spark, d):
 @query("SELECT * FROM (VALUES ('adam', 95::BIGINT, 2::BIGINT), ('aria', 93, 2), ('emma', 93, 1), ('george', 95, 1), ('river', 91, 2), ('sky', 100, 1)) t(preset, speed_percent, voices)")
 def voice_presets(spark, d):
     return readers.presets(spark).select("preset", F.round(F.col("base_speed") * 100).cast("long").alias("speed_percent"), F.size("blend").cast("long").alias("voices"))
+
+
+_LONG = "SELECT vec_id // 40 AS clip, vec_id % 40 * 64 + i - 1 AS place, embedding[i]::DOUBLE AS v FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i)"
+
+
+def _long_rows(spark, d):
+    """Clips of 40 vectors one after another."""
+    return _samples(spark, d).select(F.floor(F.col("vec_id") / 40).alias("clip"), (F.col("vec_id") % 40 * 64).alias("at"), "x")
+
+
+@query(f"""
+    WITH x AS ({_LONG}), q AS (SELECT clip, 1.5 * quantile_cont(abs(v), 0.999) AS most, max(abs(v)) AS peak FROM x GROUP BY 1)
+    SELECT clip, place, floor(greatest(-most, least(most, v)) * (0.92::DOUBLE / least(peak, most)) * 1e6 + 0.5)::BIGINT AS y_us FROM x JOIN q USING (clip)""")
+def long_declicked(spark, d):
+    """Clips whose samples are in many rows, clipped and scaled."""
+    rows = LA.declicked(_long_rows(spark, d)).select("clip", F.col("at").alias("first"), F.posexplode("x").alias("i", "y"))
+    return rows.select("clip", (F.col("first") + F.col("i")).alias("place"), micros(F.col("y")).alias("y_us"))
+
+
+@query(f"""
+    WITH x AS ({_LONG}), q AS (SELECT clip, max(abs(v)) * pow(10.0::DOUBLE, -12.0 / 20) AS loud, count(*) AS n FROM x GROUP BY 1),
+    s AS (SELECT clip, greatest(0, min(place) FILTER (abs(v) > loud) - 600) AS first, least(any_value(n), max(place) FILTER (abs(v) > loud) + 600) AS last FROM x JOIN q USING (clip) GROUP BY 1)
+    SELECT clip, (last - first)::BIGINT AS n, floor(sum(v) * 1e6 + 0.5)::BIGINT AS sum_us FROM x JOIN s USING (clip) WHERE place >= first AND place < last GROUP BY ALL""")
+def long_trimmed(spark, d):
+    """What is left of clips in many rows from 25 ms before the first sample within 12 dB of the peak to 25 ms after the last."""
+    rows = LA.trimmed(_long_rows(spark, d), 24_000, -12.0).groupBy("clip").agg(F.sum(F.size("x")).alias("n"), F.sum(A.total(F.col("x"))).alias("sum"))
+    return rows.select("clip", "n", micros(F.col("sum")).alias("sum_us"))
