@@ -126,11 +126,11 @@ def test_each_window_of_a_long_line_keeps_its_finding(documents):
     m = licences.fit(documents)
     prose = " ".join(documents.select("text").first().text.split()[:300])
     line = f"{prose} {licences.TEMPLATES['MIT'][0]} {prose} {licences.TEMPLATES['Apache-2.0'][0]} {prose}"
-    found = [(f[3], line[f[1] : f[2]]) for f in m.findings(line, 0.5, 0.6)[1] if f[6]]
+    found = [(f[3], line[f[1] : f[2]]) for f in m.findings(line, 0.5, 0.5)[1] if f[6]]
     assert [f for f, _ in found] == ["MIT", "Apache-2.0"]
     assert "MIT License" in found[0][1] and "Apache License" in found[1][1] and "Apache" not in found[0][1]
     both = f"{licences.TEMPLATES['MIT'][0]} {licences.TEMPLATES['Proprietary'][0]}"
-    assert {f[3] for f in m.findings(both, 0.5, 0.6)[1] if f[6]} == {"MIT", "Proprietary"}
+    assert {f[3] for f in m.findings(both, 0.5, 0.5)[1] if f[6]} == {"MIT", "Proprietary"}
 
 
 def test_counts_and_sample_cover_whole_texts(spark):
@@ -175,17 +175,107 @@ HELD_OUT = [
 def test_held_out_wordings(documents):
     """Confirmed findings on wordings that are no templates: precision 0.9 and recall 0.8 at least (README has the figures)."""
     m = licences.fit(documents)
-    found = [{f[3] for f in m.findings(t, 0.5, 0.6)[1] if f[6]} for _, t in HELD_OUT]
+    found = [{f[3] for f in m.findings(t, 0.5, 0.5)[1] if f[6]} for _, t in HELD_OUT]
     right = sum(family in got for (family, _), got in zip(HELD_OUT, found) if family)
     print(f"recall {right} of {sum(family is not None for family, _ in HELD_OUT)}, precision {right} of {sum(map(len, found))}")
     assert right >= 0.8 * sum(family is not None for family, _ in HELD_OUT), [(f, t, got) for (f, t), got in zip(HELD_OUT, found) if f and f not in got]
     assert right >= 0.9 * sum(map(len, found)), [(f, t, got) for (f, t), got in zip(HELD_OUT, found) if got - {f}]
 
 
+#: Sentences that no template has, and names of licences to put in: those of families, and others that are near misses.
+FRAMES = [
+    "Made available under {}.", "The code in this folder is distributed under {}.", "Files here are licensed under {}; see the file beside them.", "Copyright 2019 A. Person. Released under {}.", "All examples may be used under the terms of {}.",
+    "Our documents and tools are covered by {} unless stated otherwise.", "We publish this package under {}.",
+]
+NAMES = {
+    "MIT": "the MIT License", "Apache-2.0": "the Apache License, Version 2.0", "BSD": "the BSD License", "GPL-3.0": "the GNU General Public License, version 3", "GPL-2.0": "the GNU General Public License, version 2",
+    "AGPL-3.0": "the GNU Affero General Public License, version 3", "LGPL": "the GNU Lesser General Public License", "MPL-2.0": "the Mozilla Public License, v. 2.0", "EPL-2.0": "the Eclipse Public License 2.0", "ISC": "the ISC License",
+    "BSL-1.0": "the Boost Software License, Version 1.0", "OFL-1.1": "the SIL Open Font License, Version 1.1", "CC-BY": "a Creative Commons Attribution 4.0 International License",
+    "CC-BY-SA": "a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-NC": "a Creative Commons Attribution-NonCommercial 4.0 International License",
+}
+NEAR_MISSES = [
+    *(f.format(n) for f in FRAMES[:4] for n in ("the Apache License, Version 1.1", "the EUPL, Version 1.2", "a Creative Commons Attribution-NoDerivatives 4.0 International License", "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+                                                 "the Sleepycat License", "the Netscape Public License, Version 1.1", "the Vovida Software License, Version 1.0", "the Ruby License", "the Mozilla Public License, v. 1.1", "the Microsoft Public License")),
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under the Apache License, Version 1.1.", "Licensed under the EUPL.",
+    "either version 2 of the book, or (at your option) any later version of the essay", "The conditions of the school, with or without modification, are permitted provided that the following conditions are met",
+]
+
+
+def test_held_out_names_and_near_misses(documents):
+    """105 sentences on licences of the families and 45 near misses: precision and recall 0.9 at least."""
+    m = licences.fit(documents)
+    sure = lambda t: {f[3] for f in m.findings(t, 0.5, 0.5)[1] if f[6]}
+    found = [(family, sure(frame.format(name))) for family, name in NAMES.items() for frame in FRAMES]
+    right, false = sum(got == {family} for family, got in found), sum(map(len, map(sure, NEAR_MISSES)))
+    print(f"recall {right} of {len(found)}, of confirmed {sum(len(got) for _, got in found) + false}, of near misses {false}")
+    assert len(found) == 105 and len(NEAR_MISSES) == 45
+    assert right >= 0.9 * len(found)
+    assert right >= 0.9 * (sum(len(got) for _, got in found) + false)
+    assert false == 0
+
+
+def test_spdx_expressions(documents):
+    assert licences.spdx_families("(MIT OR BSD-2-Clause) AND GPL-2.0-or-later WITH Classpath-exception-2.0") == ["MIT", "BSD", "GPL-2.0"]
+    assert licences.spdx_families("apache-2.0") == ["Apache-2.0"] and licences.spdx_families("CC-BY-ND-4.0 or LGPL-3.0+") == ["unknown", "LGPL"]
+    assert licences.spdx_families("MIT this file is old") == ["MIT"] and licences.spdx_families("") == []
+    m = licences.fit(documents.limit(50))
+    text = "// SPDX-License-Identifier: GPL-2.0-or-later\n# SPDX-License-Identifier: Foo-1.0 */\nx SPDX-License-Identifier: MIT"
+    assert [(f[0], f[3], f[6], text[f[1] : f[2]].strip()) for f in m.findings(text, 0.5, 0.5)[1]] == [
+        (0, "GPL-2.0", True, "SPDX-License-Identifier: GPL-2.0-or-later"), (1, "unknown", False, "SPDX-License-Identifier: Foo-1.0"), (2, "MIT", True, "SPDX-License-Identifier: MIT")
+    ]
+
+
+def test_findings_against_plain_loops(documents):
+    """Windows, probabilities, similarity and what is confirmed, by loops over words."""
+    m = licences.fit(documents)
+    prose = " ".join(documents.select("text").first().text.split()[:170])
+    templates = {f: [licences.words_of(t) for t in ts] for f, ts in licences.TEMPLATES.items()} | {licences.UNKNOWN: [licences.words_of(t) for t in licences.OTHERS]}
+
+    def units(words):
+        return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
+
+    labels = [(f, set().union(*map(units, ts))) for f, ts in templates.items() if f != licences.UNKNOWN] + [(i, units(t)) for i, t in enumerate(templates[licences.UNKNOWN])]
+    worth = lambda u: 1 / max(1, sum(u in own for _, own in labels))
+
+    def core(words):
+        return {"licen" if w.startswith("licen") else w[:7] for w in words if w in licences.CORE}
+
+    def agreement(family, words):
+        best, own = 0, units(words)
+        for t in templates[family]:
+            numbers, there = licences._versions(t), licences._versions(words)
+            if 2 * len(core(t) & core(words)) >= len(core(t)) and not (numbers and there and not numbers & there):
+                shared = sum(worth(u) for u in own & units(t))
+                best = max(best, shared / sum(map(worth, units(t))), shared / sum(map(worth, own)) if len(words) >= 6 else 0)
+        return best
+
+    for text in [f"{prose} {HELD_OUT[0][1]} {prose}", HELD_OUT[6][1], NEAR_MISSES[0], licences.TEMPLATES["BSD"][1], prose]:
+        words, want = licences.words_of(text), []
+        for i in range(0, max(1, len(words) - 40), 40):
+            part = words[i : i + 80]
+            if not any(w in m.gates for w in part):
+                continue
+            grams = {" ".join(part[j : j + n]) for n in (1, 2, 3) for j in range(len(part) - n + 1)}
+            z = [(m.bias[k] + sum(m.weight[m.features[g]][k] for g in grams if g in m.features)) / m.temperature for k in range(len(m.families))]
+            p = np.exp(np.array(z) - max(z))
+            p = p / p.sum()
+            k = int(p.argmax())
+            if m.families[k] != licences.UNKNOWN:
+                similar = agreement(m.families[k], part)
+                if similar >= 0.5 and similar >= agreement(licences.UNKNOWN, part) or p[k] >= 0.5:
+                    want.append((m.families[k], float(p[k]), similar))
+        got = [f for f in m.findings(text, 0.5, 0.5)[1]]
+        for family in {f for f, *_ in want}:  # neighbouring windows of one family are one finding, with the most of each
+            assert [(round(f[4], 4), round(f[5], 6)) for f in got if f[3] == family] == [(round(max(p for f, p, _ in want if f == family), 4), round(max(s for f, _, s in want if f == family), 6))]
+        assert {f for f, *_ in want} <= {f[3] for f in got} and (want or not got)
+
+
 def test_licences_of_documents(spark, documents):
     rows = queries.op8_licence_scan(spark, DATA).join(documents.select("doc_id", "text"), "doc_id").collect()
+    said = {"MIT": "Released under the MIT", "Apache-2.0": "Apache License, Version 2.0", "Proprietary": "All rights reserved.", "GPL-3.0": "General Public License"}
     for r in rows:
         assert (r.n_confirmed > 0) == any(x in r.text for x in ("Released under the", "All rights reserved.", "Licensed under", "licensed under the"))
+        assert all(said[f] in r.text for f in r.families.split(",") if f in said)
 
 
 def test_pipeline(spark, documents):
