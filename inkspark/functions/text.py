@@ -125,6 +125,50 @@ def article_text(html: Column) -> Column:
     return strip_tags(bare)
 
 
+_BLOCK, _HEADING = "\ufdd0", "\ufdd1"
+_BLOCKS = "p|div|h[1-6]|li|ul|ol|dl|dt|dd|table|tr|td|th|section|article|aside|main|nav|header|footer|form|blockquote|pre|figure|figcaption|body|html"
+
+
+def main_text(html: Column, share: float = 0.1) -> Column:
+    """The main text of a page. Scripts, styles, comments and what is tagged as navigation, head or foot go; of what is left
+    blocks tell, whatever their tags are called.
+
+    A page is cut at block tags. A block is worth its words outside links, less those inside, less what a block must have: a
+    ``share`` of the length of the block in which a word of the page stands on average. The main text is the run of blocks with the
+    largest sum (the first of equal ones), so short paragraphs between long ones stay, and notices, lists of links and
+    footers at either end go, as do blocks within the run that are mostly links. Headings cost nothing. Blocks are joined by
+    blank lines; a page without words gives an empty text, null stays null."""
+    bare = F.translate(F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|nav|header|footer|aside|head|noscript|template)\b.*?</\1\s*>", " "), _BLOCK + _HEADING, "")
+    cut = F.regexp_replace(F.regexp_replace(bare, r"(?i)<h[1-6]\b[^>]*>", _BLOCK + _HEADING), rf"(?i)</?(?:{_BLOCKS})\b[^>]*>", _BLOCK)
+    size = lambda t: F.size(F.filter(F.split(t, " "), lambda w: w != ""))
+    linked = lambda b: F.coalesce(F.aggregate(F.regexp_extract_all(b, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1)), F.lit(0), lambda n, a: n + size(strip_tags(a))), F.lit(0))
+
+    def measured(b: Column) -> Column:
+        return let(strip_tags(F.replace(b, F.lit(_HEADING), F.lit(""))), lambda t: F.struct(t.alias("text"), size(t).alias("n"), linked(b).alias("links"), F.startswith(b, F.lit(_HEADING)).alias("heading")))
+
+    blocks = F.filter(F.transform(F.split(cut, _BLOCK), measured), lambda b: b.n > 0)
+
+    def run(bs: Column) -> Column:
+        total = F.aggregate(bs, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("squares")), lambda s, b: F.struct((s.n + b.n).alias("n"), (s.squares + b.n * b.n).alias("squares")))
+        return let(total, lambda t: best(bs, F.when(t.n > 0, share * t.squares / t.n).otherwise(0.0)))
+
+    def best(bs: Column, least: Column) -> Column:
+        values = F.transform(bs, lambda b: F.when(b.heading & (b.links == 0), 0.0).otherwise(b.n - 2 * b.links - least))
+        start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0).alias("since"), F.lit(float("-inf")).alias("best"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+        def step(s: Column, v: Column) -> Column:
+            # A run with a negative sum is given up; one of zero, such as a heading, goes on.
+            return let(F.struct(F.when(s["sum"] < 0, v).otherwise(s["sum"] + v).alias("sum"), F.when(s["sum"] < 0, s["at"]).otherwise(s["since"]).alias("since")), lambda new: F.struct(
+                (s["at"] + 1).alias("at"), new["sum"].alias("sum"), new["since"].alias("since"), F.greatest(new["sum"], s["best"]).alias("best"),
+                F.when(new["sum"] > s["best"], new["since"]).otherwise(s["first"]).alias("first"), F.when(new["sum"] > s["best"], s["at"] + 1).otherwise(s["last"]).alias("last"),
+            ))
+
+        found = F.aggregate(values, start, step)
+        return let(found, lambda f: F.array_join(F.transform(F.filter(F.slice(bs, f["first"] + 1, f["last"] - f["first"]), lambda b: b.n >= 2 * b.links), lambda b: b.text), "\n\n"))
+
+    return let(blocks, run)
+
+
 def title_of(path: Column) -> Column:
     """File name without folder and last suffix."""
     return F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"(?<=.)\.[^.]+$", "")

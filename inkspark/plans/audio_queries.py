@@ -9,7 +9,7 @@ from inkspark.operators import long_audio as LA
 from inkspark.sources import readers, sinks
 from inkspark.sources.scratch import scratch
 
-from .registry import micros, query, table
+from .registry import golden, micros, query, table
 
 RATE = 1000
 #: DuckDB: samples as rows.
@@ -77,7 +77,7 @@ def declick_normalise(spark, d):
     return rows.select("vec_id", F.size("z").cast("long").alias("samples"), micros(F.array_max(F.transform("y", F.abs))).alias("peak_us"), F.floor(A.total(F.transform("z", F.abs)) * 1e3 + 0.5).cast("long").alias("total_ms"))
 
 
-@query("""
+@golden("""
     SELECT * FROM (VALUES (1::BIGINT, 740::BIGINT, 1980::BIGINT, 1300::BIGINT), (2::BIGINT, 90::BIGINT, 100::BIGINT, 30::BIGINT), (3::BIGINT, 0::BIGINT, 100::BIGINT, 100::BIGINT)) t(id, start, last, samples)""")
 def silence_trim(spark, d):
     """A clip with a tone from sample 745 to 1980, silence (of which the last window stays), and a tone throughout."""
@@ -146,7 +146,7 @@ def published_audio(spark, d):
     return done.join(read, "name").select("name", "bytes", "rate", "data_bytes")
 
 
-@query("SELECT * FROM (VALUES ('adam', 95::BIGINT, 2::BIGINT), ('aria', 93, 2), ('emma', 93, 1), ('george', 95, 1), ('river', 91, 2), ('sky', 100, 1)) t(preset, speed_percent, voices)")
+@golden("SELECT * FROM (VALUES ('adam', 95::BIGINT, 2::BIGINT), ('aria', 93, 2), ('emma', 93, 1), ('george', 95, 1), ('river', 91, 2), ('sky', 100, 1)) t(preset, speed_percent, voices)")
 def voice_presets(spark, d):
     return readers.presets(spark).select("preset", F.round(F.col("base_speed") * 100).cast("long").alias("speed_percent"), F.size("blend").cast("long").alias("voices"))
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import audio_queries, job_queries, layout_queries, library_queries, reading_queries, server_queries, speech_queries, spoken_queries, stream_queries, text_queries  # noqa: F401
-from .registry import ORACLE_SQL, QUERIES
+from .registry import GOLDEN, ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
+__all__ = ["GOLDEN", "ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from inkspark.functions import timing as M
 from inkspark.operators import jobs as J
 
-from .registry import micros, query, table
+from .registry import golden, micros, query, table
 
 _JOBS = "jobs AS (SELECT event_id AS seq, user_id AS q, ts, value, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS priority, 't' || (event_id % 5) AS tag, 'k' || (event_id % 400) AS key, event_type FROM events)"
 
@@ -135,7 +135,7 @@ _MACHINES = [
 ]
 
 
-@query("""
+@golden("""
     SELECT * FROM (VALUES (1::BIGINT, 'webgpu', 'fp32', 'gpu', 1::BIGINT, 6::BIGINT), (2, 'wasm', 'q8', 'chosen', 2, 4), (3, 'wasm', 'q8', 'metered', 2, 4), (4, 'webgpu', 'fp32', 'gpu', 1, 6), (5, 'wasm', 'q8', 'memory', 2, 4),
         (6, 'wasm', 'fp32', 'cores', 2, 6), (7, 'wasm', 'q8', 'not isolated', 3, 4), (8, 'wasm', 'q8', 'small machine', 1, 4), (9, 'wasm', 'fp32', 'cores', 1, 4), (10, 'wasm', 'q8', 'small machine', 3, 5)) t(id, device, dtype, why, workers, threads)""")
 def pick_backend(spark, d):
@@ -174,7 +174,7 @@ def machine_backends(spark, d):
     return m.select("id", "device", "dtype", "why", workers.cast("long").alias("workers"), M.thread_count(F.col("cores"), workers).cast("long").alias("threads"), F.floor(hint * 1000 + 0.5).cast("long").alias("hint_thousandths"))
 
 
-@query("SELECT * FROM (VALUES ('webgpu', 'fp32', 120::BIGINT, 220::BIGINT), ('wasm', 'fp32', 650, 40), ('wasm', 'q8', 1050, 40)) t(device, dtype, hint_thousandths, tail)")
+@golden("SELECT * FROM (VALUES ('webgpu', 'fp32', 120::BIGINT, 220::BIGINT), ('wasm', 'fp32', 650, 40), ('wasm', 'q8', 1050, 40)) t(device, dtype, hint_thousandths, tail)")
 def backend_hints(spark, d):
     rows = spark.createDataFrame([("webgpu", "fp32"), ("wasm", "fp32"), ("wasm", "q8")], "device string, dtype string")
     return rows.select("device", "dtype", F.floor(M.ratio_hint(F.col("device"), F.col("dtype")) * 1000 + 0.5).cast("long").alias("hint_thousandths"), M.tail_ms(F.col("device") == "webgpu").cast("long").alias("tail"))

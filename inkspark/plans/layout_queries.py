@@ -9,7 +9,7 @@ from inkspark.operators import layout as Y
 from inkspark.operators import patterns as X
 from inkspark.operators.scan import run_numbers
 
-from .registry import micros, query, table
+from .registry import golden, micros, query, table
 from .text_queries import CHUNKS
 
 _LINES = r"""
@@ -229,7 +229,7 @@ def boilerplate(spark, d):
     return own.unionByName(_lines(spark, d).select("page", F.col("n").cast("long").alias("n"), "text")).where(Y.is_boilerplate(F.col("text")))
 
 
-@query("""
+@golden("""
     SELECT * FROM (VALUES (1::BIGINT, true, false, false, false), (2::BIGINT, true, false, false, false), (3::BIGINT, false, false, false, false), (4::BIGINT, false, true, false, false),
         (5::BIGINT, false, true, false, false), (6::BIGINT, false, false, true, true), (7::BIGINT, false, false, false, true), (8::BIGINT, false, false, false, false)) t(id, tracked, page_label, case_number, case_prefix)""")
 def line_tests(spark, d):
@@ -250,7 +250,7 @@ def _pages_and_lines(spark):
     return pages, spark.createDataFrame(rows, "doc_id long, page int, block int, line int, x0 double, y0 double, x1 double, y1 double, text string, size double")
 
 
-@query("""
+@golden("""
     SELECT page::BIGINT AS page, block::BIGINT AS block, kind FROM (SELECT unnest([0, 1, 2]) AS page), (VALUES (0, 'header'), (1, 'body'), (2, 'footnote'), (3, 'footer')) t(block, kind)
     UNION ALL SELECT * FROM (VALUES (0::BIGINT, 4::BIGINT, 'boilerplate'), (0::BIGINT, 5::BIGINT, 'header'), (1::BIGINT, 6::BIGINT, 'header'))""")
 def line_kind(spark, d):
@@ -274,7 +274,7 @@ def _chars(spark):
     return spark.createDataFrame(rows, "line long, ord int, c string, sup boolean, x0 double, y0 double, x1 double, y1 double")
 
 
-@query("""
+@golden("""
     SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 'anniversary', 0::BIGINT, 55::BIGINT), (0, 1, 'ok', 65, 75), (1, 0, '70th', 0, 20), (1, 1, 'street', 25, 55), (2, 0, 'gas.', 0, 20), (3, 0, 'x', 0, 5), (3, 1, 'y', 15, 20),
         (4, 0, '1st', 0, 15), (4, 1, '2nd3', 20, 40), (6, 0, 'plain', 0, 25), (6, 1, 'words', 30, 55), (6, 2, 'here', 60, 80)) t(line, pos, text, x0, x1)""")
 def words_from_chars(spark, d):
@@ -301,13 +301,13 @@ def _stream(spark):
     return spark.createDataFrame(rows, "doc_id long, pos int, page int, block int, line int, text string, x0 double, y0 double, x1 double, y1 double, kind string")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 21000000::BIGINT), (2::BIGINT, 13800000::BIGINT)) t(doc_id, leading_us)")
+@golden("SELECT * FROM (VALUES (1::BIGINT, 21000000::BIGINT), (2::BIGINT, 13800000::BIGINT)) t(doc_id, leading_us)")
 def typical_leading(spark, d):
     lines = Y.stream_lines(_stream(spark).where("kind = 'body'"))
     return Y.typical_leading(lines).select("doc_id", micros(F.col("leading")).alias("leading_us"))
 
 
-@query("""
+@golden("""
     SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 'header', 'Running Head', 2::BIGINT, 0::BIGINT), (1, 1, 'body', 'The first line of prose goes on and wraps here to an end. One more sentence follows it', 18, 0),
         (1, 2, 'body', 'A new paragraph after a gap continues on the next page. Last words', 13, 0), (2, 0, 'body', 'Only one line here.', 4, 0)) t(doc_id, sent_id, kind, text, boxes, page)""")
 def layout_document(spark, d):
@@ -315,14 +315,14 @@ def layout_document(spark, d):
     return built.select("doc_id", "sent_id", "kind", "text", F.size("boxes").cast("long").alias("boxes"), F.get("boxes", F.lit(0)).page.cast("long").alias("page"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, '0,1,2'), (2::BIGINT, '0,1,-1'), (3::BIGINT, '2,3'), (4::BIGINT, '0,-1')) t(id, found)")
+@golden("SELECT * FROM (VALUES (1::BIGINT, '0,1,2'), (2::BIGINT, '0,1,-1'), (3::BIGINT, '2,3'), (4::BIGINT, '0,-1')) t(id, found)")
 def aligned_boxes(spark, d):
     rows = spark.createDataFrame([(1, ["a", "b", "c"], ["a", "b", "c"]), (2, ["lon", "gword", "x"], ["longword", "x"]), (3, ["cat", "dog"], ["x", "y", "cat", "dog"]), (4, ["q", "r"], ["z"])], "id long, tokens array<string>, words array<string>")
     at = F.array_join(F.transform(Y.aligned(F.col("tokens"), F.col("words")), lambda i: i.cast("string")), ",")
     return rows.select("id", at.alias("found"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, '0:10,100,50,14'), (2::BIGINT, '0:10,100,20,10|0:10,120,20,10'), (3::BIGINT, '0:10,100,20,10|1:10,100,20,10'), (4::BIGINT, '')) t(id, bands)")
+@golden("SELECT * FROM (VALUES (1::BIGINT, '0:10,100,50,14'), (2::BIGINT, '0:10,100,20,10|0:10,120,20,10'), (3::BIGINT, '0:10,100,20,10|1:10,100,20,10'), (4::BIGINT, '')) t(id, bands)")
 def line_bands(spark, d):
     boxes = {1: [(0, 10, 100, 20, 10), (0, 40, 104, 20, 10)], 2: [(0, 10, 100, 20, 10), (0, 50, 50, 0, 0), (0, 10, 120, 20, 10)], 3: [(0, 10, 100, 20, 10), (1, 10, 100, 20, 10)], 4: []}
     rows = spark.createDataFrame([(i, [(p, float(x), float(y), float(w), float(h)) for p, x, y, w, h in b]) for i, b in boxes.items()], "id long, boxes array<struct<page:int,x:double,y:double,w:double,h:double>>")
@@ -333,7 +333,7 @@ def line_bands(spark, d):
 _ITEM = "array<struct<str:string,x:double,y:double,w:double,h:double,size:double>>"
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, '0,0,1', '1987 was', '1987|was'), (2::BIGINT, '0,0', 'a b', 'a|b'), (3::BIGINT, '0,1', 'left', 'left')) t(id, lines, text, words)")
+@golden("SELECT * FROM (VALUES (1::BIGINT, '0,0,1', '1987 was', '1987|was'), (2::BIGINT, '0,0', 'a b', 'a|b'), (3::BIGINT, '0,1', 'left', 'left')) t(id, lines, text, words)")
 def text_items(spark, d):
     """Items of a page to lines, the first line to a string and to words."""
     items = {1: [("19", 10, 100, 12, 10, 10), ("87 was", 22, 100, 40, 10, 10), ("next", 10, 115, 20, 10, 10)], 2: [("a", 10, 100, 5, 10, 10), ("b", 20, 101, 5, 10, 10)], 3: [("left", 200, 100, 20, 10, 10), ("col", 10, 100, 20, 10, 10)]}
@@ -342,7 +342,7 @@ def text_items(spark, d):
     return rows.select("id", F.array_join(F.transform("line_nos", lambda x: x.cast("string")), ",").alias("lines"), Y.joined_items(first).alias("text"), F.array_join(F.transform(Y.item_words(first), lambda w: w.text), "|").alias("words"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 72::BIGINT, 90400::BIGINT, 12000::BIGINT, 11764::BIGINT), (2::BIGINT, 100::BIGINT, 384000::BIGINT, 20000::BIGINT, 16339::BIGINT)) t(id, x, y_thousandths, size_thousandths, left_thousandths)")
+@golden("SELECT * FROM (VALUES (1::BIGINT, 72::BIGINT, 90400::BIGINT, 12000::BIGINT, 11764::BIGINT), (2::BIGINT, 100::BIGINT, 384000::BIGINT, 20000::BIGINT, 16339::BIGINT)) t(id, x, y_thousandths, size_thousandths, left_thousandths)")
 def item_boxes(spark, d):
     rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0, -1.0, 0.0, 792.0], [12.0, 0.0, 0.0, 12.0, 72.0, 692.0]), (2, [1.0, 0.0, 0.0, -1.0, 0.0, 792.0], [20.0, 0.0, 0.0, 20.0, 100.0, 392.0])], "id long, viewport array<double>, transform array<double>")
     box = Y.item_box(F.col("viewport"), F.col("transform"), F.lit(30.0), F.lit(0.0))

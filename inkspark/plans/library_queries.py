@@ -10,7 +10,7 @@ from inkspark.operators import library as L
 from inkspark.sources import readers, stored
 from inkspark.sources.scratch import scratch
 
-from .registry import query, table
+from .registry import golden, query, table
 
 
 def _documents(spark, d):
@@ -113,7 +113,7 @@ def store_documents(spark, d):
     return docs.select("doc_id", L.import_status(T.sentences(F.col("text"))).alias("status"))
 
 
-@query("""
+@golden("""
     SELECT * FROM (VALUES (1::BIGINT, '[["He",0,2],["said",3,7],["\\"no\\"",8,12]]', 'He|said|"no"'), (2::BIGINT, '[]', ''))
     t(doc_id, words, decoded)""")
 def stored_words(spark, d):
@@ -148,7 +148,13 @@ def url_import(spark, d):
     return readers.from_pages(table(spark, d, "pages")).select("page_id", "title", "text")
 
 
-@query("""
+@query()
+def page_main_text(spark, d):
+    """Web pages as documents with their main text, told by the density of text and links in blocks."""
+    return readers.from_pages(table(spark, d, "pages"), main=True).select("page_id", "title", "text")
+
+
+@golden("""
     SELECT * FROM (VALUES (1::BIGINT, 'Pasted text'), (2::BIGINT, 'Pasted text'), (3::BIGINT, 'My notes')) t(id, title)""")
 def pasted_text(spark, d):
     rows = spark.createDataFrame([(1, None), (2, "  "), (3, "My notes")], "id long, title string")
@@ -161,14 +167,14 @@ def scanned_files(spark, d):
     return readers.scanned(table(spark, d, "documents").withColumnRenamed("source", "file"), "file", 5000)
 
 
-@query("""
+@golden("""
     SELECT * FROM (VALUES ('adam', 'adam', 'deep'), ('aria', 'aria', 'warm'), ('nobody', 'aria', 'warm')) t(asked, preset, label)""")
 def preset_lookup(spark, d):
     asked = spark.createDataFrame([("adam",), ("aria",), ("nobody",)], "asked string")
     return readers.with_preset(asked, "asked").select("asked", "preset", F.regexp_extract("label", r"(\w+)$", 1).alias("label"))
 
 
-@query("""
+@golden("""
     SELECT * FROM (VALUES (1::BIGINT, 'big'), (2::BIGINT, 'small'), (3::BIGINT, NULL), (4::BIGINT, 'small')) t(id, preference)""")
 def stored_preference(spark, d):
     rows = spark.createDataFrame([(1, "big", "small"), (2, None, "small"), (3, "huge", None), (4, "huge", "small")], "id long, local string, shared string")

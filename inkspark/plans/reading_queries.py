@@ -9,7 +9,7 @@ from inkspark.functions import timing as M
 from inkspark.operators import navigation as N
 from inkspark.operators import packing as P
 
-from .registry import micros, query, table
+from .registry import golden, micros, query, table
 from .text_queries import CHUNKS
 
 #: DuckDB: the words of documents with their weights.
@@ -62,14 +62,14 @@ def word_at_time(spark, d):
     return N.word_at(times, words).select(F.col("clip").alias("doc_id"), F.floor(F.col("t") * 1000 + 0.5).cast("long").alias("t_ms"), "word")
 
 
-@query(f"WITH {_WEIGHTS} SELECT doc_id, idx, word, weight FROM weights WHERE word <> ''")
+@golden(f"WITH {_WEIGHTS} SELECT doc_id, idx, word, weight FROM weights WHERE word <> ''")
 def word_weights_whole(spark, d):
     """word_weights under its former name."""
     rows = _words(spark, d).select("doc_id", F.posexplode("words").alias("idx", "word"))
     return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "word", M.word_weight(F.col("word")).alias("weight"))
 
 
-@query(f"""WITH {_WEIGHTS} SELECT doc_id, idx, floor(10.0::DOUBLE * (upto - weight) / total * 1000 + 0.5)::BIGINT AS start_ms, floor(10.0::DOUBLE * upto / total * 1000 + 0.5)::BIGINT AS end_ms
+@golden(f"""WITH {_WEIGHTS} SELECT doc_id, idx, floor(10.0::DOUBLE * (upto - weight) / total * 1000 + 0.5)::BIGINT AS start_ms, floor(10.0::DOUBLE * upto / total * 1000 + 0.5)::BIGINT AS end_ms
     FROM times WHERE word <> ''""")
 def word_timings_whole(spark, d):
     """word_timings by prefix sums of exploded words."""
@@ -77,7 +77,7 @@ def word_timings_whole(spark, d):
     return _whole_times(spark, d).select("doc_id", "idx", ms(F.col("start")).alias("start_ms"), ms(F.col("end")).alias("end_ms"))
 
 
-@query(f"""WITH {_WEIGHTS}, asked AS (SELECT doc_id, unnest([-1.0, 0.0, 2.5, 4.123, 9.99, 30.0])::DOUBLE AS t FROM documents)
+@golden(f"""WITH {_WEIGHTS}, asked AS (SELECT doc_id, unnest([-1.0, 0.0, 2.5, 4.123, 9.99, 30.0])::DOUBLE AS t FROM documents)
     SELECT a.doc_id, floor(t * 1000 + 0.5)::BIGINT AS t_ms, coalesce(max(idx) FILTER (10.0::DOUBLE * (upto - weight) / total <= t), 0)::BIGINT AS word
     FROM asked a JOIN times USING (doc_id) WHERE times.word <> '' GROUP BY a.doc_id, t""")
 def word_at_time_whole(spark, d):
@@ -195,7 +195,7 @@ def _grid(spark):
     return one("bank", [0.0, 1.0, 5.5, 30.0]).join(one("cps", [8.0, 14.0, 20.0])).join(one("ratio", [0.12, 0.65, 1.05]))
 
 
-@query(f"""
+@golden(f"""
     WITH {_GRID} SELECT bank, cps, ratio, greatest(least(260, greatest(44, round(1.5::DOUBLE * cps / ratio))), least(260, round(bank * 0.96::DOUBLE / ratio * cps)))::BIGINT AS pack,
         floor(greatest(400.0::DOUBLE, 1000 * 44 / cps * ratio) * 1000 + 0.5)::BIGINT AS wait_us FROM grid""")
 def pack_limits(spark, d):

@@ -11,6 +11,8 @@ from inkspark.sources.readers import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Cases on written rows, and second forms of queries: run by the tests alone.
+GOLDEN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
 def query(sql: str | None = None):
@@ -23,6 +25,14 @@ def query(sql: str | None = None):
     return register
 
 
+def golden(sql: str | None = None):
+    def register(f):
+        GOLDEN[f.__name__] = (f, sql)
+        return f
+
+    return register
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df) if name == "documents" else df

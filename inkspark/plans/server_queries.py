@@ -11,7 +11,7 @@ from inkspark.sources import readers, sinks
 from inkspark.sources.scratch import scratch
 
 from .library_queries import _documents, _sentences
-from .registry import query, table
+from .registry import golden, query, table
 
 
 @query(r"""
@@ -78,7 +78,7 @@ def chunk_answers(spark, d):
     return L.chunk_answers(packs, "id")
 
 
-@query("""
+@golden("""
     SELECT preset, '{"id":"' || preset || '","label":"' || label || '"}' AS answer
     FROM (VALUES ('aria', 'Aria · warm'), ('river', 'River · calm'), ('sky', 'Sky · bright'), ('emma', 'Emma · storyteller'), ('george', 'George · rich'), ('adam', 'Adam · deep')) t(preset, label)""")
 def voice_answers(spark, d):

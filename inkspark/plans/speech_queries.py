@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkspark.functions import speech, timing
 
-from .registry import query, table
+from .registry import golden, query, table
 
 #: step: (input, expected)
 CASES = {
@@ -39,7 +39,7 @@ def _register(step: str) -> None:
         return rows.select("id", getattr(speech, step)(F.col("input")).alias("spoken"))
 
     run.__name__ = f"speak_{step}" if step != "speakable" else "speakable_cases"
-    query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {_quoted(out)})" for i, (_, out) in enumerate(cases)) + ") t(id, spoken)")(run)
+    golden("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {_quoted(out)})" for i, (_, out) in enumerate(cases)) + ") t(id, spoken)")(run)
 
 
 for _step in CASES:

@@ -128,10 +128,11 @@ def page_title(html: Column) -> Column:
     return F.coalesce(F.nullif(T.collapse(named), F.lit("")), F.nullif(titled, F.lit("")))
 
 
-def from_pages(pages: DataFrame) -> DataFrame:
-    """Web pages as documents: the page's own title, else its URL, cut to 120 characters; the text approximates the main text."""
+def from_pages(pages: DataFrame, main: bool = False) -> DataFrame:
+    """Web pages as documents: the page's own title, else its URL, cut to 120 characters. The text is all that is not tagged as
+    navigation, head or foot, or with ``main`` the main text, told by the page's blocks."""
     title = F.substring(F.coalesce(page_title(F.col("html")), F.col("url")), 1, 120)
-    return pages.withColumn("title", title).withColumn("text", T.article_text(F.col("html")))
+    return pages.withColumn("title", title).withColumn("text", (T.main_text if main else T.article_text)(F.col("html")))
 
 
 def scanned(texts: DataFrame, key: str, least: int = 40) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Each query with SQL gives the same rows as DuckDB; the others give rows."""
+"""Each query and golden case with SQL gives the same rows as DuckDB; the others give rows."""
 
 import glob
 import os
@@ -24,12 +24,16 @@ def plain(rows, columns):
     return sorted(tuple(repr(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+CASES = {n: (f, catalog.ORACLE_SQL.get(n)) for n, f in catalog.QUERIES.items()} | catalog.GOLDEN
+
+
+@pytest.mark.parametrize("name", list(CASES))
 def test_same_rows_as_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, DATA)
+    run, sql = CASES[name]
+    df = run(spark, DATA)
     rows = df.collect()
-    if name in catalog.ORACLE_SQL:
-        found = duck.execute(catalog.ORACLE_SQL[name])
+    if sql is not None:
+        found = duck.execute(sql)
         columns = [c[0] for c in found.description]
         assert sorted(columns) == sorted(df.columns)
         assert plain(rows, df.columns) == plain(found.fetchall(), columns)
