@@ -296,7 +296,7 @@ def test_pipeline(spark, documents):
     texts = {r.doc_id: set(shingle_set(r.text, 5).tolist()) for r in distinct.collect()}
     left = ids(unlike)
     near = [(i, j) for i in texts for j in texts if i < j and min(len(texts[i]), len(texts[j])) >= 0.8 * max(len(texts[i]), len(texts[j]), 1) and len(texts[i] & texts[j]) >= 0.8 * len(texts[i] | texts[j])]
-    assert sum(i not in left or j not in left for i, j in near) >= 0.8 * len(near)  # 64-bit fingerprints part some pairs at 0.8
+    assert sum(i not in left or j not in left for i, j in near) >= 0.9 * len(near)  # 64-bit fingerprints part some pairs at 0.8
     for i in set(texts) - left:
         assert any(len(texts[i] & texts[j]) >= 0.8 * len(texts[i] | texts[j]) for j in left if j < i)
     assert ids(mixed) == left and ids(encoded) == left and mixed.count() == encoded.count() <= 1.6 * len(left)

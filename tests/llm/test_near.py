@@ -92,7 +92,7 @@ def test_drop_near_duplicates_is_verified(spark, edge, empty):
     pairs = [(i, " ".join(f"v{x}" for x in rng.integers(0, 5000, 100))) for i in range(60)]
     pairs += [(100 + i, " ".join("new" if k in (30, 70) else w for k, w in enumerate(t.split()))) for i, t in pairs]
     left = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
-    assert left >= set(range(60)) and len(left) <= 60 + 0.3 * 60
+    assert left >= set(range(60)) and len(left) <= 60 + 0.1 * 60
     # one text held by a third of the rows under many ids, and rows that are equal in every column
     hot = [(i, base[0]) for i in range(400)] + [(7, base[0])] * 5 + [(1000 + i, base[1 + i % 20]) for i in range(40)]
     left = sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(hot, "doc_id long, text string")).collect())
@@ -102,6 +102,31 @@ def test_drop_near_duplicates_is_verified(spark, edge, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_recall_of_near_copies_at_every_length(spark):
+    """Pairs with a five-word Jaccard of 0.80 to 0.87: nine in ten go at least, of texts of 60 to 1,000 words."""
+    rng, rows, pairs = np.random.default_rng(11), [], []
+    for n in (60, 100, 200, 400, 1000):
+        for _ in range(80):
+            words = [f"w{x}" for x in rng.integers(0, 20_000, n)]
+            other = list(words)
+            for at in rng.permutation(n):
+                changed = list(other)
+                changed[at] = f"new{at}"
+                a, b = set(zip(*(words[i:] for i in range(5)))), set(zip(*(changed[i:] for i in range(5))))
+                if len(a & b) / len(a | b) < 0.80:
+                    continue
+                other = changed
+                if len(a & b) / len(a | b) < 0.87:
+                    break
+            pairs.append((n, len(rows)))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    left = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert left >= {i for _, i in pairs}
+    found = {n: sum(i + 1 not in left for m, i in pairs if m == n) / 80 for n, _ in pairs}
+    print(found)
+    assert min(found.values()) >= 0.9
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     linked = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(500, 560)]
