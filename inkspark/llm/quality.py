@@ -18,6 +18,7 @@ sample, every score is that label's share, and with none 0.5. A null or empty te
 
 from __future__ import annotations
 
+import itertools
 import string
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -210,10 +211,15 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     model, own = index(words, shapes)
     shared = spark.sparkContext.broadcast((model, own))
 
-    def add(groups: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [groups[0]], "around": [neighbours(rows.sort_values("id")["text"], *shared.value).astype(np.float32).tobytes()]})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The files have part after part; texts are read one after another and none is kept."""
+        rows = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for part, of_part in itertools.groupby(rows, key=lambda x: x[0]):
+            around = neighbours((t for _, t in of_part), *shared.value).astype(np.float32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([around], pa.binary())], ["part", "around"])
 
-    parts = learning.groupBy("part").applyInPandas(add, "part int, around binary").orderBy("part").collect()  # PARTS matrices
+    parts = learning.select("part", "text").mapInArrow(add, "part int, around binary").collect()  # a matrix of each part, or two where a file is read in two
+    parts.sort(key=lambda r: (r.part, r.around))
     model = finish(model, own, sum((np.frombuffer(r.around, np.float32).reshape(own.shape).astype(np.float64) for r in parts), np.zeros(own.shape)))
     ready = spark.sparkContext.broadcast(model)
 
