@@ -12,6 +12,9 @@ from inkspark.operators.scan import run_numbers
 from .registry import golden, micros, query, table
 from .text_queries import CHUNKS
 
+#: The operator's notices as one pattern, for SQL.
+_NOTICE = "|".join(Y.BOILERPLATE)
+
 _LINES = r"""
     raw AS (SELECT source AS file, doc_id AS page, string_split(text, chr(10)) AS ls FROM documents),
     lines AS (SELECT file, page, generate_subscripts(ls, 1) - 1 AS n, len(ls) AS of, unnest(ls) AS text FROM raw),
@@ -75,7 +78,7 @@ def running_heads(spark, d):
     WITH {_PAGED}, w AS (SELECT *, regexp_extract_all(text, '[^\s\p{{Z}}\x85\x1c-\x1f]+') AS ws FROM signed),
     j AS (SELECT w.*, r.pages IS NOT NULL AS recurs, body FROM w LEFT JOIN running r ON r.doc_id = w.doc_id AND r.signature = w.signature JOIN bodies b ON b.doc_id = w.doc_id)
     SELECT doc_id, page::BIGINT AS page, block::BIGINT AS block, CASE
-        WHEN regexp_matches(text, '(?i)copyright\s*©|all rights reserved|president and fellows of harvard college|this document is authorized for use only|for the exclusive use of|no part of this publication may be reproduced|harvard business (school|publishing|review)|hbsp\.harvard\.edu|to order copies or request permission|developed solely as the basis for class discussion|not intended to serve as endorsements') THEN 'boilerplate'
+        WHEN regexp_matches(text, '(?i){_NOTICE}') THEN 'boilerplate'
         WHEN recurs THEN CASE WHEN top THEN 'header' ELSE 'footer' END
         WHEN (top OR bottom) AND (regexp_matches(text, '(?i)^(page\s*)?[\divxlc]+(\s*(of|/)\s*\d+)?$') OR regexp_matches(text, '^\d-\d{{3}}-\d{{3}}$')) THEN CASE WHEN top THEN 'header' ELSE 'footer' END
         WHEN regexp_matches(regexp_replace(text, '[\s\p{{Z}}\x85\x1c-\x1f]+', '', 'g'), '^\d-\d{{3}}-\d{{3}}') THEN 'header'
@@ -223,7 +226,7 @@ _NOTICES = [(1, "Copyright © 2020 Someone"), (2, "ALL RIGHTS RESERVED."), (3, "
 @query(rf"""
     WITH {_LINES}, own AS (SELECT * FROM (VALUES {", ".join(f"({i}::BIGINT, '{t}')" for i, t in _NOTICES)}) t(id, text)),
     every AS (SELECT -id AS page, 0 AS n, text FROM own UNION ALL SELECT page, n, text FROM lines)
-    SELECT page, n::BIGINT AS n, text FROM every WHERE regexp_matches(text, '(?i)copyright\s*©|all rights reserved|president and fellows of harvard college|this document is authorized for use only|for the exclusive use of|no part of this publication may be reproduced|harvard business (school|publishing|review)|hbsp\.harvard\.edu|to order copies or request permission|developed solely as the basis for class discussion|not intended to serve as endorsements')""")
+    SELECT page, n::BIGINT AS n, text FROM every WHERE regexp_matches(text, '(?i){_NOTICE}')""")
 def boilerplate(spark, d):
     own = spark.createDataFrame(_NOTICES, "id long, text string").select((-F.col("id")).alias("page"), F.lit(0).cast("long").alias("n"), "text")
     return own.unionByName(_lines(spark, d).select("page", F.col("n").cast("long").alias("n"), "text")).where(Y.is_boilerplate(F.col("text")))

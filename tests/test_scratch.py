@@ -3,8 +3,11 @@
 import os
 import subprocess
 import sys
+import types
 
-from inkspark.sources.scratch import scratch
+import pytest
+
+from inkspark.sources.scratch import _root, scratch
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SCRIPT = """
@@ -26,3 +29,11 @@ def test_folder_of_the_setting_is_used_and_removed_after_the_session_stopped(tmp
 
 def test_new_path_each_time(spark):
     assert scratch(spark) != scratch(spark)
+
+
+def test_a_local_warehouse_is_no_shared_folder(spark):
+    """On a cluster without a folder for checkpoints, a warehouse on each machine's own disk is refused."""
+    conf = types.SimpleNamespace(get=lambda key, default=None: default if key == "spark.checkpoint.dir" else "file:/var/warehouse")
+    far = types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master="spark://far:7077", _jvm=spark.sparkContext._jvm, _jsc=spark.sparkContext._jsc))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        _root(far)
