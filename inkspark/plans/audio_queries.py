@@ -9,7 +9,7 @@ from inkspark.operators import long_audio as LA
 from inkspark.sources import readers, sinks
 from inkspark.sources.scratch import scratch
 
-from .registry import golden, micros, query, table
+from .registry import ORACLE_SQL, golden, micros, query, table
 
 RATE = 1000
 #: DuckDB: samples as rows.
@@ -176,3 +176,17 @@ def long_trimmed(spark, d):
     """What is left of clips in many rows from 25 ms before the first sample within 12 dB of the peak to 25 ms after the last."""
     rows = LA.trimmed(_long_rows(spark, d), 24_000, -12.0).groupBy("clip").agg(F.sum(F.size("x")).alias("n"), F.sum(A.total(F.col("x"))).alias("sum"))
     return rows.select("clip", "n", micros(F.col("sum")).alias("sum_us"))
+
+
+@query(f"""
+    WITH s AS ({ORACLE_SQL["silence_spans"]}), x AS (SELECT vec_id, i - 1 AS i, CASE WHEN i - 1 >= vec_id % 20 AND i - 1 < 64 - vec_id % 17 THEN embedding[i]::DOUBLE ELSE 0.0 END AS v FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i)),
+    c AS (SELECT vec_id, greatest(0, start - 20) AS a, least(64, last + 5) AS b, last <= start AS quiet FROM s),
+    g AS (SELECT x.*, quiet, i - a AS k, b - a AS n, least(3, (b - a) // 2) AS ramp FROM x JOIN c USING (vec_id) WHERE quiet OR (i >= a AND i < b))
+    SELECT vec_id, count(*) AS n, floor(sum(v * CASE WHEN quiet THEN 1.0 ELSE CASE WHEN k < ramp THEN k / ramp::DOUBLE ELSE 1.0 END * CASE WHEN n - 1 - k < ramp THEN (n - 1 - k) / ramp::DOUBLE ELSE 1.0 END END) * 1e6 + 0.5)::BIGINT AS sum_us FROM g GROUP BY 1""")
+def ramped_clips(spark, d):
+    """Clips cut to what is not silent, with 20 samples before and 5 after, and ramps of 3 samples."""
+    key = F.col("vec_id")
+    quiet = F.transform("x", lambda v, i: F.when((i >= key % 20) & (i < 64 - key % 17), v).otherwise(0.0))
+    rows = _samples(spark, d).select("vec_id", quiet.alias("x")).withColumn("span", A.silence_span(F.col("x"), F.lit(RATE)))
+    cut = rows.select("vec_id", A.trimmed_with_ramps(F.col("x"), F.col("span"), F.lit(RATE), F.lit(5)).alias("y"))
+    return cut.select("vec_id", F.size("y").cast("long").alias("n"), micros(A.total(F.col("y"))).alias("sum_us"))

@@ -358,3 +358,55 @@ def pattern_hits(spark, d):
     """Documents that hold a whole benchmark item."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("p"))
     return X.hits(table(spark, d, "documents").select("doc_id", "text"), items, "doc_id", "item_id")
+
+
+_ITEMS = """items AS (SELECT l_orderkey AS id, l_linenumber AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey, l_suppkey) AS n, 'w' || l_linenumber AS str,
+        10.0 * l_linenumber - 45 * (l_linenumber // 4) + l_quantity % 3 AS x, 30.0 * (l_linenumber // 4) + 2 * (l_quantity % 4) AS y, 7.0 + l_quantity % 2 AS w, 8.0 + l_quantity % 5 AS h FROM lineitem)"""
+
+
+def _items(spark, d):
+    from pyspark.sql import Window
+
+    li, k, q = table(spark, d, "lineitem"), F.col("l_linenumber"), F.col("l_quantity").cast("double")
+    row = F.floor(k / 4)
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_partkey", "l_suppkey"))
+    return li.select(
+        F.col("l_orderkey").alias("id"), n.alias("n"), F.concat(F.lit("w"), k.cast("string")).alias("str"), (10.0 * k - 45 * row + q % 3).alias("x"), (30.0 * row + 2 * (q % 4)).alias("y"), (7.0 + q % 2).alias("w"),
+        (8.0 + q % 5).alias("h"), (8.0 + q % 5).alias("size"),
+    )
+
+
+@query(f"""
+    WITH RECURSIVE {_ITEMS}, walk(id, n, line, y, low, right_edge) AS (
+        SELECT id, n, 0, y::DOUBLE, (y + h)::DOUBLE, greatest(x, x + w)::DOUBLE FROM items WHERE n = 1
+        UNION ALL
+        SELECT i.id, i.n, CASE WHEN fits THEN line ELSE line + 1 END, CASE WHEN fits THEN least(wy, i.y) ELSE i.y END, CASE WHEN fits THEN greatest(low, i.y + i.h) ELSE i.y + i.h END, CASE WHEN fits THEN greatest(right_edge, i.x + i.w) ELSE i.x + i.w END
+        FROM (SELECT i.*, w.line, w.y AS wy, w.low, w.right_edge, least(w.low, i.y + i.h) - greatest(w.y, i.y) >= 0.4 * least(w.low - w.y, i.h) AND i.x >= w.right_edge - i.h AS fits
+              FROM walk w JOIN items i ON i.id = w.id AND i.n = w.n + 1) i),
+    p AS (SELECT i.*, line, lag(i.x + i.w) OVER o AS before, lag(i.h) OVER o AS size_before FROM items i JOIN walk USING (id, n) WINDOW o AS (PARTITION BY id, line ORDER BY n)),
+    t AS (SELECT id, line, string_agg(CASE WHEN x - before >= 0.12 * least(size_before, h) THEN ' ' ELSE '' END || str, '' ORDER BY n) AS text, min(n) AS first FROM p GROUP BY 1, 2)
+    SELECT p.id, string_agg(p.line::VARCHAR, ',' ORDER BY p.n) AS lines, any_value(t.text) AS text FROM p JOIN t ON t.id = p.id AND t.line = 0 GROUP BY 1""")
+def items_of_orders(spark, d):
+    """Text items of each order's page: the line of each, and the first line's text."""
+    item = F.struct("n", "str", "x", "y", "w", "h", "size")
+    rows = _items(spark, d).groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("items")).withColumn("line_nos", Y.item_lines(F.col("items")))
+    first = F.filter("items", lambda _, i: F.get("line_nos", i) == 0)
+    return rows.select("id", F.array_join(F.transform("line_nos", lambda x: x.cast("string")), ",").alias("lines"), Y.joined_items(first).alias("text"))
+
+
+@query("""
+    WITH m AS (SELECT l_orderkey AS id, l_linenumber AS k, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, l_partkey, l_suppkey) AS copy, 1.0 + l_linenumber % 3 AS s, 6.0 + l_quantity % 7 AS t, l_quantity % 2 AS skew, 5.0 * l_quantity AS u, 600.0 - 3 * l_quantity AS v FROM lineitem),
+    b AS (SELECT id, k, copy, s * u + 10 AS x, 792 - s * v AS base, sqrt((s * skew) * (s * skew) + (s * t) * (s * t)) AS size, 40.0 AS w FROM m)
+    SELECT id, k::BIGINT AS k, copy, floor(x / 612 * 100 * 1e6 + 0.5)::BIGINT AS left_us, floor((base - size * 0.8) / 792 * 100 * 1e6 + 0.5)::BIGINT AS top_us, floor(size / 792 * 100 * 1e6 + 0.5)::BIGINT AS height_us FROM b""")
+def boxes_of_items(spark, d):
+    """Boxes of text items from their matrices, in percent of the page."""
+    from pyspark.sql import Window
+
+    li, k, q = table(spark, d, "lineitem"), F.col("l_linenumber"), F.col("l_quantity").cast("double")
+    copy = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_quantity", "l_partkey", "l_suppkey"))
+    scale, zero = 1.0 + k % 3, F.lit(0.0)
+    viewport = F.array(scale, zero, zero, -scale, F.lit(10.0), F.lit(792.0))
+    rows = li.select(F.col("l_orderkey").alias("id"), k.cast("long").alias("k"), copy.cast("long").alias("copy"), viewport.alias("m"), F.array(6.0 + q % 7, zero, q % 2, 6.0 + q % 7, 5.0 * q, 600.0 - 3 * q).alias("t"))
+    rows = rows.withColumn("b", Y.item_box(F.col("m"), F.col("t"), F.lit(40.0), F.lit(0.0)))
+    at = Y.place(F.col("b.x"), F.col("b.y"), F.col("b.w"), F.col("b.h"), F.lit(612.0), F.lit(792.0))
+    return rows.withColumn("at", at).select("id", "k", "copy", micros(F.col("at.left")).alias("left_us"), micros(F.col("at.top")).alias("top_us"), micros(F.col("at.height")).alias("height_us"))

@@ -239,3 +239,26 @@ def stored_changes(spark, d):
     puts = puts.unionByName(orders.where("doc_id % 101 = 0").select("doc_id", F.lit(99).cast("long").alias("sent_id"), F.lit(1).cast("long").alias("size")))
     stored.change(spark, folder, puts, orders.where("doc_id % 89 = 0"))
     return stored.read(spark, folder).withColumn("of", F.lit("now")).unionByName(stored.read(spark, folder, 0).withColumn("of", F.lit("before")))
+
+
+@query(r"""
+    WITH w AS (SELECT conv_id, turn, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM (SELECT conv_id, turn, string_split(trim(regexp_replace(text, '[\s\p{Z}\x85\x1c-\x1f]+', ' ', 'g')), ' ') AS ws FROM conversations)),
+    o AS (SELECT *, sum(length(word) + 1) OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS e FROM w)
+    SELECT conv_id, turn, '[' || string_agg('[' || to_json(word)::VARCHAR || ',' || (e - length(word)) || ',' || e || ']', ',' ORDER BY i) || ']' AS words, string_agg(word, '|' ORDER BY i) AS decoded
+    FROM o WHERE word <> '' GROUP BY 1, 2""")
+def stored_turns(spark, d):
+    """Words of turns as the JSON that is stored, and read back from it."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", T.tokenize(T.collapse(F.col("text"))).alias("words")).where(F.size("words") > 0)
+    stored_rows = L.encode_sentences(rows)
+    return stored_rows.select("conv_id", "turn", "words", F.array_join(F.transform(L.decode_words(F.col("words")), lambda w: w.text), "|").alias("decoded"))
+
+
+@query("""
+    WITH p(preset, speed) AS (VALUES ('adam', 95::BIGINT), ('aria', 93), ('emma', 93), ('george', 95), ('river', 91), ('sky', 100)),
+    asked AS (SELECT c_custkey AS id, (['adam', 'aria', 'emma', 'george', 'river', 'sky', 'nobody', NULL])[(c_custkey % 8 + 1)::INT] AS asked FROM customer)
+    SELECT id, asked, p.preset, speed AS speed_percent FROM asked JOIN p ON p.preset = CASE WHEN asked IN (SELECT preset FROM p) THEN asked ELSE 'aria' END""")
+def customers_presets(spark, d):
+    """The voice that each customer asks for, and the usual one for a name that is none."""
+    names = F.array(*[F.lit(n).cast("string") for n in ("adam", "aria", "emma", "george", "river", "sky", "nobody", None)])
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.get(names, (F.col("c_custkey") % 8).cast("int")).alias("asked"))
+    return readers.with_preset(asked, "asked").select("id", "asked", "preset", F.round(F.col("base_speed") * 100).cast("long").alias("speed_percent"))
