@@ -228,19 +228,19 @@ def line_bands(boxes: Column) -> Column:
     """Boxes (page, x, y, w, h) in order to bands, one for each visual line: a box joins the band before it if it is on the
     same page and its y differs by at most 0.6 of the band's height, which grows. Boxes without area are skipped."""
     band = "struct<page:int,x:double,y:double,w:double,h:double>"
-    start = F.struct(F.array().cast(f"array<{band}>").alias("done"), F.lit(None).cast(band).alias("cur"))
+    none = F.lit(None).cast(band)
 
-    def add(acc: Column, b: Column) -> Column:
+    def step(acc: Column, b: Column) -> Column:
         cur = acc["cur"]
         joins = F.coalesce((cur.page == b.page) & (F.abs(b.y - cur.y) <= cur.h * 0.6), F.lit(False))
         x, y = F.least(cur.x, b.x), F.least(cur.y, b.y)
         hull = F.struct(cur.page.alias("page"), x.alias("x"), y.alias("y"), (F.greatest(cur.x + cur.w, b.x + b.w) - x).alias("w"), (F.greatest(cur.y + cur.h, b.y + b.h) - y).alias("h"))
-        fresh = F.struct(b.page.alias("page"), b.x.alias("x"), b.y.alias("y"), b.w.alias("w"), b.h.alias("h"))
-        done = F.when(joins | cur.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], cur))
-        return F.struct(done.alias("done"), F.when(joins, hull).otherwise(fresh).cast(band).alias("cur"))
+        return F.struct(F.when(joins, hull).otherwise(b).cast(band).alias("cur"), F.when(~joins, cur).alias("done"))
 
-    valid = F.filter(boxes, lambda b: (b.w > 0) & (b.h > 0))
-    return F.aggregate(valid, start, add, lambda acc: F.when(acc["cur"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["cur"])))
+    valid = F.transform(F.filter(boxes, lambda b: (b.w > 0) & (b.h > 0)), lambda b: F.struct(b.page.alias("page"), b.x.alias("x"), b.y.alias("y"), b.w.alias("w"), b.h.alias("h")).cast(band))
+    # nothing behind the last box ends the last band
+    done = running(F.concat(valid, F.array(none)), F.struct(none.alias("cur"), none.alias("done")), step, lambda acc: acc["done"], band)
+    return F.when(boxes.isNotNull(), F.filter(done, lambda x: x.isNotNull()))
 
 
 def place(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
@@ -260,20 +260,19 @@ def item_box(viewport: Column, transform: Column, width: Column, item_height: Co
 def item_lines(items: Column) -> Column:
     """For each item (x, y, w, h, size) in order the number of its line: it joins the line it overlaps by 40 % of the lower
     height, unless it begins more than its size left of the line's right edge. The line's box grows."""
-    state = "struct<out:array<int>,line:int,y:double,h:double,right:double>"
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(-1).alias("line"), F.lit(0.0).alias("y"), F.lit(0.0).alias("h"), F.lit(0.0).alias("right")).cast(state)
+    state = "struct<line:int,y:double,h:double,right:double>"
+    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("y"), F.lit(0.0).alias("h"), F.lit(0.0).alias("right")).cast(state)
 
-    def add(acc: Column, it: Column) -> Column:
+    def step(acc: Column, it: Column) -> Column:
         y, h, right = acc["y"], acc["h"], acc["right"]
         overlap = F.least(y + h, it.y + it.h) - F.greatest(y, it.y)
         fits = (acc["line"] >= 0) & (overlap >= 0.4 * F.least(h, it.h)) & (it.x >= right - it["size"])
-        line = F.when(fits, acc["line"]).otherwise(acc["line"] + 1)
         top = F.when(fits, F.least(y, it.y)).otherwise(it.y)
         low = F.when(fits, F.greatest(y + h, it.y + it.h)).otherwise(it.y + it.h)
         far = F.when(fits, F.greatest(right, it.x + it.w)).otherwise(F.greatest(it.x, it.x + it.w))
-        return F.struct(F.array_append(acc["out"], line).alias("out"), line.alias("line"), top.alias("y"), (low - top).alias("h"), far.alias("right")).cast(state)
+        return F.struct((acc["line"] + (~fits).cast("int")).alias("line"), top.alias("y"), (low - top).alias("h"), far.alias("right")).cast(state)
 
-    return F.aggregate(items, start, add, lambda acc: acc["out"])
+    return running(items, start, step, lambda acc: acc["line"], "int")
 
 
 def joined_items(items: Column) -> Column:
@@ -316,15 +315,18 @@ def item_words(items: Column, wide: str = WIDE, narrow: str = NARROW) -> Column:
         (t.start > 0).alias("before"), ((t.end == F.length(it.str)) & ~it.str.rlike(r"\s$")).alias("glued"),
     ))
     pieces = F.flatten(F.transform(items, piece_of))
-    start = F.struct(F.array().cast(f"array<{word}>").alias("done"), F.lit(None).cast(word).alias("cur"), F.lit(0.0).alias("right"), F.lit(0.0).alias("size"), F.lit(False).alias("glued"))
+    piece = "struct<text:string,x:double,w:double,y:double,h:double,size:double,before:boolean,glued:boolean>"
+    none = F.lit(None).cast(word)
+    start = F.struct(none.alias("cur"), F.lit(0.0).alias("right"), F.lit(0.0).alias("size"), F.lit(False).alias("glued"), none.alias("done"))
 
-    def add(acc: Column, p: Column) -> Column:
+    def step(acc: Column, p: Column) -> Column:
         cur = acc["cur"]
         joins = F.coalesce(cur.isNotNull() & acc["glued"] & ~p.before & (p.x - acc["right"] < 0.12 * F.least(acc["size"], p["size"])), F.lit(False))
         y = F.least(cur.y, p.y)
         grown = F.struct(F.concat(cur.text, p.text).alias("text"), cur.x.alias("x"), y.alias("y"), F.greatest(cur.w, p.x + p.w - cur.x).alias("w"), (F.greatest(cur.y + cur.h, p.y + p.h) - y).alias("h"))
         fresh = F.struct(p.text.alias("text"), p.x.alias("x"), p.y.alias("y"), p.w.alias("w"), p.h.alias("h"))
-        done = F.when(joins | cur.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], cur))
-        return F.struct(done.alias("done"), F.when(joins, grown).otherwise(fresh).cast(word).alias("cur"), (p.x + p.w).alias("right"), p["size"].alias("size"), p.glued.alias("glued"))
+        return F.struct(F.when(joins, grown).otherwise(fresh).cast(word).alias("cur"), (p.x + p.w).alias("right"), p["size"].alias("size"), p.glued.alias("glued"), F.when(~joins, cur).alias("done"))
 
-    return F.aggregate(pieces, start, add, lambda acc: F.when(acc["cur"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["cur"])))
+    # nothing behind the last piece ends the last word
+    done = running(F.concat(F.transform(pieces, lambda p: p.cast(piece)), F.array(F.lit(None).cast(piece))), start, step, lambda acc: acc["done"], word)
+    return F.filter(done, lambda w: w.isNotNull())
