@@ -12,7 +12,7 @@ A text in which some neighbours share no boundary (such as a run of letters long
 again from the bytes of its chunks' ids and encoded whole, so results are exact for every text. Decoding concatenates the
 tokens' raw bytes.
 
-A null text counts as empty and gives no ids. Repeated rows each give a row.
+A null text counts as empty and gives no ids. Repeated rows each give a row. An empty table gives none. Only the named columns are read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ permutation while they fit. So a source needs two cut keys, and whether a docume
 decided on the map side from its id alone. No text is shuffled, and the permutation of the hot source is never
 sorted in one task: windows see one row for each block, and the documents of one block in 4,096.
 
-A null source is a source of its own. Repeated rows with the same id are taken or left together.
+A null source is a source of its own. Repeated rows with the same id are taken or left together. An empty table gives no rows. Columns keep
+their values and names in mix_documents(), whatever they are called; elsewhere only the named ones are read.
 """
 
 from __future__ import annotations

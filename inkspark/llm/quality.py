@@ -14,6 +14,8 @@ matrix of at most that many rows from each of PARTS tasks, and a vector of each
 whose crc32(id as text) mod 4 is 2 are held out, and those with 3 calibrate. Labels that are null or not 0 or 1 are left
 out; of several labels of an id the least counts, and of several texts the one with the largest hash. With one label value in the
 sample, every score is that label's share, and with none 0.5. A null or empty text has one word with an empty name.
+Repeated rows each give a score; an empty table gives no rows and a model without labels. Only the named columns are read;
+keep_good() keeps all, whatever they are called.
 """
 
 from __future__ import annotations

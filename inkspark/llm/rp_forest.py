@@ -16,6 +16,7 @@ results are as many rows as vectors in cells, and no pair is ever shuffled. Foun
 
 Vectors that are null, zero, or have null or non-finite components link with nothing; nor do vectors of different lengths.
 A null id counts in others' links; its component is named by the others' ids, or null where there are none, and then it is kept.
+Repeated rows are copies, each with a row; an empty table gives none. Only the named columns are read.
 """
 
 from __future__ import annotations

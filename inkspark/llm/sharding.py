@@ -7,6 +7,9 @@ the law forbids it. Keys are mixed by XXH64 first, so dense ids spread well; a n
 
 Slots number the rows of each shard without gaps from 0. They come from counts of 256 hash buckets in each shard,
 so no task sorts a whole shard.
+
+Repeated rows have slots of their own; an empty table gives no rows. Only the named columns are read, but for
+write_shards(), which renames its own column where it clashes.
 """
 
 from __future__ import annotations

@@ -10,6 +10,9 @@ each segment and each of its bits a key is made of the segment without that bit;
 is split again by the same rule over the bits that the key leaves open, level by level, until the keys hold so many
 bits that a run is small by construction. Runs give the links of a spanning forest instead of all pairs, and lose no
 connection. Copies are one fingerprint and never paired.
+
+Repeated rows each give a row, an empty table none. Only the named columns are read; drop_near_duplicates() keeps all,
+whatever they are called.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ therefore cut before each run of spaces into pre-tokens whose token counts add u
 * Tier 2: misses go through a bounded cache in each Python worker; what it lacks is encoded by the library.
 
 Pre-tokens are never shuffled; only the bounded summaries are. The table decides speed alone, never a count. A null
-text counts as empty: 0 bytes, 0 tokens. Very long texts are cut like others.
+text counts as empty: 0 bytes, 0 tokens. Very long texts are cut like others. Repeated rows each give
+a row, an empty table none; only the named columns are read.
 """
 
 from __future__ import annotations

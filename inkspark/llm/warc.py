@@ -11,6 +11,8 @@ attempts that counted; so lost executors leave no half archive behind that a rea
 Reading: each archive is streamed in blocks, its members decompressed piece by piece, records framed by their
 Content-Length, and block and payload digests verified. Memory is bounded by a block, whatever a record's size,
 unless payloads are asked for. A wrong digest, length or a cut file raises ValueError with the archive's name.
+
+Repeated rows each give a record, an empty table no archive and no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
