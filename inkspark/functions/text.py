@@ -31,7 +31,7 @@ def blocks(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """The sentences of each paragraph, in order."""
-    parts = F.flatten(F.transform(blocks(text), lambda b: F.transform(F.split(b, SENTENCE_GAP), F.trim)))
+    parts = F.flatten(F.transform(blocks(text), lambda b: F.transform(F.split(b, SENTENCE_GAP), lambda s: F.trim(s))))  # as a function of two, F.trim would be given the place as well
     return F.filter(parts, lambda s: s != "")
 
 

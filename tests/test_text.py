@@ -23,6 +23,13 @@ def test_sentences_split_at_ends(spark):
     assert rows[1] == ["See approx. five of e.g. these"]
 
 
+def test_numbers_at_ends_of_sentences_stay(spark):
+    said = [f"{i}{i} is the number{i}." for i in range(12)]
+    df = spark.createDataFrame([(" ".join(said),), ("Under one. 19.37.233.111",)], "t string")
+    rows = [r.s for r in df.select(T.sentences(F.col("t")).alias("s")).collect()]
+    assert rows == [said, ["Under one.", "19.37.233.111"]]
+
+
 def test_long_sentences_are_cut(spark):
     long = ", ".join(f"clause number {i} goes on for a while" for i in range(20)) + "."
     token = "x" * 1200
