@@ -14,9 +14,11 @@ from inkspark.sources.scratch import hadoop_path, scratch
 
 
 def events(spark: SparkSession, folder: str, name: str = "events.parquet", ts: str | None = "ts") -> DataFrame:
-    """A stream of the rows of a file of ``folder``, with event time ``ts``."""
+    """A stream of the rows of a table of ``folder``, one file or a folder of files, with event time ``ts``."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    path, where = hadoop_path(spark, f"{folder}/{name}")
+    reader = spark.readStream.schema(schema)
+    stream = reader.parquet(f"{folder}/{name}") if where.getFileStatus(path).isDirectory() else reader.option("pathGlobFilter", name).parquet(folder)
     return stream.withColumn(ts, F.col(ts).cast("timestamp")) if ts else stream
 
 

@@ -15,6 +15,12 @@ def test_rows_are_read_from_files(spark, query):
     assert query(spark, "/root/testdata/sf0.001").inputFiles()
 
 
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
+    spark.createDataFrame([(c, t, "a b") for c in range(3) for t in range(4)], "conv_id long, turn long, text string").repartition(2).write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = S.stream_in_turn(spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.turn, r.delivered_s) for r in rows) == [(c, t, 1 + max((c * 37 + u * 61) % 101 for u in range(t + 1))) for c in range(3) for t in range(4)]
+
+
 @pytest.mark.parametrize("mode", ["complete", "append", "update"])
 def test_several_batches(spark, tmp_path, mode):
     folder = str(tmp_path / "in")
