@@ -13,8 +13,9 @@ at least ``least_similarity``. Beside a window's best family, any other counts t
 by word pairs which the best one's templates lack: so two licences in one window are both found. Neighbouring windows of a
 line with one family are one finding.
 
-A null or empty text has no paragraph and no finding. A window without any gate word has no feature, so it is unknown by
-the classifier's bias alone and is not looked at further. An empty corpus gives a model of the templates alone. Repeated
+A null or empty text has no paragraph and no finding. A window is not looked at further where no family can be likelier than
+unknown: with each of its features counted for the family that it speaks most for, which is at least what any one family
+has. So nothing is left out, however common its words are in the corpus; gates only choose single words as features. An empty corpus gives a model of the templates alone. Repeated
 and null ids, and columns with any names, play no part.
 """
 
@@ -251,7 +252,7 @@ class Template:
 @dataclass
 class Model:
     families: list[str]
-    gates: frozenset[str]  #: words without which a window has no feature
+    gates: frozenset[str]  #: templates' words that are features by themselves
     features: dict[str, int]
     weight: np.ndarray
     bias: np.ndarray
@@ -259,6 +260,29 @@ class Model:
     templates: dict[str, list[Template]]  #: of families, and under UNKNOWN of other licences
     worth: dict[str, float]  #: one over the number of licences whose wording has a unit
 
+    def __post_init__(self) -> None:
+        """``gains``: by number of words, what a feature adds at most to any family over unknown; features for none are left out.
+        ``need``: what the features of a window that is not unknown add at least. ``pairs``: the first two words of gains."""
+        self.gains: tuple[dict, ...] = ({}, {}, {})
+        if UNKNOWN in self.families:
+            unknown = self.families.index(UNKNOWN)
+            over = np.delete(self.weight - self.weight[:, [unknown]], unknown, 1).max(1, initial=0)
+            for gram, i in self.features.items():
+                words = tuple(gram.split(" "))
+                if over[i] > 0:
+                    self.gains[len(words) - 1][words if len(words) > 1 else gram] = float(over[i])
+            self.need = float(self.bias[unknown] - np.delete(self.bias, unknown).max()) - 1e-3  # room for rounding
+        self.pairs = frozenset(self.gains[1]) | {g[:2] for g in self.gains[2]}
+
+    def may_tell(self, words: list[str]) -> bool:
+        """False only if unknown is likelier than any family in each window of these words."""
+        one, two, three = self.gains
+        most = 0.0 if one.keys().isdisjoint(words) else sum(one.get(w, 0.0) for w in words)
+        for i, pair in enumerate(zip(words, words[1:])):
+            if pair in self.pairs:
+                most += two.get(pair, 0.0) + three.get((*pair, *words[i + 2 : i + 3]), 0.0)
+        return most >= self.need
+
     def probabilities(self, grams: set[str]) -> np.ndarray:
         at = [self.features[g] for g in grams if g in self.features]
         z = (self.bias + self.weight[at].sum(0)) / self.temperature
@@ -289,12 +313,11 @@ class Model:
         text = text or ""
         count = sum(1 for line in text.split("\n") if line and not line.isspace())
         found: list[tuple] = []
-        if self.gates.isdisjoint(words_of(text)):
-            return count, found
         at = number = 0
         for line in text.split("\n"):
             if line and not line.isspace():
-                if not self.gates.isdisjoint(words_of(line)):
+                words = words_of(line)
+                if "spdx-license-identifier" in words or self.may_tell(words):
                     found += [(number, at + f[0], at + f[1], *f[2:]) for f in self._of_line(line, least_probability, least_similarity)]
                 number += 1
             at += len(line) + 1
@@ -312,7 +335,7 @@ class Model:
         found: list[tuple] = []
         for first, part in windows_of(spans):
             words = [w for *_, w in part]
-            if self.gates.isdisjoint(words):
+            if len(part) < len(spans) and not self.may_tell(words):
                 continue
             # a line's ends belong to its first and last window
             start, end = 0 if not first else part[0][0], len(line) if first + len(part) == len(spans) else part[-1][1]

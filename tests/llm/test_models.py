@@ -158,6 +158,25 @@ def test_a_common_licence_word_keeps_its_template():
     assert all(not gates.isdisjoint(t) for ts in templates.values() for t in ts)
 
 
+def test_common_words_of_licences_drop_no_window():
+    """Where the corpus has a template's words in ordinary text, a notice without its rarest words is found still."""
+    templates = {f: [licences.words_of(t) for t in ts] for f, ts in licences.TEMPLATES.items()}
+    seen = {"": 1000} | {w: 900 for ts in templates.values() for t in ts for w in t} | {"redistributions": 500, "identifier": 500}
+    ordinary = [[f"w{i * 7 + j}" for j in range(20)] for i in range(200)]
+    m = licences.train(templates, seen, ordinary, np.random.default_rng(9))
+    cut = {"BSD": licences.TEMPLATES["BSD"][3], "MIT": licences.TEMPLATES["MIT"][2], "Apache-2.0": licences.TEMPLATES["Apache-2.0"][1]}
+    for family, text in cut.items():
+        text = " ".join(w for w in text.split() if m.gates.isdisjoint(licences.words_of(w)))
+        assert [f[3] for f in m.findings(text, 0.5, 0.5)[1]] == [family]
+    # what is passed over has no finding: windows of all kinds, looked at and not
+    rng = np.random.default_rng(1)
+    words = sorted({w for ts in templates.values() for t in ts for w in t})
+    for n in range(300):
+        t = [*(ordinary[n % 200]), *map(str, rng.choice(words, n % 9)), *(templates["MIT"][2][n % 30 : n % 30 + n % 11])]
+        if not m.may_tell(t):
+            assert m.families[int(m.probabilities(licences._grams(t)).argmax())] == licences.UNKNOWN
+
+
 #: Notices in other words than the templates', by family; None: ordinary text that uses words of licences.
 HELD_OUT = [
     ("MIT", "This project is available under the MIT license; see LICENSE for details."), ("MIT", "Copyright 2021 A. Person. Licensed under MIT License."), ("MIT", "permission is granted, free of charge, to any person who obtains a copy of this software and its associated documentation files, to deal in the software without restriction"),
