@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +14,19 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def prefix_sums(values: Column) -> Column:
+    """For each of an array of whole numbers the sum up to and with it; all arrays of a batch at once."""
+
+    def sums(lists: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        ends = np.cumsum(sizes)
+        upto = np.concatenate([[0], np.cumsum(lists.flatten().to_numpy())]).astype(np.int64)
+        offsets = np.concatenate([[0], ends]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(upto[1:] - np.repeat(upto[ends - sizes], sizes)), mask=lists.is_null())
+
+    return F.arrow_udf(sums, "array<bigint>")(values.cast("array<bigint>"))
+
+
 #: Values that a running fold takes at a time. What a fold appends to is copied at each step, so it must stay short.
 BLOCK = 128
 

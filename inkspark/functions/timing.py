@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import let, running
+from .core import let, prefix_sums, running
 
 # Pause weight of punctuation.
 PAUSES = {",": 3, ";": 4, ":": 4, ".": 6, "!": 6, "?": 6, "—": 4}
@@ -21,6 +21,24 @@ def word_weight(word: Column) -> Column:
     return weight.cast("long")
 
 
+def weights_of(text: Column) -> Column:
+    """word_weight() of each word of a text in which single spaces separate words (see text.collapse()), in a few passes over the
+    text as a whole: what has no weight goes, a mark becomes as many letters as it weighs, and what is left of a word is counted."""
+    bare = F.regexp_replace(text, rf"[^\p{{L}}\p{{N}} {''.join(PAUSES)}]+", "")
+    for mark, pause in PAUSES.items():
+        bare = F.replace(bare, F.lit(mark), F.lit("x" * pause))
+    weights = F.transform(F.split(bare, " "), lambda w: (F.length(w) + WORD_FLOOR).cast("long"))
+    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(weights)
+
+
+def timed_words(rows: DataFrame, key: str, duration: Column) -> DataFrame:
+    """As exploded_timings(), where a text's weights are in one row: without a shuffle."""
+    summed = rows.select(key, "weights", prefix_sums(F.col("weights")).alias("upto"))
+    each = summed.select(key, F.element_at("upto", -1).alias("total"), F.posexplode(F.arrays_zip("weights", "upto")).alias("idx", "w"))
+    end = F.when(F.col("w.upto") == F.col("total"), duration).otherwise(duration * F.col("w.upto") / F.col("total"))
+    return each.select(key, F.col("idx").cast("long").alias("idx"), (duration * (F.col("w.upto") - F.col("w.weights")) / F.col("total")).alias("start"), end.alias("end"))
+
+
 def word_timings(words: Column, duration: Column) -> Column:
     """Start and end of each word: the duration dealt out by weight, in order; the last end is the duration itself."""
 

@@ -40,6 +40,14 @@ def word_at(times: DataFrame, words: DataFrame, rows: int = ROWS) -> DataFrame:
     return found.where("is_query = 1").select("clip", "t", F.coalesce("word", F.lit(0)).alias("word"))
 
 
+def words_at(words: DataFrame, times: tuple[float, ...]) -> DataFrame:
+    """As word_at(), where each clip is asked for the same few times: words (clip, idx, start, in order) are never sorted, and tasks
+    reduce them before they are shuffled."""
+    begun = [F.coalesce(F.max(F.when(F.col("start") <= t, F.col("idx"))), F.lit(0)).cast("long") for t in times]
+    found = words.groupBy("clip").agg(F.array(*[F.struct(F.lit(t).alias("t"), w.alias("word")) for t, w in zip(times, begun)]).alias("found"))
+    return found.select("clip", F.inline("found"))
+
+
 def scrub(sentences: DataFrame, fraction: Column, rows: int = ROWS) -> DataFrame:
     """The readable sentence at a fraction of each document."""
     ranked = readable_ids(sentences, rows=rows)

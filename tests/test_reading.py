@@ -9,6 +9,29 @@ def weight(word):
     return 2 + len(re.findall(r"[^\W_]", word)) + sum({",": 3, ";": 4, ":": 4, ".": 6, "!": 6, "?": 6, "—": 4}.get(c, 0) for c in word)
 
 
+def test_weights_and_times_without_a_shuffle(spark, tmp_path):
+    """Odd words and texts: words without a letter, ideographs beyond 16 bits, empty and null texts; no query shuffles words."""
+    texts = {1: "a, -- b; \"q\" (c).\n\n\u2014 \ud840\udc00x d:e!?".encode("utf-16", "surrogatepass").decode("utf-16"), 2: " \t ", 3: "", 4: None, 5: "' \"", 6: "x" * 70000 + " y" * 3000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    words = {i: (t or "").split() for i, t in texts.items()}
+    got = sorted(tuple(r) for r in R.word_weights(spark, str(tmp_path)).collect())
+    assert got == [(i, k, w, weight(w)) for i, ws in words.items() for k, w in enumerate(ws)]
+    starts, want = {}, []
+    for i, ws in words.items():
+        at, total = 0, sum(map(weight, ws))
+        starts[i] = []
+        for k, w in enumerate(ws):
+            starts[i].append(10.0 * at / total)
+            want.append((i, k, int(10.0 * at / total * 1000 + 0.5), int(10.0 * (at + weight(w)) / total * 1000 + 0.5)))
+            at += weight(w)
+    assert sorted(tuple(r) for r in R.word_timings(spark, str(tmp_path)).collect()) == want
+    times = (-1.0, 0.0, 2.5, 4.123, 9.99, 30.0)
+    assert sorted(tuple(r) for r in R.word_at_time(spark, str(tmp_path)).collect()) == sorted((i, int(t * 1000 + 0.5) if t >= 0 else -1000, max(sum(s <= t for s in ss) - 1, 0)) for i, ss in starts.items() if ss for t in times)
+    for query in (R.word_weights, R.word_timings, R.word_at_time):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(x in plan for x in ("Window", "Join", "Sort")), query
+
+
 def test_words_after_the_200th_character(spark, tmp_path):
     texts = {1: "one, two. " * 90, 2: "short", 3: "", 4: "x" * 199 + " after the cut; and more words"}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
