@@ -47,17 +47,17 @@ class InOrder(StatefulProcessor):
         return memo, []
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        for r in rows:
-            self.waiting.appendValue((r.ts_us, r.seq, r.kind))
-        return self._advance(key, timerValues)
+        return self._advance(key, timerValues, [(r.ts_us, r.seq, r.kind) for r in rows])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        return self._advance(key, timerValues)
+        return self._advance(key, timerValues, [])
 
-    def _advance(self, key: Any, timer_values: Any) -> Iterator[Row]:
+    def _advance(self, key: Any, timer_values: Any, new: list[tuple]) -> Iterator[Row]:
+        """The state of a key is read and written once for all its rows of a batch."""
         upto = max(timer_values.getCurrentWatermarkInMs(), 0) * 1000  # all rows before this are there
-        rows = sorted(tuple(x) for x in self.waiting.get())
-        memo = tuple(self.memo.get()) if self.memo.exists() else self.MEMO[1]
+        rows = sorted([*(tuple(x) for x in self.waiting.get()), *new])
+        had = self.memo.get()
+        memo = self.MEMO[1] if had is None else tuple(had)
         out: list[tuple] = []
         done = 0
         for ts_us, seq, kind in rows:
@@ -70,11 +70,17 @@ class InOrder(StatefulProcessor):
         memo, late = self.overdue(memo, upto)
         out += late
         rest = rows[done:]
-        if done or not rows:
+        if done and len(rows) > len(new):
             self.waiting.put(rest) if rest else self.waiting.clear()
-        self.memo.update(memo) if memo != self.MEMO[1] else self.memo.clear()
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
+        elif new and rest:
+            self.waiting.appendList(rest if done else new)
+        if memo != self.MEMO[1]:
+            self.memo.update(memo)
+        elif had is not None:
+            self.memo.clear()
+        if had is not None or len(rows) > len(new):  # else the key is new, and has no timer
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
         nexts = [t for t in (rest[0][0] if rest else None, self.due(memo)) if t is not None]
         if nexts:
             self.handle.registerTimer(min(nexts) // 1000 + 1)

@@ -1,8 +1,10 @@
 """Streaming queries leave their rows in files, not on the driver."""
 
 import datetime
+from unittest import mock
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from inkspark.plans import stream_queries as S
@@ -85,6 +87,19 @@ def test_queues_go_on_after_a_restart(spark, tmp_path, processor, out, rows, wan
     assert sorted(got) == want
 
 
+def test_a_keys_rows_of_a_batch_are_one_call_of_the_state():
+    """Each call of the state is a round trip between processes: they do not grow with a key's rows."""
+    calls = mock.MagicMock()
+    calls.getListState.return_value.get.return_value, calls.getValueState.return_value.get.return_value, calls.listTimers.return_value = [], None, []
+    made, clock = Q.Shared(10), mock.Mock()
+    made.columns, clock.getCurrentWatermarkInMs.return_value = ("k", "seq", "job"), 0
+    made.init(calls)
+    rows = [Row(ts_us=i * 1000, seq=i, kind="request") for i in range(500)]
+    calls.reset_mock()
+    assert not list(made.handleInputRows((1,), iter(rows), clock)) and len(calls.mock_calls) < 10
+    assert made.waiting.appendList.call_args[0][0] == [(i * 1000, i, "request") for i in range(500)]
+
+
 def test_what_a_key_remembers_is_bounded():
     shared, turn, retired = Q.Shared(10), Q.InTurn(10), Q.Retired(1)
     assert shared.overdue((7, 100), 111)[0] == Q.Shared.MEMO[1] and shared.overdue((7, 100), 110)[0] == (7, 100)
