@@ -71,6 +71,6 @@ def clip_key(spark, d):
 
 @query()
 def speakable_lines(spark, d):
-    """Spoken forms of all lines of documents; a line that recurs is rewritten once."""
+    """Spoken forms of all lines of documents; lines that no step may change are told by one look."""
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return speech.speakable_sentences(lines).select("doc_id", F.col("line").cast("long").alias("line"), "spoken")
