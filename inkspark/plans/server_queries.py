@@ -8,7 +8,7 @@ from inkspark.functions import text as T
 from inkspark.operators import library as L
 from inkspark.operators import navigation as N
 from inkspark.sources import readers, sinks
-from inkspark.sources.scratch import scratch
+from inkspark.sources.scratch import kept, scratch
 
 from .library_queries import _documents, _sentences
 from .registry import golden, query, table
@@ -130,9 +130,9 @@ def stored_library(spark, d):
            'First.' || chr(10) || chr(10) || 'Page ' || page_id || '.' AS docx FROM pages""")
 def container_files(spark, d):
     """E-books and Word files made of pages, written to the shared folder and read back."""
-    folder, pages = scratch(spark), table(spark, d, "pages").select("page_id")
-    sinks.publish(_containers(pages), folder).write.format("noop").mode("overwrite").save()
-    books, notes = readers.read_epub(spark, f"{folder}/*.epub"), readers.read_docx(spark, f"{folder}/*.docx")
+    pages = readers.spread(table(spark, d, "pages").select("page_id"))
+    listed = kept(sinks.publish(_containers(pages), scratch(spark)))
+    books, notes = readers.read_epub(spark, listed.where("path LIKE '%.epub'")), readers.read_docx(spark, listed.where("path LIKE '%.docx'"))
     named = lambda df, text: df.select(F.regexp_extract("title", r"\d+$", 0).cast("long").alias("page_id"), "title", F.col("text").alias(text))
     return named(books, "epub").join(named(notes, "docx").drop("title"), "page_id")
 

@@ -6,11 +6,13 @@ Each gives rows of a document with its title and text; containers are decoded in
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,31 +92,66 @@ def _epub_pages(data: bytes) -> list[str]:
     return [book.read(f"{folder}/{n}" if folder else n).decode("utf-8", "ignore") for n in names]
 
 
-def _decoded(spark: SparkSession, path: str, decode, kind: str) -> DataFrame:
+#: Bytes of files that a task of contents() holds before it gives them on.
+HELD = 1 << 24
+
+
+def contents(spark: SparkSession, files: str | DataFrame) -> DataFrame:
+    """(path, content) of each file of a path or pattern, or of a table with the column path, which may name a file twice. A pattern
+    for names of one folder is one listing of the folder. Files of a table are opened in the tasks that have its rows: the driver
+    has no list of them, however many."""
+    if isinstance(files, DataFrame):
+
+        def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known: dict[str, tuple[fs.FileSystem, str]] = {}
+            for b in batches:
+                paths, data, held = [], [], 0
+                for path in b["path"]:
+                    folder, _, name = path.rpartition("/")
+                    if folder not in known:
+                        known[folder] = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+                    where, top = known[folder]
+                    with where.open_input_stream(f"{top}/{name}", compression=None) as f:
+                        data.append(f.read())
+                    paths.append(path)
+                    held += len(data[-1])
+                    if held >= HELD:
+                        yield pd.DataFrame({"path": paths, "content": data})
+                        paths, data, held = [], [], 0
+                yield pd.DataFrame({"path": paths, "content": data})
+
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return files.select("path").repartition(parts, "path").distinct().mapInPandas(opened, "path string, content binary")
+    folder, _, name = files.rpartition("/")
+    pattern = re.compile(r"[*?\[{]")
+    if folder and pattern.search(name) and not pattern.search(folder):
+        return spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder).select("path", "content")
+    return spark.read.format("binaryFile").load(files).select("path", "content")
+
+
+def _decoded(spark: SparkSession, files: str | DataFrame, decode, kind: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"path": b["path"], "made": [decode(bytes(x)) for x in b["content"]]})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, f"path string, made {kind}")
+    return contents(spark, files).mapInPandas(run, f"path string, made {kind}")
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    rows = _decoded(spark, path, _docx_text, "string")
+def read_docx(spark: SparkSession, files: str | DataFrame) -> DataFrame:
+    rows = _decoded(spark, files, _docx_text, "string")
     return rows.select("path", T.title_of(F.col("path")).alias("title"), F.col("made").alias("text"))
 
 
-def read_epub(spark: SparkSession, path: str) -> DataFrame:
+def read_epub(spark: SparkSession, files: str | DataFrame) -> DataFrame:
     """Tags of each item become spaces; empty items go; the others are joined by blank lines."""
-    rows = _decoded(spark, path, _epub_pages, "array<string>")
+    rows = _decoded(spark, files, _epub_pages, "array<string>")
     items = F.filter(F.transform("made", T.strip_tags), lambda t: t != "")
     return rows.select("path", T.title_of(F.col("path")).alias("title"), F.array_join(items, "\n\n").alias("text"))
 
 
-def read_wav_headers(spark: SparkSession, path: str) -> DataFrame:
+def read_wav_headers(spark: SparkSession, files: str | DataFrame) -> DataFrame:
     """path, rate, channels, bits, data_bytes, seconds of each WAV file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", audio.wav_header(F.col("content")).alias("h")).select("path", "h.*")
+    return contents(spark, files).select("path", audio.wav_header(F.col("content")).alias("h")).select("path", "h.*")
 
 
 def pasted_title(title: Column) -> Column:

@@ -58,3 +58,19 @@ def test_dispatch_and_empty(spark):
     assert readers.supported() == ".docx, .epub, .md, .pdf, .txt"
     texts = spark.createDataFrame([(1, " "), (2, "x")], "f int, text string")
     assert {r.f: r.has_text for r in readers.has_text(texts, "f").collect()} == {1: False, 2: True}
+
+
+def test_many_files_of_one_folder(spark, tmp_path):
+    """By a pattern the folder is listed once, without a job; by a table of paths each file is opened once, though named twice."""
+    df = spark.range(50).select(F.concat("id", F.lit(".wav")).alias("name"), F.array(F.lit(0.5)).alias("x"))
+    listed = sinks.publish(sinks.wav_files(df, "name", "x", 24000), str(tmp_path)).collect()
+    listed = spark.createDataFrame(listed + listed[:5])
+    spark.sparkContext.setJobGroup("listing", "listing of files")
+    read = readers.read_wav_headers(spark, str(tmp_path / "*.wav"))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("listing")
+    spark.sparkContext.setJobGroup("", "")
+    assert not jobs
+    rows = lambda df: sorted((r.path.rpartition("/")[2], r.rate, r.data_bytes) for r in df.collect())
+    want = sorted((f"{i}.wav", 24000, 2) for i in range(50))
+    assert rows(read) == rows(readers.read_wav_headers(spark, listed)) == want
+    assert readers.contents(spark, listed.limit(0)).count() == 0
