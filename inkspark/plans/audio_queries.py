@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from inkspark.functions import audio as A
 from inkspark.operators import long_audio as LA
 from inkspark.sources import readers, sinks
-from inkspark.sources.scratch import scratch
+from inkspark.sources.scratch import kept, scratch
 
 from .registry import ORACLE_SQL, golden, micros, query, table
 
@@ -138,12 +138,10 @@ def wav_round_trip(spark, d):
 @query("SELECT vec_id::VARCHAR || '.wav' AS name, (44 + 2 * len(embedding))::BIGINT AS bytes, 24000::BIGINT AS rate, (2 * len(embedding))::BIGINT AS data_bytes FROM embeddings")
 def published_audio(spark, d):
     """WAV files written to the shared folder, each whole or not at all, and their headers read back."""
-    files, folder = sinks.wav_files(_samples(spark, d), "vec_id", "x", 24000), scratch(spark)
-    listed = sinks.publish(files.withColumn("name", F.concat("name", F.lit(".wav"))), folder)
-    listed.write.parquet(f"{folder}-list")
-    read = readers.read_wav_headers(spark, f"{folder}/*.wav").withColumn("name", F.regexp_extract("path", "[^/]+$", 0))
-    done = spark.read.parquet(f"{folder}-list").withColumn("name", F.regexp_extract("path", "[^/]+$", 0)).select("name", "bytes")
-    return done.join(read, "name").select("name", "bytes", "rate", "data_bytes")
+    files = sinks.wav_files(readers.spread(_samples(spark, d)), "vec_id", "x", 24000)
+    listed = kept(sinks.publish(files.withColumn("name", F.concat("name", F.lit(".wav"))), scratch(spark)))
+    read = readers.read_wav_headers(spark, listed).join(listed, "path")
+    return read.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "bytes", "rate", "data_bytes")
 
 
 @golden("SELECT * FROM (VALUES ('adam', 95::BIGINT, 2::BIGINT), ('aria', 93, 2), ('emma', 93, 1), ('george', 95, 1), ('river', 91, 2), ('sky', 100, 1)) t(preset, speed_percent, voices)")
