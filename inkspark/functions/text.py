@@ -20,8 +20,8 @@ CLAUSE_GAP = rf"(?U)[,;:—–]{WS}+"
 
 
 def collapse(text: Column) -> Column:
-    """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, f"(?U){WS}+", " "))
+    """Runs of white space become one space; none at the ends. Single spaces are not replaced by themselves."""
+    return F.trim(F.regexp_replace(text, rf"(?U)[\s\x1c-\x1f&&[^ ]]{WS}*| {WS}+", " "))
 
 
 def blocks(text: Column) -> Column:

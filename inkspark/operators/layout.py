@@ -5,6 +5,9 @@ Everything that needs order carries an ordinal. Statistics of a document are gro
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +22,21 @@ BOILERPLATE = (
     r"hbsp\.harvard\.edu", "to order copies or request permission", "developed solely as the basis for class discussion",
     "not intended to serve as endorsements",
 )
+#: Of each of these the longest part without a pattern. The other letters are those that equal one of a to z whatever the case.
+_WORDING = tuple(max(re.split(r"\\s\*|\(.*\)", p.replace(r"\.", ".")), key=len) for p in BOILERPLATE)
+_OTHER_LETTERS = "\u0130\u0131\u017f\u212a"
 # What a page's number and a case's number look like.
 PAGE_LABEL, CASE_NUMBER = r"(?iU)^(page\s*)?[\divxlc]+(\s*(of|/)\s*\d+)?$", r"(?U)^\d-\d{3}-\d{3}"
+#: The latter with white space anywhere.
+_SPACED_NUMBER = "(?U)^" + "".join(f"{T.WS}*{c}" for c in (r"\d", "-", r"\d", r"\d", r"\d", "-", r"\d", r"\d", r"\d"))
 _BOX = ("x0", "y0", "x1", "y1")
 
 
 def is_boilerplate(text: Column) -> Column:
-    return text.rlike("(?iU)" + "|".join(BOILERPLATE))
+    """The patterns are run where the wording of one of them is found, which is looked up without a pattern."""
+    worded = let(F.lower(text), lambda low: reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in _WORDING)))
+    other = reduce(Column.__or__, (F.contains(text, F.lit(c)) for c in _OTHER_LETTERS))
+    return F.when(worded | other | text.isNull(), text.rlike("(?iU)" + "|".join(BOILERPLATE))).otherwise(False)
 
 
 def is_page_label(text: Column) -> Column:
@@ -37,15 +48,18 @@ def is_case_number(text: Column) -> Column:
 
 
 def starts_with_case_number(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U){T.WS}+", "").rlike(CASE_NUMBER)
+    return text.rlike(_SPACED_NUMBER)
 
 
 def is_tracked(text: Column) -> Column:
-    """Letter-spaced type: 4 words or more, of which 60 % or more are single letters or digits, with 2 letters or more."""
+    """Letter-spaced type: 4 words or more, of which 60 % or more are single letters or digits, with 2 letters or more. So two of
+    those follow each other with one other word between them at most; words are counted where that is so."""
+    one = r"[\p{L}\p{N}]"
+    close = F.concat(F.lit(" "), text, F.lit(" ")).rlike(rf"(?U){T.WS}{one}{T.WS}+(?:[^\s\x1c-\x1f]+{T.WS}+)?{one}{T.WS}")
     words = T.words(text)
-    lone = F.filter(words, lambda w: w.rlike(r"^[\p{L}\p{N}]$"))
+    lone = F.filter(words, lambda w: w.rlike(rf"^{one}$"))
     letters = F.size(F.filter(lone, lambda w: w.rlike(r"^\p{L}$")))
-    return (F.size(words) >= 4) & (F.size(lone) >= 0.6 * F.size(words)) & (letters >= 2)
+    return F.when(close | text.isNull(), (F.size(words) >= 4) & (F.size(lone) >= 0.6 * F.size(words)) & (letters >= 2)).otherwise(False)
 
 
 def at_top(y1: Column, height: Column) -> Column:
@@ -59,7 +73,10 @@ def at_bottom(y0: Column, height: Column) -> Column:
 def running_signatures(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, signature) of lines that recur at the head or foot of 30 % of the pages, 2 at least (half to even)."""
     n = pages.groupBy("doc_id").agg(F.greatest(F.lit(2), F.bround(F.count(F.lit(1)) * 0.3)).alias("least"))
-    banded = lines.join(pages.select("doc_id", "page", "height"), ["doc_id", "page"]).where(at_top(F.col("y1"), F.col("height")) | at_bottom(F.col("y0"), F.col("height")))
+    # lines that are in the middle of the highest and of the lowest page are not joined
+    heights = F.broadcast(pages.agg(F.max("height").alias("__most"), F.min("height").alias("__least")))
+    outer = lines.crossJoin(heights).where(at_top(F.col("y1"), F.col("__most")) | at_bottom(F.col("y0"), F.col("__least"))).drop("__most", "__least")
+    banded = outer.join(pages.select("doc_id", "page", "height"), ["doc_id", "page"]).where(at_top(F.col("y1"), F.col("height")) | at_bottom(F.col("y0"), F.col("height")))
     seen = banded.groupBy("doc_id", T.signature(F.col("text")).alias("signature")).agg(F.countDistinct("page").alias("pages"))
     return seen.join(n, "doc_id").where("pages >= least").select("doc_id", "signature")
 
@@ -91,19 +108,23 @@ def lines_from_chars(chars: DataFrame, *key: str) -> DataFrame:
 
 
 def line_kinds(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """Lines (doc_id, page, block, line, x0, y0, x1, y1, text, size) with their kind; the first rule that holds decides."""
-    running = running_signatures(lines, pages).withColumn("recurs", F.lit(True))
-    sized = lines.withColumn("signature", T.signature(F.col("text"))).join(pages.select("doc_id", "page", "height"), ["doc_id", "page"])
-    sized = sized.join(running, ["doc_id", "signature"], "left").join(body_size(lines).withColumnRenamed("mode", "body"), "doc_id", "left")
+    """Lines (doc_id, page, block, line, x0, y0, x1, y1, text, size) with their kind; the first rule that holds decides. What a text
+    says by itself is looked up before the joins, so that they carry it and a digest of the signature, and texts where asked for."""
+    digest = lambda signature: F.unhex(F.sha2(signature, 256)).alias("__signature")
+    text = F.col("text")
+    says = {"__notice": is_boilerplate(text), "__label": is_page_label(text) | is_case_number(text), "__number": starts_with_case_number(text), "__tracked": is_tracked(text)}
+    running = running_signatures(lines, pages).select("doc_id", digest(F.col("signature")), F.lit(True).alias("__recurs"))
+    sized = lines.select("*", *[c.alias(n) for n, c in says.items()], digest(T.signature(text))).join(pages.select("doc_id", "page", "height"), ["doc_id", "page"])
+    sized = sized.join(running, ["doc_id", "__signature"], "left").join(body_size(lines).withColumnRenamed("mode", "__body"), "doc_id", "left")
     top, bottom = at_top(F.col("y1"), F.col("height")), at_bottom(F.col("y0"), F.col("height"))
-    text, head_or_foot = F.col("text"), F.when(at_top(F.col("y1"), F.col("height")), F.lit("header")).otherwise(F.lit("footer"))
+    head_or_foot = F.when(top, F.lit("header")).otherwise(F.lit("footer"))
     kind = (
-        F.when(is_boilerplate(text), F.lit("boilerplate"))
-        .when(F.col("recurs"), head_or_foot)
-        .when((top | bottom) & (is_page_label(text) | is_case_number(text)), head_or_foot)
-        .when(starts_with_case_number(text), F.lit("header"))
-        .when(is_tracked(text), F.when(F.col("y0") < F.col("height") / 2, F.lit("header")).otherwise(F.lit("footer")))
-        .when(F.col("size") <= F.col("body") - 0.6, F.lit("footnote"))
+        F.when(F.col("__notice"), F.lit("boilerplate"))
+        .when(F.col("__recurs"), head_or_foot)
+        .when((top | bottom) & F.col("__label"), head_or_foot)
+        .when(F.col("__number"), F.lit("header"))
+        .when(F.col("__tracked"), F.when(F.col("y0") < F.col("height") / 2, F.lit("header")).otherwise(F.lit("footer")))
+        .when(F.col("size") <= F.col("__body") - 0.6, F.lit("footnote"))
         .otherwise(F.lit("body"))
     )
     return sized.select(*lines.columns, kind.alias("kind"))

@@ -31,3 +31,33 @@ def test_raised_small_items(spark):
     items = [("70", 100.0, 10.0), ("th", 98.0, 6.0), ("x", 104.0, 6.0)]
     df = spark.createDataFrame([([{"y": y - s * 0.8 + 8.0, "size": s} for _, y, s in items],)], "items array<struct<y:double,size:double>>")
     assert df.select(Y.flagged_superscripts(F.col("items")).alias("f")).first().f == [False, True, False]
+
+
+def test_looks_at_lines_are_cheap_and_leave_nothing_out(spark):
+    """Rules of lines against their plain forms on odd lines; none remakes the text or cuts it into words where no rule can hold."""
+    import random
+
+    from inkspark.functions import text as T
+    from inkspark.plans.layout_queries import _paged
+
+    bits = ["Copyright", "copyright", "©", "COPYRıGHT ©", "ALL RİGHTS RESERVED", "all rightſ reſerved", "Harvard  business review", "harvard buſiness school", "HBSP.harvard.edu", "hbspxharvardxedu", "K", "a", "B", "7", "é", "word", "9-111-222",
+            "9 - 1 1 1", "-222", "9-1", "11-2", "22", "\x1c", "\x85", "\xa0", "\t", "\n", "  ", "x", "12", "\U00010400"]
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", " ", "", " "]) for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    texts += ["a b c longer", "a longer b longer c", "a b longer longer c", "a 1 2 word", "", " ", None]
+    rows, t = spark.createDataFrame([(x,) for x in texts], "text string"), F.col("text")
+    words = T.words(t)
+    lone = F.filter(words, lambda w: w.rlike(r"^[\p{L}\p{N}]$"))
+    pairs = {
+        "notice": (Y.is_boilerplate(t), t.rlike("(?iU)" + "|".join(Y.BOILERPLATE))),
+        "number": (Y.starts_with_case_number(t), F.regexp_replace(t, f"(?U){T.WS}+", "").rlike(Y.CASE_NUMBER)),
+        "tracked": (Y.is_tracked(t), (F.size(words) >= 4) & (F.size(lone) >= 0.6 * F.size(words)) & (F.size(F.filter(lone, lambda w: w.rlike(r"^\p{L}$"))) >= 2)),
+        "collapsed": (T.collapse(t), F.trim(F.regexp_replace(t, f"(?U){T.WS}+", " "))),
+    }
+    made = rows.select("text", *[c.alias(f"{n}{i}") for n, both in pairs.items() for i, c in enumerate(both)]).collect()
+    for name in pairs:
+        assert [r.text for r in made if r[f"{name}0"] != r[f"{name}1"] and r.text is not None] == []
+        assert name == "collapsed" or {True, False} <= {r[f"{name}0"] for r in made}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan(rows.select(Y.starts_with_case_number(t)))
+    assert "posexplode" not in plan(_paged(spark, "/root/testdata/sf0.001")[0])
