@@ -97,12 +97,26 @@ def upper_median(name: str) -> Column:
     return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -`{name}`)")
 
 
+def in_order(c: str) -> Column:
+    """Aggregate: the characters of a group by ``ord``, joined. Neither the order nor the field goes through a function for each."""
+    return F.array_join(F.sort_array(F.collect_list(F.struct("ord", c)))[c], "")
+
+
+#: What T.WS matches.
+_BLANKS = [chr(i) for i in (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def is_blank(c: Column) -> Column:
+    """Whether a character is white space: looked up; what is no single character is left to the pattern."""
+    return F.when(F.length(c) == 1, c.isin(_BLANKS)).otherwise(c.rlike(rf"(?U)^{T.WS}$"))
+
+
 def lines_from_chars(chars: DataFrame, *key: str) -> DataFrame:
     """Lines of characters (key, ord, c, size, sup, x0, y0, x1, y1), such as a glyph table has them: text, the largest size that is
     not raised (of all, if everything is), weight (the text's length) and the hull. Blank lines go."""
     size = F.coalesce(F.max(F.when(~F.col("sup"), F.col("size"))), F.max("size"))
     hull = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "c"))), lambda x: x.c), "")
+    text = in_order("c")
     lines = chars.groupBy(*key).agg(text.alias("text"), size.alias("size"), *hull).withColumn("weight", F.length("text"))
     return lines.where(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"))
 
@@ -130,11 +144,16 @@ def line_kinds(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return sized.select(*lines.columns, kind.alias("kind"))
 
 
-def strip_superscripts(chars: DataFrame, *key: str) -> DataFrame:
-    """Characters (key, ord, c, sup) without runs of superscripts, but for st, nd, rd, th right after a digit."""
+def strip_superscripts(chars: DataFrame, *key: str, within: str | None = None) -> DataFrame:
+    """Characters (key, ord, c, sup) without runs of superscripts, but for st, nd, rd, th right after a digit. With ``within``, a
+    column that rises along a line, each of its values is a line of its own, though lines are sorted and scanned whole."""
     order, before = Window.partitionBy(*key).orderBy("ord"), Window.partitionBy(*key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    runs = chars.withColumn("__new", F.coalesce((F.col("sup") != F.lag("sup").over(order)).cast("int"), F.lit(1)))
-    runs = runs.withColumn("__run", F.sum("__new").over(order)).withColumn("__prev", F.last(F.when(~F.col("sup"), F.col("c")), ignorenulls=True).over(before))
+    part = F.col(within) if within else F.lit(0)
+    same = F.coalesce(F.lag(part).over(order) == part, F.lit(False))
+    runs = chars.withColumn("__new", F.when(same, F.coalesce((F.col("sup") != F.lag("sup").over(order)).cast("int"), F.lit(1))).otherwise(1))
+    plain = F.last(F.when(~F.col("sup"), F.struct(part.alias("part"), "c")), ignorenulls=True).over(before)
+    runs = runs.withColumn("__run", F.sum("__new").over(order)).withColumn("__prev", plain)
+    runs = runs.withColumn("__prev", F.when(F.col("__prev.part") == part, F.col("__prev.c")))
     whole = Window.partitionBy(*key, "__run").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     suffix = F.lower(F.trim(F.array_join(F.collect_list("c").over(whole), "")))
     kept = ~F.col("sup") | (suffix.isin("st", "nd", "rd", "th") & F.coalesce(F.first("__prev").over(whole).rlike(r"^\p{Nd}$"), F.lit(False)))
@@ -145,11 +164,11 @@ def words_from_chars(chars: DataFrame, *key: str) -> DataFrame:
     """Words of lines of characters (key, ord, c, sup, x0, y0, x1, y1): cut at white space, superscripts stripped within
     each word; a word's box is the hull of what stays. Adds pos, counted in each line."""
     order = Window.partitionBy(*key).orderBy("ord")
-    blank = F.col("c").rlike(rf"(?U)^{T.WS}$")
+    blank = is_blank(F.col("c"))
     cut = chars.withColumn("__word", F.sum(blank.cast("int")).over(order)).where(~blank)
-    kept = strip_superscripts(cut, *key, "__word")
+    kept = strip_superscripts(cut, *key, within="__word")
     hull = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
-    words = kept.groupBy(*key, "__word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "c"))), lambda x: x.c), "").alias("text"), *hull)
+    words = kept.groupBy(*key, "__word").agg(in_order("c").alias("text"), *hull)
     placed = Window.partitionBy(*key).orderBy("__word")
     return words.where("text <> ''").withColumn("pos", (F.row_number().over(placed) - 1).cast("long")).drop("__word")
 

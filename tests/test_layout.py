@@ -61,3 +61,18 @@ def test_looks_at_lines_are_cheap_and_leave_nothing_out(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan(rows.select(Y.starts_with_case_number(t)))
     assert "posexplode" not in plan(_paged(spark, "/root/testdata/sf0.001")[0])
+
+
+def test_characters_without_functions_for_each(spark):
+    """Words of characters: white space is looked up as the pattern has it, and no function is run for each character."""
+    from inkspark.functions import text as T
+    from inkspark.plans.layout_queries import words_of_characters
+
+    singles = [chr(i) for i in range(1, 0x3100)]
+    chars = spark.createDataFrame([(c,) for c in [*singles, "", " \n", "\r\n", "fi", "\U00010400", None]], "c string")
+    text = "".join(singles) + "\U00010400e\u0301 "
+    assert spark.createDataFrame([(text,)], "t string").select(F.split("t", "").alias("cs")).first().cs == list(text)
+    assert chars.where(~Y.is_blank(F.col("c")).eqNullSafe(F.col("c").rlike(rf"(?U)^{T.WS}$"))).count() == 0
+    assert chars.where(Y.is_blank(F.col("c"))).count() > 20
+    plan = words_of_characters(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
