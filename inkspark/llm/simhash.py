@@ -239,7 +239,7 @@ def _components(docs: DataFrame, text_col: str, id_col: str, words_in_shingle: i
     rows = materialize(fingerprints(docs, text_col, id_col, words_in_shingle).select("id", "version", F.get("fps", F.lit(0)).alias("fp")))
     classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(near_links(classes.select("fp"), bits))
-    rooted = materialize(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), classes)
+    rooted = materialize(classes.join(roots.hint("merge"), classes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), classes)
     names = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes")))
     named = materialize(join_counted(rooted, names, "root", "classes").select("fp", "component_id", "n"), rooted, names)
     return join_counted(rows, named, "fp", "n")  # few distinct fingerprints may hold most rows
@@ -258,7 +258,7 @@ def _candidates(docs: DataFrame, text_col: str, id_col: str, bits: int, tables:
     each = rows.select("id", "version", F.posexplode("fps").alias("table", "fp"))
     classes = materialize(each.groupBy("table", "fp").agg(F.count(F.lit(1)).alias("n")))
     roots = connected_components(near_links(classes.select("table", "fp"), bits))
-    rooted = materialize(classes.join(roots, classes.fp == roots.node, "left").select("table", "fp", "n", F.coalesce("root", "fp").alias("root")), classes)
+    rooted = materialize(classes.join(roots.hint("merge"), classes.fp == roots.node, "left").select("table", "fp", "n", F.coalesce("root", "fp").alias("root")), classes)
     sizes = rooted.groupBy("table", "root").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")).where("rows > 1").drop("rows")
     sizes = materialize(sizes)
     shared = materialize(join_counted(rooted, sizes, ["table", "root"], "classes").select("table", "fp", "root", "n"), rooted, sizes)
@@ -322,7 +322,8 @@ def verified_duplicates(docs: DataFrame, text_col: str, id_col: str, bits: int,
         schema = f"component_id long, n long, staying array<{one}>, going array<struct<id:{kind},version:bigint,keep_id:{kind}>>, last struct<id:{kind},version:bigint>"
         heads = materialize(heads.select("component_id", "leaders", "last", "n").mapInArrow(settle, schema))
         gone = gone.unionByName(heads.select(F.explode("going").alias("g")).select("g.*"))
-        met = join_wide(left, heads.drop("going"), "component_id", "n", F.col("version"))
+        size = F.aggregate("staying", F.lit(128).cast("long"), lambda a, x: a + 64 + 8 * F.size(x.grams))
+        met = join_wide(left, heads.drop("going"), "component_id", "n", size, F.col("version"))
         others = met.where(F.struct("id", "version") > F.col("last"))
         # sets that are as similar share a shingle in these first parts of their sorted lists, so few are intersected
         head = lambda x: F.slice(x, 1, F.size(x) - F.ceil(F.lit(least) * F.size(x) - 1e-9).cast("int") + 1)

@@ -225,3 +225,34 @@ def test_thresholds_in_several_rounds(spark, close_pairs, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     near, rows = brute(x, 0.95), rp_forest.near_duplicates(df, 0.95, leaf=100).collect()
     assert all(r.n_links <= near[r.vec_id].sum() for r in rows) and sum(r.n_links for r in rows) >= 0.98 * near.sum()
+
+
+def test_copies_for_salts_do_not_pass_through_the_driver(spark, monkeypatch):
+    """A side that is too large to broadcast is not broadcast by its files' size either, which copies to salts do not show."""
+    from pyspark.sql import functions as F
+
+    from inkspark.llm import shared
+
+    big = spark.range(600).select((F.col("id") % 150).alias("k"), "id")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    sides = {
+        "few": shared.materialize(spark.range(100).select(F.col("id").alias("k"), F.lit(6).alias("n"), F.array(F.lit(7)).alias("x"))),
+        "many": shared.materialize(spark.range(shared.BROADCAST_ROWS + 1).select(F.col("id").alias("k"), F.lit(6).alias("n"), F.array(F.lit(7)).alias("x"))),
+        "wide": shared.materialize(spark.range(100).select(F.col("id").alias("k"), F.when(F.col("id") > 0, 6).otherwise(10_000).alias("n"), F.array_repeat(F.lit(7), 30_000).alias("x"))),
+    }
+    size = 8 * F.size("x")
+    joins = {
+        "checked": lambda s: shared.join_checked(big, s, "k", "inner", F.col("id")),
+        "left": lambda s: shared.join_checked(big, s, "k", "left", F.col("id")),
+        "counted": lambda s: shared.join_counted(big, s, "k", "n"),
+        "wide": lambda s: shared.join_wide(big, s, "k", "n", size, F.col("id")),
+    }
+    for name, join in joins.items():
+        for side in ("few", "wide" if name == "wide" else "many"):
+            made, want = join(sides[side]), big.join(sides[side], "k", "left" if name == "left" else "inner")
+            assert ("SortMergeJoin" in plan(made)) == (side != "few")
+            if side != "few":  # names of heavy keys alone are broadcast, no copies of rows
+                assert plan(made).count("BroadcastExchange") == (name == "wide")
+            assert sorted(map(tuple, made.select("id", "k", "n").collect()), key=str) == sorted(map(tuple, want.select("id", "k", "n").collect()), key=str)
+    for t in sides.values():
+        shared.drop(t)
