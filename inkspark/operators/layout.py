@@ -203,22 +203,69 @@ def typical_leading(lines: DataFrame) -> DataFrame:
     return both.withColumn("__fits", fits).groupBy("doc_id").agg(F.coalesce(upper_median("__fits"), F.greatest(F.max("height") * 1.15, F.lit(1.0))).alias("leading"))
 
 
-def joined_text(lines: DataFrame, leading: Column) -> DataFrame:
-    """(doc_id, run, text): a run's lines (line_no, words, box) joined by a space where wrapped, else a blank line."""
-    by = Window.partitionBy("doc_id", "run").orderBy("line_no")
-    page, block, y0, last = (F.lag(c).over(by) for c in ("page", "block", "y0", "__last"))
-    lines = lines.withColumn("__last", F.element_at("words", -1))
-    ends = F.trim(last).rlike(r"[.!?:;]$") | (F.trim(last) == "")
-    dy = F.col("y0") - y0
-    wrapped = F.when((page == F.col("page")) & (block == F.col("block")), True).when(page != F.col("page"), ~ends).when(dy <= 1, False).otherwise(dy <= leading * 1.4)
-    gap = F.when(page.isNull(), F.lit("")).when(wrapped, F.lit(" ")).otherwise(F.lit("\n\n"))
-    parts = lines.withColumn("__part", F.concat(gap, F.array_join("words", " ")))
-    return parts.groupBy("doc_id", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "__part"))), lambda p: p["__part"]), "").alias("text"))
+def islands(items: Column, same) -> Column:
+    """Consecutive items of an array, as arrays: an item joins the one before it where ``same`` of the two holds."""
+
+    def cut(xs: Column) -> Column:
+        first = F.filter(F.transform(xs, lambda x, i: F.when((i == 0) | ~F.coalesce(same(F.get(xs, i - 1), x), F.lit(False)), i)), lambda i: i.isNotNull())
+
+        def parts(at: Column) -> Column:
+            ends = F.slice(F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(xs))), 1, F.size(at))
+            return F.zip_with(at, ends, lambda a, b: F.slice(xs, a + 1, b - a))
+
+        return let(first, parts)
+
+    return let(items, cut)
+
+
+def _same(*fields: str):
+    return lambda a, b: F.struct(*[a[f].alias(f) for f in fields]).eqNullSafe(F.struct(*[b[f].alias(f) for f in fields]))
+
+
+def lines_of_words(words: Column) -> Column:
+    """Lines of a document's words (kind, page, block, line, text, box) in stream order: consecutive words of one kind and place, as
+    (kind, page, block, line, y0, y1, words, boxes)."""
+
+    def line(ws: Column) -> Column:
+        first, box = F.get(ws, F.lit(0)), lambda w: F.struct(w.page.alias("page"), *[w[c].alias(c) for c in _BOX])
+        y0, y1 = F.array_min(F.transform(ws, lambda w: w.y0)), F.array_max(F.transform(ws, lambda w: w.y1))
+        places = [first[f].alias(f) for f in ("kind", "page", "block", "line")]
+        return F.struct(*places, y0.alias("y0"), y1.alias("y1"), F.transform(ws, lambda w: w.text).alias("words"), F.transform(ws, box).alias("boxes"))
+
+    return F.transform(islands(words, _same("kind", "page", "block", "line")), line)
+
+
+def leading_of(lines: Column) -> Column:
+    """As typical_leading(), of the lines of one document in order; null where it has no body."""
+    median = lambda xs: let(F.sort_array(F.filter(xs, lambda x: x.isNotNull())), lambda v: F.get(v, F.floor(F.size(v) / 2).cast("int")))
+    body = F.transform(F.filter(lines, lambda x: x.kind == "body"), lambda x: F.struct(x.page.alias("page"), x.block.alias("block"), x.line.alias("line"), x.y0.alias("y0"), x.y1.alias("y1")))
+    hull = lambda xs: F.struct(F.get(xs, F.lit(0)).page.alias("page"), F.array_min(F.transform(xs, lambda x: x.y0)).alias("y0"), F.array_max(F.transform(xs, lambda x: x.y1)).alias("y1"))
+
+    def usual(ls: Column, height: Column) -> Column:
+        gaps = F.transform(ls, lambda x, i: F.when(F.get(ls, i - 1).page == x.page, x.y0 - F.get(ls, i - 1).y0))
+        fits = F.filter(gaps, lambda dy: (dy > 1) & (dy <= height * 2.2))
+        return F.coalesce(median(fits), F.when(F.size(ls) > 0, F.greatest(height * 1.15, F.lit(1.0))))
+
+    return let(F.transform(islands(body, _same("page", "block", "line")), hull), lambda ls: let(median(F.transform(ls, lambda x: x.y1 - x.y0)), lambda h: usual(ls, h)))
+
+
+def joined_lines(lines: Column, leading: Column) -> Column:
+    """The text of a run's lines, joined by a space where wrapped, else a blank line."""
+
+    def part(x: Column, i: Column) -> Column:
+        before = F.get(lines, i - 1)
+        last = F.trim(F.element_at(before.words, -1))
+        ends, dy = last.rlike(r"[.!?:;]$") | (last == ""), x.y0 - before.y0
+        wrapped = F.when((before.page == x.page) & (before.block == x.block), True).when(before.page != x.page, ~ends).when(dy <= 1, False).otherwise(dy <= leading * 1.4)
+        gap = F.when(before.page.isNull(), F.lit("")).when(wrapped, F.lit(" ")).otherwise(F.lit("\n\n"))
+        return F.concat(gap, F.array_join(x.words, " "))
+
+    return F.array_join(F.transform(lines, part), "")
 
 
 def aligned(tokens: Column, words: Column) -> Column:
     """For each token the index of its source word, or -1 past the end: the word at the cursor if equal, else the first of
-    the next 8 that begins with the token or with which it begins, else the one at the cursor."""
+    the next 8 that begins with the token or with which it begins, else the one at the cursor. An empty token has none."""
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("found"))
 
     def of(ws: Column) -> Column:
@@ -226,7 +273,7 @@ def aligned(tokens: Column, words: Column) -> Column:
             at = acc["at"]
             near = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.when(F.startswith(token, F.get(ws, at + k)) | F.startswith(F.get(ws, at + k), token), at + k))
             probe = F.get(F.filter(near, lambda k: k.isNotNull()), F.lit(0))
-            found = F.when(at >= F.size(ws), -1).when(F.get(ws, at) == token, at).otherwise(F.coalesce(probe, at))
+            found = F.when((at >= F.size(ws)) | (token == ""), -1).when(F.get(ws, at) == token, at).otherwise(F.coalesce(probe, at))
             return let(found, lambda f: F.struct(F.when(f < 0, at).otherwise(f + 1).alias("at"), f.alias("found")))
 
         return running(tokens, start, add, lambda acc: acc["found"], "int")
@@ -234,34 +281,38 @@ def aligned(tokens: Column, words: Column) -> Column:
     return let(words, of)
 
 
+def laid_out(docs: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, kind, text, boxes): sentences of documents (doc_id, lines), whose lines (kind, page, block, line, y0, y1, words,
+    boxes) are in stream order. Each run of one kind is cut by itself, so furniture never joins prose; single spaces part words, each
+    has a box, and one that is not found a zero box. A document is one row, so neither its words nor its lines are shuffled."""
+    tokens = lambda c: F.split(c, " ")
+
+    def parts(run: Column, chunks: Column, at: Column) -> Column:
+        kind, boxes = F.get(run, F.lit(0)).kind, F.flatten(F.transform(run, lambda x: x.boxes))
+        zero = F.struct(F.get(F.get(run, F.lit(0)).boxes, F.lit(0)).page.alias("page"), *[F.lit(0.0).alias(c) for c in _BOX])
+        found = let(boxes, lambda bs: F.transform(at, lambda i: F.coalesce(F.get(bs, i), zero)))
+        counted = F.transform(chunks, lambda c: F.struct(c.alias("text"), F.size(tokens(c)).alias("n")))
+        ends = lambda cs: running(F.transform(cs, lambda c: c.n), F.lit(0), lambda s, n: s + n, lambda s: s, "int")
+        one = lambda bs: lambda c, end: F.struct(kind.alias("kind"), c.text.alias("text"), F.slice(bs, end - c.n + 1, c.n).alias("boxes"))
+        return let(counted, lambda cs: let(found, lambda bs: F.zip_with(cs, ends(cs), one(bs))))
+
+    # in steps: one expression of them all would be nested too deeply for the analyser
+    runs = docs.select("doc_id", F.coalesce(leading_of(F.col("lines")), F.lit(13.8)).alias("leading"), islands(F.col("lines"), _same("kind")).alias("runs"))
+    texts = runs.select("doc_id", "runs", let(F.col("leading"), lambda usual: F.transform("runs", lambda run: joined_lines(run, usual))).alias("texts"))
+    cut = texts.select("doc_id", "runs", F.transform("texts", lambda t: T.chunks(t)).alias("chunks"))
+    source = lambda run: F.flatten(F.transform(run, lambda x: x.words))
+    placed = cut.select("doc_id", "runs", "chunks", F.zip_with("runs", "chunks", lambda run, cs: aligned(F.flatten(F.transform(cs, tokens)), source(run))).alias("at"))
+    zipped = F.transform(F.arrays_zip("runs", "chunks", "at"), lambda x: parts(x.runs, x.chunks, x["at"]))
+    rows = placed.select("doc_id", F.posexplode(F.flatten(zipped)).alias("sent_id", "s"))
+    return rows.select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), "s.kind", "s.text", "s.boxes")
+
+
 def build_document(words: DataFrame) -> DataFrame:
-    """(doc_id, sent_id, kind, text, boxes): sentences of a document's words (doc_id, pos, page, block, line, kind, text, box).
-    Each run of one kind is cut by itself, so furniture never joins prose; a word that is not found has a zero box."""
-    runs = with_runs(words, "doc_id", "pos", "kind")
-    leading = typical_leading(stream_lines(words.where("kind = 'body'")))
-    lines = _lines_of_runs(runs)
-    lines = lines.join(leading, "doc_id", "left").withColumn("leading", F.coalesce("leading", F.lit(13.8)))
-    texts = joined_text(lines, F.col("leading"))
-    box = F.struct("page", *_BOX)
-    sources = runs.groupBy("doc_id", "run").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("pos", "text", box.alias("box")))).alias("src"))
-    cut = texts.join(sources, ["doc_id", "run"]).withColumn("chunks", T.chunks(F.col("text")))
-    tokens = F.transform("chunks", T.words)
-    flat = cut.withColumn("tokens", tokens).withColumn("at", aligned(F.flatten("tokens"), F.transform("src", lambda s: s.text)))
-    zero = F.struct(F.get("src", F.lit(0)).box.page.alias("page"), *[F.lit(0.0).alias(c) for c in _BOX])
-    boxes = let(F.transform("src", lambda s: s.box), lambda bs: F.transform("at", lambda i: F.coalesce(F.get(bs, i), zero)))
-    ends = running(F.transform("tokens", F.size), F.lit(0), lambda s, n: s + n, lambda s: s, "int")
-    parts = let(boxes, lambda bs: F.zip_with(F.arrays_zip(F.col("chunks").alias("text"), F.transform("tokens", F.size).alias("n")), ends, lambda c, end: F.struct(c.text.alias("text"), F.slice(bs, end - c.n + 1, c.n).alias("boxes"))))
-    rows = flat.select("doc_id", "run", "kind", F.posexplode(parts).alias("n", "c")).select("doc_id", "run", "n", "kind", "c.text", "c.boxes")
-    order = Window.partitionBy("doc_id").orderBy("run", "n")
-    return rows.withColumn("sent_id", (F.row_number().over(order) - 1).cast("long")).select("doc_id", "sent_id", "kind", "text", "boxes")
-
-
-def _lines_of_runs(runs: DataFrame) -> DataFrame:
-    numbered = runs.withColumnRenamed("run", "kind_run")
-    numbered = with_runs(numbered, "doc_id", "pos", "kind_run", "page", "block", "line").withColumnRenamed("run", "line_no")
-    return numbered.groupBy("doc_id", F.col("kind_run").alias("run"), "line_no").agg(
-        F.first("page").alias("page"), F.first("block").alias("block"), F.min("y0").alias("y0"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda w: w.text).alias("words")
-    )
+    """(doc_id, sent_id, kind, text, boxes): laid_out() of words (doc_id, pos, page, block, line, kind, text, box), which are
+    brought together by document once."""
+    fields = ["pos", "kind", "page", "block", "line", "text", *_BOX]
+    docs = words.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("words"))
+    return laid_out(docs.select("doc_id", lines_of_words(F.col("words")).alias("lines")))
 
 
 def line_bands(boxes: Column) -> Column:

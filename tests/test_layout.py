@@ -76,3 +76,22 @@ def test_characters_without_functions_for_each(spark):
     assert chars.where(Y.is_blank(F.col("c"))).count() > 20
     plan = words_of_characters(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in plan
+
+
+def test_layout_of_odd_texts_as_in_sql_and_without_a_shuffle(spark, tmp_path):
+    """Words, lines and sentences stay in their document's row; a word that single spaces leave empty has a box, as in the SQL."""
+    import duckdb
+
+    from inkspark.plans import catalog
+
+    long = "word " * 120
+    texts = [None, "", " \n\t\n", "One line.", f"Head\nMot : {long}— encore ; {long}!\nA.  B\n\n\n{', ' * 300}", "\n".join(f"Line {i}, of it{'.' * (i % 3 == 0)}" for i in range(140))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("document_layout", "document_leading"):
+        got, found = catalog.QUERIES[name](spark, str(tmp_path)), duck.execute(catalog.ORACLE_SQL[name])
+        order = [got.columns.index(c[0]) for c in found.description]
+        assert sorted(tuple(r[i] for i in order) for r in got.collect()) == sorted(found.fetchall()) != []
+        assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
